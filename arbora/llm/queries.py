@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm import ngrams
+from arbora.llm.leaks import find_leaks
+from arbora.llm.quality import text_quality
 from arbora.llm.script import inconsistent
 from arbora.session import table
 
@@ -41,4 +43,33 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.unionByName(inconsistent(table(spark, sf_dir, "sentences"), "sent_idx", ["text"]))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p2_upos_ngrams, p7_found)}
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the benchmark items that they leak."""
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p9_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaked benchmark items with the documents that leak them and the largest share of an item."""
+    return _leaks(spark, sf_dir).groupBy("item_id").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("share").alias("most_words"))
+
+
+def _quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "common_words"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are mostly no prose."""
+    return _quality(spark, sf_dir).where("label <> 'prose'").select("doc_id")
+
+
+def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality statistics and label of every document."""
+    return _quality(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p2_upos_ngrams, p7_found, p9_found, p9_items, p10_found, p10_statistics)}
