@@ -7,11 +7,64 @@ from pyspark.sql import functions as F
 
 from arbora.llm import ngrams
 from arbora.llm.leaks import find_leaks
+from arbora.llm.overlap import split_overlap
+from arbora.llm.packing import pack
 from arbora.llm.quality import text_quality
 from arbora.llm.script import inconsistent
+from arbora.llm.subset import select_varied
 from arbora.session import table
 
 FIELDS = ["form", "upos", "deprel"]
+#: Dimensions of the grid on which training sentences are compared, 0 to 7 each.
+GRID = ["x_length", "x_tags", "x_relations", "x_nominal", "x_verbal", "x_core", "x_modifying"]
+
+
+def sentence_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sent_idx, the grid, quality) of the training sentences with their tokens.
+
+    Repeated rows of a token count once, ranges do not count. Quality falls with the share of tokens without
+    a usable tag or relation, and is better with a text and a translation.
+    """
+    t = table(spark, sf_dir, "tokens").where(F.col("id").rlike("^[0-9]{1,9}$")).select("sent_idx", "id", "upos", "deprel")
+    one = t.repartition("sent_idx").groupBy("sent_idx", "id").agg(F.min("upos").alias("upos"), F.min("deprel").alias("deprel"))
+    n = F.count("*")
+    share = lambda c: F.count_if(c) / n
+    whole = F.col("upos").rlike("^[A-Z]+$") & F.col("deprel").rlike("^[a-z]")
+    f = one.groupBy("sent_idx").agg(
+        n.alias("n"),
+        F.count_distinct("upos").alias("tags"),
+        F.count_distinct("deprel").alias("relations"),
+        share(F.col("upos").isin("NOUN", "PROPN", "PRON")).alias("nominal"),
+        share(F.col("upos").isin("VERB", "AUX")).alias("verbal"),
+        share(F.col("deprel").rlike("^(comp|subj)")).alias("core"),
+        share(F.col("deprel").rlike("^(mod|udep|det|appos)")).alias("modifying"),
+        share(whole).alias("whole"),
+    )
+    s = table(spark, sf_dir, "sentences").where("split = 'train'").select("sent_idx", F.col("text").isNotNull().cast("int").alias("has_text"), F.col("text_en").isNotNull().cast("int").alias("has_en"))
+    step = lambda c, width: F.floor(F.col(c) / F.lit(width)).cast("int")
+    return s.join(f, "sent_idx").select(
+        "sent_idx",
+        F.floor(F.log2("n")).cast("int").alias("x_length"),
+        step("tags", 2).alias("x_tags"),
+        step("relations", 3).alias("x_relations"),
+        step("nominal", 0.125).alias("x_nominal"),
+        step("verbal", 0.125).alias("x_verbal"),
+        step("core", 0.125).alias("x_core"),
+        step("modifying", 0.125).alias("x_modifying"),
+        (F.col("whole") + F.col("has_text") + 0.25 * F.col("has_en")).alias("quality"),
+    )
+
+
+def p1_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A varied hundredth of the training sentences, each with its cell, the cell's sentences and its turn in it."""
+    grid = sentence_grid(spark, sf_dir)
+    size = table(spark, sf_dir, "sentences").where("split = 'train'").count() // 100
+    return select_varied(grid, "sent_idx", GRID, size, quality="quality")
+
+
+def p1_few_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A varied set of 64 examples from the training sentences."""
+    return select_varied(sentence_grid(spark, sf_dir), "sent_idx", GRID, 64, quality="quality").select("sent_idx", "cell")
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +90,21 @@ def p2_upos_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("k", F.replace("gram", F.lit(ngrams.JOINT), F.lit(" ")).alias("gram"), F.col("occurrences").alias("n_rows"), F.col("records").alias("n_sentences"))
 
 
+def _overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_overlap(table(spark, sf_dir, "sentences"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a training and another sentence with the same text."""
+    return _overlap(spark, sf_dir).select(F.least("train_record", "other_record").alias("sent_a"), F.greatest("train_record", "other_record").alias("sent_b"))
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping pairs and sentences of each evaluation split and source."""
+    s = table(spark, sf_dir, "sentences").select(F.col("sent_idx").alias("other_record"), "split", "source")
+    return _overlap(spark, sf_dir).join(s, "other_record").groupBy("split", "source").agg(F.count("*").alias("n_pairs"), F.count_if("exact").alias("n_exact"), F.count_distinct("other_record").alias("n_sentences"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forms, lemmas and texts that are not in the consistent form, in that form."""
     t = inconsistent(table(spark, sf_dir, "tokens"), "row_id", ["form", "lemma"])
@@ -44,6 +112,21 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), table(spark, sf_dir, "model_windows"))
+
+
+def p8_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequence and place of every document, for every model."""
+    return _packed(spark, sf_dir)
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences, tokens and the share of the room that is used, for every model."""
+    g = _packed(spark, sf_dir).groupBy("model_name", "capacity").agg(F.count_distinct("sequence").alias("n_sequences"), F.sum("n_tokens").alias("n_tokens"))
+    return g.withColumn("fill", F.col("n_tokens") / (F.col("n_sequences") * F.col("capacity")))
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -72,4 +155,4 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_terms, p2_upos_ngrams, p7_found, p9_found, p9_items, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_subset, p1_few_shot, p2_found, p2_terms, p2_upos_ngrams, p3_found, p3_report, p7_found, p8_sequences, p8_fill, p9_found, p9_items, p10_found, p10_statistics)}
