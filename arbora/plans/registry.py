@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arbora.plans import core_queries
+from arbora.plans import core_queries, score_queries
+
+_MODULES = (core_queries, score_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return core_queries.p4_found(spark, sf_dir)
+    return score_queries.macro_scores(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(core_queries.QUERIES)
+    return {k: q for m in _MODULES for k, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for m in _MODULES for k, q in getattr(m, "SQL", {}).items()}

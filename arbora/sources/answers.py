@@ -1,0 +1,44 @@
+"""Where model answers come from: replayed tables, a dry run, or a client called per prompt."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def dry_run(prompts: DataFrame, prompt: str = "prompt") -> DataFrame:
+    """``prompts`` with ``response``: the prompt itself between markers."""
+    return prompts.withColumn("response", F.concat(F.lit("## DRY-RUN ##\n"), F.col(prompt), F.lit("\n## END DRY-RUN ##")))
+
+
+def replay(prompts: DataFrame, recorded: DataFrame, keys: list[str]) -> DataFrame:
+    """``prompts`` with the recorded ``response`` of the same keys, null where there is none."""
+    return prompts.join(recorded.select(*keys, "response"), keys, "left")
+
+
+def ask(prompts: DataFrame, client: Callable[[], Callable[[str], str]], prompt: str = "prompt") -> DataFrame:
+    """``prompts`` with ``response`` from a client; an exception becomes a text that starts with ``PROCESSING_ERROR:``.
+
+    ``client`` is called once in each task and returns the function that answers one prompt. Null prompts are not asked.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answer = client()
+        for b in batches:
+            out: list[str | None] = []
+            for p in b.column(prompt).to_pylist():
+                try:
+                    out.append(None if p is None else answer(p))
+                except Exception as e:  # one failed call must not end the task
+                    out.append(f"PROCESSING_ERROR: {e}")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "response"])
+
+    return prompts.mapInArrow(run, prompts.schema.add("response", "string"))
+
+
+def failed(responses: DataFrame) -> DataFrame:
+    """``responses`` with ``is_error``: no response, or one that holds ``ERROR``."""
+    return responses.withColumn("is_error", F.coalesce(F.contains("response", F.lit("ERROR")), F.lit(True)))
