@@ -35,7 +35,7 @@ def root_accuracy(spark: SparkSession, d: str) -> DataFrame:
 
 
 def complete_match(spark: SparkSession, d: str) -> DataFrame:
-    return sentence_scores(spark, d).where("complete_match").select(*E, "sent_idx", "num_tokens")
+    return sentence_scores(spark, d).groupBy(*E).agg(F.count_if("complete_match").alias("n_complete"), F.min("num_errors").alias("least_errors"))
 
 
 def token_errors(spark: SparkSession, d: str) -> DataFrame:
@@ -183,7 +183,7 @@ SQL = {
     "sentence_scores": _SENT + "SELECT * FROM ss",
     "macro_scores": _SENT + "SELECT * FROM ms",
     "root_accuracy": _SENT + "SELECT model_name, count(*) FILTER (root_correct) AS n_right, count(*) AS n FROM ss GROUP BY 1",
-    "complete_match": _SENT + "SELECT model_name, prompt_template, sent_idx, num_tokens FROM ss WHERE complete_match",
+    "complete_match": _SENT + "SELECT model_name, prompt_template, count(*) FILTER (complete_match) AS n_complete, min(num_errors) AS least_errors FROM ss GROUP BY 1, 2",
     "token_errors": S.aligned() + "SELECT model_name, prompt_template, sent_idx, id, CASE WHEN answered THEN form END AS form, CASE WHEN answered THEN 'incorrect_dependency' ELSE 'missing_prediction' END AS error_type, head AS gold_head, deprel AS gold_deprel, pred_head, pred_deprel FROM al WHERE NOT (h_ok AND l_ok)",
     "error_histogram": S.aligned() + "SELECT model_name, prompt_template, CASE WHEN answered THEN 'incorrect_dependency' ELSE 'missing_prediction' END AS error_type, count(*) AS n FROM al WHERE NOT (h_ok AND l_ok) GROUP BY 1, 2, 3",
     "per_relation_prf": _PRF + "SELECT model_name, prompt_template, relation, round(pr, 9) AS precision, round(re, 9) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 9) AS f1, support FROM r WHERE support > 0",
