@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arbora.plans import core_queries, corpus_queries, score_queries
+from arbora.plans import core_queries, corpus_queries, score_queries, text_queries
 
-_MODULES = (core_queries, score_queries, corpus_queries)
+_MODULES = (core_queries, score_queries, corpus_queries, text_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
