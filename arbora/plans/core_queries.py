@@ -62,3 +62,35 @@ def p6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p4_found, p4_hierarchy, p4_descendants, p5_found, p5_loaded, p6_found, p6_items)}
+
+_NODES = """WITH RECURSIVE n AS (SELECT sent_idx, CAST(id AS BIGINT) AS id, min(CASE WHEN regexp_full_match(head, '[0-9]{1,18}') AND CAST(head AS BIGINT) <> 0 THEN CAST(head AS BIGINT) END) AS head,
+       min(deprel) AS deprel, count(*) OVER (PARTITION BY sent_idx) AS size FROM tokens WHERE regexp_full_match(id, '[0-9]{1,18}') AND sent_idx IS NOT NULL GROUP BY 1, 2),
+walk AS (SELECT sent_idx, id AS start, id AS pos, 0 AS step FROM n
+         UNION ALL SELECT w.sent_idx, w.start, p.id, w.step + 1 FROM walk w JOIN n c ON c.sent_idx = w.sent_idx AND c.id = w.pos JOIN n p ON p.sent_idx = c.sent_idx AND p.id = c.head WHERE w.step < 2 * c.size),
+ends AS (SELECT w.sent_idx, w.start AS id, max(step) AS steps, any_value(n.size) AS size FROM walk w JOIN n ON n.sent_idx = w.sent_idx AND n.id = w.start GROUP BY 1, 2),
+cyc AS (SELECT w.sent_idx, w.start AS id, min(w.pos) FILTER (w.step >= e.size) AS cycle_id FROM walk w JOIN ends e ON e.sent_idx = w.sent_idx AND e.id = w.start WHERE e.steps >= 2 * e.size GROUP BY 1, 2),
+up AS (SELECT w.* FROM walk w ANTI JOIN cyc c ON c.sent_idx = w.sent_idx AND c.id = w.start)
+"""
+_RECORDS = """WITH l AS (SELECT line_id, raw_text, regexp_full_match(raw_text, '(?s)(?:"(?:[^"]|"")*"|[^"\\t]*)(?:\\t(?:"(?:[^"]|"")*"|[^"\\t]*))*') AS ok FROM raw_lines
+  WHERE regexp_matches(raw_text, '[^\\s]') AND NOT starts_with(raw_text, '#')),
+f AS (SELECT line_id, ok, CASE WHEN ok THEN list_transform(regexp_extract_all(raw_text || chr(9), '(?s)("(?:[^"]|"")*"|[^"\\t]*)\\t', 1), lambda x: CASE WHEN starts_with(x, '"') THEN replace(substr(x, 2, length(x) - 2), '""', '"') ELSE x END) END AS r FROM l),
+g AS (SELECT *, len(r) = 10 AS ten, coalesce(TRY_CAST(regexp_extract(r[1], '^([0-9]+)-([0-9]+)$', 1) AS HUGEINT) > 0 AND TRY_CAST(regexp_extract(r[1], '^([0-9]+)-([0-9]+)$', 1) AS HUGEINT) < TRY_CAST(regexp_extract(r[1], '^([0-9]+)-([0-9]+)$', 2) AS HUGEINT), false) AS span FROM f),
+w AS (SELECT line_id, 'quoting' AS reason FROM g WHERE NOT ok UNION ALL SELECT line_id, 'columns' FROM g WHERE ok AND NOT ten
+  UNION ALL SELECT line_id, 'id' FROM g WHERE ok AND ten AND NOT span AND NOT regexp_full_match(r[1], '0*[1-9][0-9]*')
+  UNION ALL SELECT line_id, 'head' FROM g WHERE ok AND ten AND NOT regexp_full_match(r[7], '[0-9]+') AND NOT (span AND r[7] = '_')
+  UNION ALL SELECT line_id, 'deprel' FROM g WHERE ok AND ten AND r[8] NOT IN (SELECT label FROM label_set WHERE kind = 'deprel' AND label IS NOT NULL) AND NOT (span AND r[8] = '_'))
+"""
+SQL = {
+    "p4_found": _NODES + "SELECT sent_idx, CAST(id AS INT) AS id, CAST(cycle_id AS INT) AS cycle_id FROM cyc",
+    "p4_hierarchy": _NODES
+    + """, d AS (SELECT sent_idx, pos AS anc, count(*) - 1 AS n FROM up GROUP BY 1, 2),
+p AS (SELECT u.sent_idx, u.start AS id, max(step) AS depth, arg_max(pos, step) AS root, string_agg(CAST(pos AS VARCHAR), '/' ORDER BY step DESC) AS path, string_agg(coalesce(n.deprel, '_'), '/' ORDER BY step DESC) AS deprel_path
+      FROM up u JOIN n ON n.sent_idx = u.sent_idx AND n.id = u.pos GROUP BY 1, 2)
+SELECT n.sent_idx, n.id, p.depth, p.root, p.path, p.deprel_path, d.n AS n_descendants, c.id IS NOT NULL AS cyclic, c.cycle_id
+FROM n LEFT JOIN p ON p.sent_idx = n.sent_idx AND p.id = n.id LEFT JOIN d ON d.sent_idx = n.sent_idx AND d.anc = n.id LEFT JOIN cyc c ON c.sent_idx = n.sent_idx AND c.id = n.id""",
+    "p4_descendants": _NODES + "SELECT sent_idx, pos AS ancestor, start AS descendant, step AS distance FROM up WHERE step > 0",
+    "p5_found": _RECORDS + "SELECT * FROM w",
+    "p5_loaded": _RECORDS
+    + """SELECT line_id, CAST(string_split(r[1], '-')[1] AS INT) AS id, CASE WHEN contains(r[1], '-') THEN CAST(string_split(r[1], '-')[2] AS INT) END AS id_end, r[2] AS form, r[3] AS lemma, r[4] AS upos, r[5] AS xpos,
+       r[6] AS feats, TRY_CAST(r[7] AS INT) AS head, r[8] AS deprel, r[9] AS deps, r[10] AS misc FROM g WHERE line_id NOT IN (SELECT line_id FROM w)""",
+}
