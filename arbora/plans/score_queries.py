@@ -82,12 +82,11 @@ def baseline_tags(spark: SparkSession, d: str) -> DataFrame:
     """(form, pred_upos, pred_lemma, pred_feats): what each form has most often in training, the least of equals."""
     train = table(spark, d, "sentences").where("split = 'train'").select("sent_idx")
     g = _gold(spark, d).join(train, "sent_idx", "left_semi")
-    out = None
-    for c in ("upos", "lemma", "feats"):
-        n = g.groupBy("form", c).agg(F.count("*").alias("n"))
-        best = n.groupBy("form").agg(F.min_by(c, F.struct(-F.col("n"), c)).alias("pred_" + c))
-        out = best if out is None else out.join(best, "form")
-    return out
+    fields = ["upos", "lemma", "feats"]
+    long = g.select("form", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in fields))).alias("x"))
+    n = long.groupBy("form", "x.field", "x.value").agg(F.count("*").alias("n"))
+    best = {c: F.min_by("value", F.when(F.col("field") == c, F.struct(-F.col("n"), "value"))).alias("pred_" + c) for c in fields}
+    return n.groupBy("form").agg(*best.values())
 
 
 def _tagged(spark: SparkSession, d: str) -> DataFrame:

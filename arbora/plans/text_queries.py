@@ -194,7 +194,8 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def block_validation(spark: SparkSession, d: str) -> DataFrame:
-    return _blocks(spark, d).select("sent_idx", P.check_block(P.extract_block(F.concat(F.lit("Sure:\n"), "block")), F.col("n"), F.col("forms")).alias("message"))
+    answered = _blocks(spark, d).withColumn("block", P.extract_block(F.concat(F.lit("Sure:\n"), "block")))
+    return P.check_blocks(answered, F.col("block"), F.col("n"), F.col("forms")).select("sent_idx", "message")
 
 
 def model_table_rows(spark: SparkSession, d: str) -> DataFrame:
