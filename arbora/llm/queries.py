@@ -32,8 +32,8 @@ def sentence_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.col("upos").rlike("^[A-Z]+$") & F.col("deprel").rlike("^[a-z]")
     f = one.groupBy("sent_idx").agg(
         n.alias("n"),
-        F.count_distinct("upos").alias("tags"),
-        F.count_distinct("deprel").alias("relations"),
+        F.size(F.collect_set("upos")).alias("tags"),
+        F.size(F.collect_set("deprel")).alias("relations"),
         share(F.col("upos").isin("NOUN", "PROPN", "PRON")).alias("nominal"),
         share(F.col("upos").isin("VERB", "AUX")).alias("verbal"),
         share(F.col("deprel").rlike("^(comp|subj)")).alias("core"),
