@@ -54,7 +54,7 @@ def _clean(piece: str) -> str:
     piece = piece.strip(_ENDS)
     piece = _unquote(piece)
     key, _, value = piece.partition("=")
-    return f"{key.strip()}={_unquote(value.strip(_ENDS if not value.strip().startswith(chr(34)) else None))}"
+    return f"{key.strip()}={_unquote(value.strip())}"
 
 
 def _unquote(s: str) -> str:
