@@ -31,7 +31,7 @@ LEAST_RUN = 12
 #: Stretches further apart than this, on either side, start another passage.
 NEAR = 120
 #: What starting another passage costs, in letters: scattered phrases never pay for it.
-PASSAGE_COST = 24
+PASSAGE_COST = 40
 
 _TAG = re.compile(r"<[^<>\n]{1,300}>")
 _ENTITY = re.compile(r"&#?\w{1,8};")

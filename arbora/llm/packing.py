@@ -30,6 +30,8 @@ SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 BLOCK = 20_000
 #: Bins of the same room that are looked at for one without the item's source.
 LOOK = 16
+#: One bin more in so many may be opened to keep copies apart.
+SPARE = 200
 
 
 @lru_cache(2)
@@ -62,18 +64,18 @@ def sized(docs: DataFrame, doc_id: str, text: str, source: str, vocabulary: str
 def best_fit(lengths: list[int], groups: list[int], sources: list[int], capacity: int, apart: dict[int, int] | None = None) -> list[int]:
     """The bin of each item. Lengths are at most ``capacity``.
 
-    ``groups`` and ``sources`` number the groups of copies and the sources from 0. Items of one group never share a
-    bin, as long as so many bins are needed at all: of a group with more items than the items need
-    bins, the further ones are free. ``apart`` has for a source the bitmap of the sources it must not meet.
+    ``groups`` and ``sources`` number the groups of copies and the sources. Items of one group do not share a
+    bin, except where that would open more bins than the items need (and one in ``SPARE`` more): then they go to the
+    tightest bin that holds them. ``apart`` has for a source the bitmap of the sources that it must never meet.
     Where several bins have the least room, one without the item's source is preferred.
     """
     order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], groups[i], i))
     need = max(1, math.ceil(sum(lengths) / capacity))
+    budget = need + need // SPARE + 1
     times: dict[int, int] = {}
     for g in groups:
         times[g] = times.get(g, 0) + 1
     bits = {g: 1 << k for k, g in enumerate(sorted(g for g, n in times.items() if n > 1))}
-    placed: dict[int, int] = {}
     apart = apart or {}
     rooms: list[list[int]] = [[] for _ in range(capacity + 1)]
     filled = 0  # bitmap of the rooms that some bin has
@@ -81,22 +83,15 @@ def best_fit(lengths: list[int], groups: list[int], sources: list[int], capacity
     in_source: list[int] = []
     out = [0] * len(lengths)
     last, go_on = None, 0  # the last item's group and length, and the room below which it found no free bin
-    for i in order:
-        n, g, source = lengths[i], groups[i], 1 << sources[i]
-        bit = bits.get(g, 0)
-        if bit and placed.get(g, 0) >= need:
-            bit = 0
-        bad = apart.get(sources[i], 0)
-        room = n
-        if bit and (g, n) == last and not bad:
-            room = max(n, go_on)
-        found = -1
+
+    def search(room: int, bit: int, bad: int, source: int) -> tuple[int, int]:
+        """(bin, its room): the tightest compatible bin from this room on, -1 if there is none."""
         while room <= capacity:
             rest = filled >> room
             if not rest:
                 break
             room += (rest & -rest).bit_length() - 1
-            seen = 0
+            found, seen = -1, 0
             for b in reversed(rooms[room]):
                 if in_group[b] & bit or in_source[b] & bad:
                     continue
@@ -106,25 +101,30 @@ def best_fit(lengths: list[int], groups: list[int], sources: list[int], capacity
                 if seen > LOOK or not in_source[b] & source:
                     break
             if found >= 0:
-                break
+                return found, room
             room += 1
+        return -1, capacity
+
+    for i in order:
+        n, g, source = lengths[i], groups[i], 1 << sources[i]
+        bit, bad = bits.get(g, 0), apart.get(sources[i], 0)
+        start = max(n, go_on) if bit and (g, n) == last and not bad else n
+        found, room = search(start, bit, bad, source)
+        go_on = room if found >= 0 else capacity + 1
+        if found < 0 and bit and len(in_group) >= budget:
+            found, room = search(n, 0, bad, source)
         if found < 0:
-            found = len(in_group)
+            found, room = len(in_group), capacity
             in_group.append(0)
             in_source.append(0)
-            room = capacity
-            go_on = capacity + 1
         else:
-            go_on = room
             rooms[room].remove(found)
             if not rooms[room]:
                 filled &= ~(1 << room)
         in_group[found] |= bit
         in_source[found] |= source
-        left = room - n
-        rooms[left].append(found)
-        filled |= 1 << left
-        placed[g] = placed.get(g, 0) + (bit > 0)
+        rooms[room - n].append(found)
+        filled |= 1 << (room - n)
         last = (g, n)
         out[i] = found
     return out
@@ -136,7 +136,7 @@ def pack(docs: DataFrame, windows: DataFrame, *, doc_id: str = "doc_id", text: s
     ``windows`` has the columns model_name and capacity; the texts are packed for each. A text of at most
     ``capacity`` tokens is one piece. A longer one is cut into full pieces, each its own sequence, and one
     that holds the rest. ``first_token`` is where the piece starts in its text, ``at`` where it starts in its sequence.
-    ``sequence`` is unique for a model. Copies of a text stand in different sequences where there are enough;
+    ``sequence`` is unique for a model. Copies of a text stand in different sequences where that takes hardly more of them;
     the pairs of sources in ``apart`` never share one. Empty texts are pieces of no tokens; null texts are left out, a
     null source is one of its own. Repeated rows with one ``doc_id`` are packed each.
     """
