@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from arbora.session import cut
 
@@ -51,7 +52,7 @@ def running_sum(df: DataFrame, order: list[str], value: Column, name: str) -> Da
         total += r["s"]
     rows = placed.withColumn("_b", _offset(before))
     kept = [c for c in df.columns]
-    schema = df.schema.add(name, "long")
+    schema = T.StructType([*df.schema, T.StructField(name, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, so_far = None, 0

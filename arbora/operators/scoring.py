@@ -34,7 +34,7 @@ def sentence_scores(a: DataFrame) -> DataFrame:
     n = F.count("*")
     gold_root = F.max(F.when(F.col("answered") & (F.col("head") == 0), F.col("id")))
     pred_root = F.max(F.when(F.col("answered") & (F.col("pred_head") == 0), F.col("id")))
-    s = a.groupBy(*KEYS).agg(
+    return a.groupBy(*KEYS).agg(
         (F.count_if(_head()) / n).alias("uas"),
         (F.count_if(_head() & _label()) / n).alias("las"),
         (F.count_if(_label()) / n).alias("la"),
@@ -43,7 +43,6 @@ def sentence_scores(a: DataFrame) -> DataFrame:
         n.alias("num_tokens"),
         F.count_if(~(_head() & _label())).alias("num_errors"),
     )
-    return s.select(*KEYS, *(F.round(c, 9).alias(c) for c in SCORES), "root_correct", "complete_match", "num_tokens", "num_errors")
 
 
 def failed_scores(gold: DataFrame, failed: DataFrame) -> DataFrame:

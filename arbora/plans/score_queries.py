@@ -22,11 +22,11 @@ def _aligned(spark: SparkSession, d: str, keep: str = "last") -> DataFrame:
 
 
 def sentence_scores(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.sentence_scores(_aligned(spark, d))
+    return scoring.sentence_scores(_aligned(spark, d)).withColumns({c: F.round(c, 9) for c in scoring.SCORES})
 
 
 def macro_scores(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.macro_scores(sentence_scores(spark, d))
+    return scoring.macro_scores(scoring.sentence_scores(_aligned(spark, d)))
 
 
 def root_accuracy(spark: SparkSession, d: str) -> DataFrame:
@@ -122,7 +122,7 @@ def comparison_flags(spark: SparkSession, d: str) -> DataFrame:
 _SENT = (
     S.aligned()
     + """,
-ss AS (SELECT model_name, prompt_template, sent_idx, round(avg(h_ok::INT), 9) AS uas, round(avg((h_ok AND l_ok)::INT), 9) AS las, round(avg(l_ok::INT), 9) AS la,
+ss AS (SELECT model_name, prompt_template, sent_idx, avg(h_ok::INT) AS uas, avg((h_ok AND l_ok)::INT) AS las, avg(l_ok::INT) AS la,
        coalesce(max(CASE WHEN answered AND head = 0 THEN id END) = max(CASE WHEN answered AND pred_head = 0 THEN id END), false) AS root_correct,
        bool_and(h_ok AND l_ok) AS complete_match, count(*) AS num_tokens, count(*) FILTER (NOT (h_ok AND l_ok)) AS num_errors
        FROM al GROUP BY 1, 2, 3),
@@ -179,7 +179,7 @@ SELECT model_name, prompt_template, tokens_considered, upos_correct, lemma_corre
 
 
 SQL = {
-    "sentence_scores": _SENT + "SELECT * FROM ss",
+    "sentence_scores": _SENT + "SELECT * REPLACE (round(uas, 9) AS uas, round(las, 9) AS las, round(la, 9) AS la) FROM ss",
     "macro_scores": _SENT + "SELECT * FROM ms",
     "root_accuracy": _SENT + "SELECT model_name, count(*) FILTER (root_correct) AS n_right, count(*) AS n FROM ss GROUP BY 1",
     "complete_match": _SENT + "SELECT model_name, prompt_template, count(*) FILTER (complete_match) AS n_complete, min(num_errors) AS least_errors FROM ss GROUP BY 1, 2",

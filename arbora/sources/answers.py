@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dry_run(prompts: DataFrame, prompt: str = "prompt") -> DataFrame:
@@ -36,7 +37,7 @@ def ask(prompts: DataFrame, client: Callable[[], Callable[[str], str]], prompt:
                     out.append(f"PROCESSING_ERROR: {e}")
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, "response"])
 
-    return prompts.mapInArrow(run, prompts.schema.add("response", "string"))
+    return prompts.mapInArrow(run, T.StructType([*prompts.schema, T.StructField("response", T.StringType())]))
 
 
 def failed(responses: DataFrame) -> DataFrame:
