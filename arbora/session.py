@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
+import uuid
+import zipfile
+from pathlib import Path
 
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -49,13 +54,41 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors' Python workers, once for a session."""
+    """Makes this package known to the executors' Python workers, once for a session.
+
+    Where they can import it already, nothing is sent. Else it goes as an archive by way of the shared folder
+    that ``spark.checkpoint.dir`` names; only in local mode without one, by way of a temporary folder.
+    """
     sc = spark.sparkContext
     if getattr(sc, "_arbora_shipped", False):
         return
-    import shutil
 
-    root = os.path.dirname(os.path.abspath(__file__))
-    to = os.path.join(tempfile.mkdtemp(), "arbora")
-    sc.addPyFile(shutil.make_archive(to, "zip", os.path.dirname(root), os.path.basename(root)))
+    def known(_: int) -> bool:  # a function of its own, as workers may not know this module
+        import importlib.util
+
+        return importlib.util.find_spec("arbora") is not None
+
+    if not sc.parallelize([0], 1).map(known).first():
+        data = io.BytesIO()
+        root = Path(__file__).resolve().parent
+        with zipfile.ZipFile(data, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f.relative_to(root.parent))
+        sc.addPyFile(_stored(sc, data.getvalue()))
     sc._arbora_shipped = True
+
+
+def _stored(sc: SparkContext, data: bytes) -> str:
+    """The place of an archive that all executors can fetch."""
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        to = Path(tempfile.mkdtemp()) / "arbora.zip"
+        to.write_bytes(data)
+        return str(to)
+    path = sc._jvm.org.apache.hadoop.fs.Path(f"{folder}/{uuid.uuid4().hex}/arbora.zip")
+    out = path.getFileSystem(sc._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(data))
+    out.close()
+    return path.toString()
