@@ -41,9 +41,7 @@ def interval_counts(suffix_rows: DataFrame, keys: list[str], record: str = "reco
     """(keys, occurrences, records) of rows of cut suffixes; the keys name the interval."""
     schema = ", ".join(f"`{k}` {suffix_rows.schema[k].dataType.simpleString()}" for k in keys)
     order = [*keys, record]
-    spark = suffix_rows.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    array = suffix_rows.select(*order).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    array = suffix_rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None  # the record of the last suffix, with its keys
