@@ -8,7 +8,7 @@ import pytest
 
 from arbora.llm import quality
 from arbora.llm.packing import VOCABULARY, best_fit, pack, tokenizer
-from arbora.llm.quality import text_quality, viterbi
+from arbora.llm.quality import Moves, text_quality, viterbi
 from arbora.llm.subset import evenly, hilbert_keys, select_varied
 
 COMMON = [("aaa", w) for w in "ka le mu so ti ra ne wo bi du fa go".split()] + [("bbb", w) for w in "the of and to in is that for on with as at".split()]
@@ -87,14 +87,24 @@ def test_viterbi_against_all_paths():
     lengths = np.array([1, 4, 2, 3])
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     e = np.log(rng.random((lengths.sum(), k)))
-    path = viterbi(e, first, lengths)
-    stay, go = np.log(quality.STAY), np.log((1 - quality.STAY) / (k - 1))
+    moves = Moves(np.log(rng.dirichlet(np.ones(k))), np.log(rng.dirichlet(np.ones(k), k)))
+    path = viterbi(e, first, lengths, moves)
     for f, n in zip(first, lengths):
-        score = lambda p: np.log(quality.START[p[0]]) + sum(e[f + i, s] for i, s in enumerate(p)) + sum(stay if a == b else go for a, b in zip(p, p[1:]))  # noqa: B023, E731
+        score = lambda p: moves.start[p[0]] + sum(e[f + i, s] for i, s in enumerate(p)) + sum(moves.step[a, b] for a, b in zip(p, p[1:]))  # noqa: B023, E731
         best = max(product(range(k), repeat=int(n)), key=score)
         assert tuple(path[f : f + n]) == best
 
 
+def test_training_counts():
+    k = len(quality.START)
+    path = np.array([0, 0, 0, 1, 1, 0, 2] * 4000, np.int8)
+    m = Moves.untrained().after(path, np.arange(0, len(path), 7))
+    assert np.allclose(np.exp(m.start).sum(), 1) and np.allclose(np.exp(m.step).sum(1), 1)
+    assert np.exp(m.start)[0] > 0.95
+    assert abs(np.exp(m.step)[0, 0] - 2 / 4) < 0.02 and abs(np.exp(m.step)[1, 0] - 1 / 2) < 0.03
+    assert np.exp(m.step)[k - 1, k - 1] == pytest.approx(quality.STAY)
+
+
 # ------------------------------------------------------------------------------ subset
 
 
