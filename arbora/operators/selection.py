@@ -37,11 +37,24 @@ def random_selection(df: DataFrame, k: int, seed: int = 42, order: str = "sent_i
     return r.join(places, "rank").drop("rank")
 
 
-def train_test_split(df: DataFrame, share: float = 0.2, seed: int = 42, order: str = "sent_idx") -> DataFrame:
+#: Rows up to which a split can follow Python's own shuffle, whose permutation is made on the driver.
+MOST_SHUFFLED = 2_000_000
+
+
+def train_test_split(df: DataFrame, share: float = 0.2, seed: int = 42, order: str = "sent_idx", like_python: bool = False) -> DataFrame:
     """``df`` with ``part``: rows shuffled by seed, the first ``int(n * (1 - share))`` for training.
 
-    The permutation is made of a hash, so no list of rows is needed on the driver.
+    The permutation is made of a hash, so no list of rows is needed on the driver. ``like_python`` takes that of
+    ``random.shuffle`` instead, for at most ``MOST_SHUFFLED`` rows.
     """
+    if like_python:
+        r, n = ranked(df, [order])
+        if n > MOST_SHUFFLED:
+            raise ValueError(f"more than {MOST_SHUFFLED} rows")
+        at = list(range(n))
+        random.Random(seed).shuffle(at)
+        train = df.sparkSession.createDataFrame([(i, "train") for i in at[: int(n * (1 - share))]], "rank bigint, part string")
+        return r.join(train, "rank", "left").withColumn("part", F.coalesce("part", F.lit("test"))).drop("rank")
     mixed = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(order)))
     r, n = ranked(mixed, ["_h", order])
     return r.withColumn("part", F.when(F.col("rank") < int(n * (1 - share)), "train").otherwise("test")).drop("rank", "_h")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arbora.operators import frames, scoring
 from arbora.plans import experiments as X
+from arbora.plans import reports
 from arbora.plans import sql as S
 from arbora.session import table
 
@@ -119,6 +120,18 @@ def comparison_flags(spark: SparkSession, d: str) -> DataFrame:
     return X.compare(macro_scores(spark, d)).select(*E, "uas", "las", "best_uas", "best_las")
 
 
+def relation_report(spark: SparkSession, d: str) -> DataFrame:
+    return reports.relation_lines(per_relation_prf(spark, d), E)
+
+
+def relation_report_by_name(spark: SparkSession, d: str) -> DataFrame:
+    return reports.relation_lines(libc_relations(spark, d), E, by_name=True)
+
+
+def summary_report(spark: SparkSession, d: str) -> DataFrame:
+    return reports.summary(macro_scores(spark, d), per_relation_prf(spark, d), error_histogram(spark, d), E)
+
+
 _SENT = (
     S.aligned()
     + """,
@@ -202,4 +215,9 @@ SQL = {
     + ", ".join(f"b_{c} AS (SELECT form, {c} AS pred_{c} FROM (SELECT form, {c}, row_number() OVER (PARTITION BY form ORDER BY count(*) DESC, {c}) AS rn FROM tr GROUP BY form, {c}) WHERE rn = 1)" for c in ("upos", "lemma", "feats"))
     + " SELECT form, pred_upos, pred_lemma, pred_feats FROM b_upos JOIN b_lemma USING (form) JOIN b_feats USING (form)",
 }
-QUERIES = {k: globals()[k] for k in SQL}
+_LINE = "printf('%-15s %-10.3f %-10.3f %-10.3f %-10d', relation, precision, recall, f1, support)"
+SQL |= {
+    "relation_report": f"SELECT model_name, prompt_template, row_number() OVER (PARTITION BY model_name, prompt_template ORDER BY f1 DESC, relation) AS place, {_LINE} AS line FROM ({SQL['per_relation_prf']})",
+    "relation_report_by_name": f"SELECT model_name, prompt_template, row_number() OVER (PARTITION BY model_name, prompt_template ORDER BY relation) AS place, {_LINE} AS line FROM ({SQL['libc_relations']})",
+}
+QUERIES = {k: globals()[k] for k in (*SQL, "summary_report")}

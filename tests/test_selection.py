@@ -33,6 +33,10 @@ def test_split(spark):
     s = selection.train_test_split(df)
     assert {r["part"]: r["count"] for r in s.groupBy("part").count().collect()} == {"train": int(103 * 0.8), "test": 103 - int(103 * 0.8)}
     assert s.exceptAll(selection.train_test_split(df.repartition(7))).count() == 0
+    at = list(range(103))
+    random.Random(42).shuffle(at)
+    own = selection.train_test_split(df, like_python=True)
+    assert {r["sent_idx"] for r in own.where("part = 'train'").collect()} == set(at[: int(103 * 0.8)])
 
 
 @pytest.mark.parametrize("name", ["random", "diversity", "coverage", "stratified", "complexity"])

@@ -267,3 +267,26 @@ def test_stream(spark, tmp_path):
     q = scorer.each_batch(scorer.read_answers(spark, str(src)), lambda df, n: seen.append(df.count()), str(tmp_path / "chk"))
     q.awaitTermination(120)
     assert sum(seen) == 14
+
+
+def test_command_line(spark, tmp_path):
+    from arbora.__main__ import main
+
+    tok = [(n, s, str(i), f"w{i}", f"w{i}", "NOUN", "_", str(i - 1), "root" if i == 1 else "mod", "_") for n, (s, i) in enumerate((s, i) for s in range(6) for i in range(1, 5))]
+    spark.createDataFrame(tok, "row_id bigint, sent_idx bigint, id string, form string, lemma string, upos string, feats string, head string, deprel string, misc string").write.parquet(str(tmp_path / "t/tokens.parquet"))
+    spark.createDataFrame([(s, f"s{s}", f"text {s}", None, "train" if s < 4 else "test") for s in range(6)], "sent_idx bigint, sent_id string, text string, text_en string, split string").write.parquet(str(tmp_path / "t/sentences.parquet"))
+    spark.createDataFrame([(n, 5, i, f"w{i}", i - 1, "mod", "m", "basic") for n, i in enumerate(range(1, 5))], "pred_id bigint, sent_idx bigint, token_id int, form string, predicted_head int, predicted_relation string, model_name string, prompt_template string").write.parquet(str(tmp_path / "t/predictions.parquet"))
+    t, out = str(tmp_path / "t"), str(tmp_path / "out")
+    main(["score", "--tables", t, "--out", out + "/s"], spark)
+    assert spark.read.json(out + "/s/experiments").first()["uas"] == 1.0
+    report = "\n".join(r[0] for r in spark.read.text(out + "/s/reports").collect())
+    assert "Labeled Attachment Score (LAS):   0.750" in report and "mod             0.750      1.000      0.857      3" in report and "incorrect_dependency: 1" in report
+    main(["select", "--tables", t, "--out", out + "/c", "--few-shot-k", "2", "--strategy", "coverage"], spark)
+    assert spark.read.json(out + "/c").count() == 2
+    main(["prompts", "--tables", t, "--out", out + "/p", "--template", "detailed"], spark)
+    assert spark.read.json(out + "/p").count() == 2
+    main(["grid", "--preset", "comprehensive", "--out", out + "/g"], spark)
+    assert spark.read.json(out + "/g").count() == 54
+    (tmp_path / "x.conllu").write_text(TEXT)
+    main(["read", "--dialect", "C", "--out", out + "/r", str(tmp_path / "x.conllu")], spark)
+    assert spark.read.parquet(out + "/r").count() == 2
