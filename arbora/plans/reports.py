@@ -36,7 +36,7 @@ def relation_lines(relations: DataFrame, keys: list[str], by_name: bool = False)
     """(keys, place, line): the relations of each experiment, the best F1 first, or by name; ties by name."""
     order = "relation" if by_name else "f1 desc, relation"
     place = F.expr(f"row_number() over (partition by {', '.join(keys)} order by {order})")
-    return relations.select(*keys, place.alias("place"), relation_line().alias("line"))
+    return relations.select(*keys, place.cast("bigint").alias("place"), relation_line().alias("line"))
 
 
 def summary(macro: DataFrame, relations: DataFrame, histogram: DataFrame, keys: list[str], language: str = "WOLOF") -> DataFrame:

@@ -57,7 +57,7 @@ def row_pairs(spark: SparkSession, d: str) -> DataFrame:
 def conllu_written(spark: SparkSession, d: str) -> DataFrame:
     """Every sentence as a CoNLL-U block, by its digest and length."""
     b = sinks.conllu_blocks(frames.gold_tokens(table(spark, d, "tokens")), table(spark, d, "sentences"))
-    return b.select("sent_idx", F.md5("block").alias("digest"), F.length("block").alias("length"))
+    return b.select("sent_idx", F.md5("block").alias("digest"), F.length("block").cast("bigint").alias("length"))
 
 
 # ------------------------------------------------------------------------------ answers
@@ -133,7 +133,7 @@ def _prompt(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _digest(p: DataFrame) -> DataFrame:
-    return p.select("sent_idx", F.md5("prompt").alias("digest"), F.length("prompt").alias("length"))
+    return p.select("sent_idx", F.md5("prompt").alias("digest"), F.length("prompt").cast("bigint").alias("length"))
 
 
 TEMPLATES = ["basic", "detailed", "chain_of_thought", "multilingual", "gloss_focused", "few_shot_adaptive"]
@@ -174,7 +174,7 @@ def prompt_summary(spark: SparkSession, d: str) -> DataFrame:
 
 def dry_run(spark: SparkSession, d: str) -> DataFrame:
     r = answers.failed(answers.dry_run(_prompt(spark, d, "basic")))
-    return r.select("sent_idx", F.length("response").alias("length"), "is_error")
+    return r.select("sent_idx", F.length("response").cast("bigint").alias("length"), "is_error")
 
 
 # ------------------------------------------------------------------------------ blocks
@@ -373,10 +373,10 @@ SQL = {
     "conllu_a_tokens": _conllu_sql("A", "tokens"),
     "conllu_b_gold": _conllu_sql("B", "tokens"),
     "conllu_c_tokens": _conllu_sql("C", "tokens"),
-    "row_pairs": "WITH one AS (SELECT file_name, line_no, min(raw_text) AS raw_text FROM raw_lines GROUP BY 1, 2 HAVING min(raw_text) <> ''), g AS (SELECT file_name, (line_no - 3) // 2 AS pair, max(CASE WHEN (line_no - 3) % 2 = 0 THEN raw_text END) AS a, max(CASE WHEN (line_no - 3) % 2 = 1 THEN trim(raw_text) END) AS b FROM one WHERE line_no >= 3 GROUP BY 1, 2) SELECT file_name, pair, concat_ws(chr(9), b, a) AS joined FROM g WHERE b IS NOT NULL",
+    "row_pairs": "WITH one AS (SELECT file_name, line_no, min(raw_text) AS raw_text FROM raw_lines GROUP BY 1, 2 HAVING min(raw_text) <> ''), g AS (SELECT file_name, CAST((line_no - 3) // 2 AS BIGINT) AS pair, max(CASE WHEN (line_no - 3) % 2 = 0 THEN raw_text END) AS a, max(CASE WHEN (line_no - 3) % 2 = 1 THEN trim(raw_text) END) AS b FROM one WHERE line_no >= 3 GROUP BY 1, 2) SELECT file_name, pair, concat_ws(chr(9), b, a) AS joined FROM g WHERE b IS NOT NULL",
     "conllu_written": f"WITH {S.GOLD}, g AS (SELECT sent_idx, string_agg(id || chr(9) || form || chr(9) || lemma || chr(9) || upos || chr(9) || '_' || chr(9) || feats || chr(9) || head || chr(9) || deprel || chr(9) || '_' || chr(9) || misc, chr(10) ORDER BY id) AS t FROM gold GROUP BY 1), b AS (SELECT sent_idx, '# sent_id = ' || coalesce(sent_id, '') || chr(10) || '# text = ' || coalesce(text, '') || coalesce(chr(10) || '# text_en = ' || text_en, '') || chr(10) || t AS block FROM sentences JOIN g USING (sent_idx)) SELECT sent_idx, md5(block) AS digest, length(block) AS length FROM b",
     "rendered_answers": _R + " SELECT * FROM rs",
-    "response_cascade": _M + "SELECT model_name, prompt_template, sent_idx, pos, token_id, form, head, relation, reasoning FROM ok JOIN win USING (model_name, prompt_template, sent_idx, fmt)",
+    "response_cascade": _M + "SELECT model_name, prompt_template, sent_idx, CAST(pos AS INT) AS pos, token_id, form, head, relation, reasoning FROM ok JOIN win USING (model_name, prompt_template, sent_idx, fmt)",
     "response_winner": _R + ", f AS (SELECT prompt_template, CASE " + " ".join(f"WHEN regexp_matches(response, '{_re2(p)}') THEN '{n}'" for n, p in responses.FORMATS.items()) + " END AS format FROM rs) SELECT prompt_template, format, count(*) AS n FROM f GROUP BY 1, 2",
     "response_failures": _M + "SELECT model_name, prompt_template, sent_idx FROM rs ANTI JOIN win USING (model_name, prompt_template, sent_idx)",
     "response_confidence": "WITH c AS (SELECT *, row_number() OVER (PARTITION BY model_name, prompt_template, sent_idx, token_id ORDER BY pred_id DESC) AS rn FROM predictions WHERE sent_idx IS NOT NULL AND token_id IS NOT NULL AND confidence IS NOT NULL) SELECT model_name, prompt_template, sent_idx, token_id, round(confidence, 3) AS confidence FROM c WHERE rn = 1",
@@ -391,7 +391,7 @@ SQL = {
     + """, s AS (SELECT sent_idx, count(*) AS n, arg_min(line, rk) FILTER (NOT ok) AS bad, bool_and(id = rk) AS steps, string_agg(CAST(id AS VARCHAR), ', ' ORDER BY rk) AS ids,
   bool_or(TRY_CAST(head AS INT) < 0 OR TRY_CAST(head AS INT) > cnt) AS far FROM (SELECT *, count(*) OVER (PARTITION BY sent_idx) AS cnt FROM w) GROUP BY 1)
 SELECT sent_idx, CASE WHEN bad IS NOT NULL THEN 'ID/HEAD not int in row: `' || bad || '`' WHEN NOT steps THEN 'IDs not contiguous 1..N: [' || ids || ']' WHEN far THEN 'HEAD out of range 0..' || n END AS message FROM s JOIN sentences USING (sent_idx)""",
-    "model_table_rows": _BL + "SELECT sent_idx, rk - 1 AS row, CASE WHEN ok THEN id END AS id, CASE WHEN ok THEN form END AS form, CASE WHEN ok THEN upos END AS upos, CASE WHEN ok THEN TRY_CAST(trim(head) AS INT) END AS head, CASE WHEN ok THEN deprel END AS deprel, ok FROM w JOIN sentences USING (sent_idx)",
+    "model_table_rows": _BL + "SELECT sent_idx, CAST(rk - 1 AS INT) AS row, CASE WHEN ok THEN id END AS id, CASE WHEN ok THEN form END AS form, CASE WHEN ok THEN upos END AS upos, CASE WHEN ok THEN TRY_CAST(trim(head) AS INT) END AS head, CASE WHEN ok THEN deprel END AS deprel, ok FROM w JOIN sentences USING (sent_idx)",
     "experiment_grid": "SELECT replace(replace(model, '-', '_'), '.', '_') || '_' || template || '_' || strategy || '_' || shots || 'shot' AS name, model, template, strategy, shots, 'openai' AS provider, 15 AS test_size FROM (SELECT unnest(['gpt-4o-mini', 'gpt-4o']) AS model) CROSS JOIN (SELECT unnest(['basic', 'detailed', 'gloss_focused']) AS template) CROSS JOIN (SELECT unnest(['random', 'diversity', 'coverage']) AS strategy) CROSS JOIN (SELECT unnest([2, 3, 5]) AS shots)",
     "cost_estimate": "WITH m AS (SELECT * FROM (VALUES ('gpt-4o-mini', 0.00015::DOUBLE, 0.0006::DOUBLE), ('gpt-4o', 0.005, 0.015), ('claude-3-haiku', 0.00025, 0.00125), ('other', 0.002, 0.006)) v(model_name, ci, co)) SELECT model_name, count(*) AS n_requests, sum(length(text) // 4)::BIGINT AS n_tokens, round(sum((length(text) // 4) / 1000.0::DOUBLE * ci + 0.5::DOUBLE * co), 9) AS cost FROM sentences, m WHERE split = 'test' AND text IS NOT NULL GROUP BY 1",
     "provider_detect": "SELECT DISTINCT model_name, CASE WHEN contains(lower(model_name), 'claude') THEN 'anthropic' ELSE 'openai' END AS provider, replace(replace(model_name, '-', '_'), '.', '_') AS short, substr(string_split(model_name, '-')[-1], 1, 15) AS shown FROM predictions",

@@ -92,4 +92,4 @@ def write_comparison(results: DataFrame, path: str) -> None:
 
 def prompt_summary(prompts: DataFrame, nested: DataFrame) -> DataFrame:
     """(sent_idx, prompt_length, text, translation, num_tokens) of rendered prompts."""
-    return prompts.join(nested, "sent_idx").select("sent_idx", F.length("prompt").alias("prompt_length"), "text", F.col("text_en").alias("translation"), F.size("tokens").alias("num_tokens"))
+    return prompts.join(nested, "sent_idx").select("sent_idx", F.length("prompt").cast("bigint").alias("prompt_length"), "text", F.col("text_en").alias("translation"), F.size("tokens").cast("bigint").alias("num_tokens"))
