@@ -8,10 +8,14 @@ from __future__ import annotations
 
 import random
 from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from arbora.operators.frames import arcs as arcs_of
+from arbora.operators.nearest import nearest
 from arbora.operators.ordered import ranked
 from arbora.operators.statistics import document_frequency, length_bucket, pattern_counts, rare_values, relation_counts
 from arbora.session import cut
@@ -207,6 +211,24 @@ def similar_sentences(features: DataFrame, gold: DataFrame, target: int, k: int)
     return features.select("sent_idx", F.round(score, 9).alias("similarity")).orderBy(F.desc("similarity"), "sent_idx").limit(k)
 
 
+def similar_sentences_each(features: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """(target, sent_idx, similarity): for each row of ``targets`` the k rows of ``features`` most like it, itself left out.
+
+    Both are frames of sentence features; relations weigh as in ``similar_sentences``, by how many rows of ``features`` have them.
+    """
+    df = _labels(features.select(F.explode("relations").alias("value")).groupBy("value").agg(F.count("*").alias("df")))
+
+    def weigh(t: Row) -> dict[tuple[str, str], float]:
+        return {("relations", r): 3.0 / (df.get(r, 0) + 1) for r in t["relations"]} | {("tags", x): 2.0 for x in t["tags"]}
+
+    near = {c: partial(_inverse, w) for c, w in (("n_tokens", 1.0), ("complexity", 1.0), ("gloss_coverage", 0.5))}
+    return nearest(features, targets, k, sets=["relations", "tags"], near=near, weigh=weigh).withColumnRenamed("score", "similarity")
+
+
+def _inverse(weight: float, own: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    return weight / (1.0 + np.abs(own - wanted))
+
+
 # ------------------------------------------------------------------------------ arcs
 
 
@@ -266,6 +288,29 @@ def similar_arcs(arcs: DataFrame, gold: DataFrame, target: int, k: int) -> DataF
     return arcs.join(s, "sent_idx").select(*_ARC, "score").orderBy(F.desc("score"), "sent_idx", "id").limit(k)
 
 
+def arc_features(gold: DataFrame) -> DataFrame:
+    """(sent_idx, n, tags, has_arc) by which ``similar_arcs_each`` compares sentences."""
+    linked = F.arrays_overlap(F.collect_set(F.when(F.col("head") > 0, F.col("head"))), F.collect_set("id"))
+    return gold.groupBy("sent_idx").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("upos")).alias("tags"), linked.alias("has_arc"))
+
+
+def similar_arcs_each(gold: DataFrame, features: DataFrame, targets: DataFrame, k: int) -> DataFrame:
+    """(target, arc, score): for each row of ``targets`` the first k arcs of the sentences most like it, itself left out.
+
+    ``features`` and ``targets`` are frames of ``arc_features``. All arcs of a sentence have its score, so k sentences with
+    an arc hold the first k arcs, and only their tokens are read as arcs.
+    """
+    weigh = lambda t: {("tags", x): 0.6 / len(t["tags"]) for x in t["tags"]}
+    found = cut(nearest(features.where("has_arc"), targets, k, sets=["tags"], near={"n": _relative}, weigh=weigh))
+    a = arcs_of(gold.join(found.select("sent_idx").distinct(), "sent_idx", "left_semi")).select(*_ARC)
+    by = Window.partitionBy("target").orderBy(F.desc("score"), "sent_idx", "id")
+    return found.join(a, "sent_idx").withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= k).select("target", *_ARC, "score")
+
+
+def _relative(own: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    return 0.4 * (1.0 - np.abs(own - wanted) / np.maximum(wanted, 10))
+
+
 def random_arcs(arcs: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """k arcs by a seeded hash."""
     return arcs.select(*_ARC).orderBy(F.xxhash64(F.lit(seed), "sent_idx", "id"), "sent_idx", "id").limit(k)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from arbora.functions.feats import feats_pairs
 from arbora.operators import frames, selection, statistics
 from arbora.plans import sql as S
-from arbora.session import table
+from arbora.session import cut, table
 
 
 def _gold(spark: SparkSession, d: str) -> DataFrame:
@@ -140,6 +140,31 @@ def similar_arcs(spark: SparkSession, d: str) -> DataFrame:
     return selection.similar_arcs(frames.arcs(g), g, target, 10)
 
 
+#: Targets of the searches are the sentences whose ``sent_idx`` it divides.
+EVERY = 100
+
+
+def _searched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The tokens of all targets and training sentences; (sent_idx, train, target) of these."""
+    asked = F.col("sent_idx") % EVERY == 0
+    s = table(spark, d, "sentences").select("sent_idx", F.coalesce(F.col("split") == "train", F.lit(False)).alias("train"), asked.alias("target")).where("train or target")
+    return _gold(spark, d).join(s, "sent_idx", "left_semi"), s
+
+
+def similarity_search(spark: SparkSession, d: str) -> DataFrame:
+    """The ten training sentences most like each target."""
+    g, s = _searched(spark, d)
+    f = cut(frames.sentence_features(g).join(s, "sent_idx"))
+    return selection.similar_sentences_each(f.where("train"), f.where("target"), 10)
+
+
+def similar_arcs_search(spark: SparkSession, d: str) -> DataFrame:
+    """The first ten arcs of the training sentences most like each target."""
+    g, s = _searched(spark, d)
+    f = cut(selection.arc_features(g).join(s, "sent_idx"))
+    return selection.similar_arcs_each(g, f.where("train"), f.where("target"), 10)
+
+
 def best_arcs(spark: SparkSession, d: str) -> DataFrame:
     return selection.best_arcs(_arcs(spark, d))
 
@@ -260,4 +285,4 @@ SELECT deprel, sent_idx, id, form, head, head_form, score FROM arcs JOIN s USING
 SELECT round((SELECT count(*) FROM ch JOIN te USING (r))::DOUBLE / (SELECT count(*) FROM te), 9) AS relation_coverage, (SELECT count(*) FROM ch) AS relation_diversity, round(avg(n_tokens), 9) AS avg_sentence_length,
        round(avg(gloss_coverage), 9) AS avg_gloss_coverage, round(coalesce(stddev_pop(complexity), 0), 9) AS complexity_std, count(*) AS num_examples FROM stc""",
 }
-QUERIES = {k: globals()[k] for k in (*SQL, "random_pick", "split_by_seed", "random_arcs")}
+QUERIES = {k: globals()[k] for k in (*SQL, "random_pick", "split_by_seed", "random_arcs", "similarity_search", "similar_arcs_search")}
