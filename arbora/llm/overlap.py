@@ -10,12 +10,15 @@ each pair's shared spans are merged in order into the coverage of both texts, wh
 
 Texts of few words have short spans only. They join the array once more in gapped copies,
 whole and without any one word, so that each pair that differs in one word shares a copy.
-A seed that stands in more than ``HOT`` classes is lengthened by the word before and after it.
+Of a seed that stands in more than ``HOT`` classes, the pairs are not all tried. Instead the
+classes that hold such seeds join the array by their rarest words: a pair that differs in few
+enough words has two of them in common (see ``rare_keys``), so none is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,10 @@ SEED_LETTERS = 9
 GAPPED_MOST = 8
 GAPPED_LEAST = 4
 HOT = 5000
+#: Of classes with hot seeds, texts of at most so many words are paired by two rare words, others by one.
+LONG = 48
+#: The words whose frequency is known when words are ordered by rarity; all others count as rare.
+FREQUENT = 10_000
 #: A pair counts if less than this share of its words differs.
 DIFFER = 0.25
 
@@ -50,8 +57,8 @@ def folded(df: DataFrame, record: str, text: str, keep: list[str]) -> DataFrame:
     return read.mapInArrow(run, f"{kinds}, words string").where("words <> ''")
 
 
-def seeds(ws: list[str]) -> Iterator[tuple[str, str, str]]:
-    """(cut suffix, word before, word after) at every word whose suffix is long enough."""
+def seeds(ws: list[str]) -> Iterator[str]:
+    """The cut suffix at every word whose suffix is long enough."""
     n = len(ws)
     size = [len(w) for w in ws]
     for i in range(n - SEED_WORDS + 1):
@@ -61,7 +68,7 @@ def seeds(ws: list[str]) -> Iterator[tuple[str, str, str]]:
             letters += size[j]
             j += 1
         if letters >= SEED_LETTERS:
-            yield " ".join(ws[i:j]), ws[i - 1] if i else "", ws[j] if j < n else ""
+            yield " ".join(ws[i:j])
 
 
 def gapped(ws: list[str]) -> Iterator[str]:
@@ -73,31 +80,62 @@ def gapped(ws: list[str]) -> Iterator[str]:
                 yield "\x02" + " ".join(ws[:i] + ws[i + 1 :])
 
 
+def changes(n: int, differ: float) -> int:
+    """The most words in which a text of n words can differ from another that is no longer."""
+    d = int(differ * n)
+    return d if d < differ * n else d - 1
+
+
+def rare_keys(ws: list[str], rank: dict[str, int], differ: float) -> Iterator[str]:
+    """Keys of which any two texts that differ in less than ``differ`` share one.
+
+    ``rank`` has the frequent words, the most frequent first. With all words ordered by rarity, a repeated one as new ones, and d
+    words that may differ, the first m words that both texts share are among the first d + m of either. So texts
+    of up to ``LONG`` words have all pairs of the first d + 2; where one is longer, the other has
+    more than ``(1 - differ) * LONG`` words, and both have each of the first d + 1.
+    """
+    seen: dict[str, int] = {}
+    order = []
+    for w in ws:
+        n = seen[w] = seen.get(w, -1) + 1
+        order.append((-rank.get(w, FREQUENT), f"{w}\x01{n}"))
+    order.sort()
+    d = changes(len(ws), differ)
+    pairs = LONG if differ <= 0.5 else 0  # two words in common at least
+    if len(ws) <= pairs:
+        for (_, x), (_, y) in combinations(order[: d + 2], 2):
+            yield f"\x05{x}\x05{y}"
+    if len(ws) > (1 - differ) * pairs:
+        for _, x in order[: d + 1]:
+            yield f"\x06{x}"
+
+
+def rare_rows(classes: DataFrame, differ: float) -> DataFrame:
+    """(seed, class, train, other): the keys by rare words of all class texts."""
+    count = classes.select(F.explode(F.split("words", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    rank = {r["w"]: i for i, r in enumerate(count.orderBy(F.desc("n"), "w").limit(FREQUENT).collect())}
+    return _keyed(classes, lambda ws: rare_keys(ws, rank, differ))
+
+
 def suffix_rows(classes: DataFrame) -> DataFrame:
-    """(seed, class, train, other, before, after): the cut suffixes of all class texts."""
+    """(seed, class, train, other): the cut suffixes of all class texts."""
+    return _keyed(classes, lambda ws: dict.fromkeys([*seeds(ws), *gapped(ws)]))
+
+
+def _keyed(classes: DataFrame, keys: Callable[[list[str]], Iterable[str]]) -> DataFrame:
+    """(seed, class, train, other): the keys of each class text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, seed, before, after = [], [], [], []
+            rows, seed = [], []
             for i, text in enumerate(b.column("words").to_pylist()):
-                ws = text.split(" ")
-                got = dict.fromkeys(seeds(ws))
-                for s, x, y in got:
-                    seed.append(s)
-                    before.append(x)
-                    after.append(y)
-                short = dict.fromkeys(gapped(ws))
-                seed += short
-                before += [None] * len(short)
-                after += [None] * len(short)
-                rows += [i] * (len(got) + len(short))
+                got = list(keys(text.split(" ")))
+                seed += got
+                rows += [i] * len(got)
             take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(seed, pa.string()), *(b.column(c).take(take) for c in ("class", "train", "other")), pa.array(before, pa.string()), pa.array(after, pa.string())],
-                ["seed", "class", "train", "other", "before", "after"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(seed, pa.string()), *(b.column(c).take(take) for c in ("class", "train", "other"))], ["seed", "class", "train", "other"])
 
-    return classes.select("class", "train", "other", "words").mapInArrow(run, "seed string, class bigint, train boolean, other boolean, before string, after string")
+    return classes.select("class", "train", "other", "words").mapInArrow(run, "seed string, class bigint, train boolean, other boolean")
 
 
 def crossing(rows: DataFrame) -> DataFrame:
@@ -161,13 +199,13 @@ def common_words(a: list[str], b: list[str]) -> int:
 def near_classes(classes: DataFrame, *, differ: float = DIFFER, hot: int = HOT) -> DataFrame:
     """(train_class, other_class): different classes whose texts differ in less than ``differ`` of their words."""
     rows = cut(crossing(suffix_rows(classes)))
-    heavy = rows.where("before is not null").groupBy("seed").count().where(F.col("count") > hot).select("seed")
+    heavy = rows.where(~F.startswith("seed", F.lit("\x02"))).groupBy("seed").count().where(F.col("count") > hot).select("seed")
     if not heavy.isEmpty():
         heavy = cut(heavy)
-        light = rows.join(heavy, "seed", "left_anti").select("seed", "class", "train", "other")
-        more = rows.join(heavy, "seed", "left_semi")
-        longer = F.array(F.concat_ws("\x03", "before", "seed"), F.concat_ws("\x04", "seed", "after"))
-        rows = light.unionByName(more.select(F.explode(longer).alias("seed"), "class", "train", "other"))
+        light = rows.join(heavy, "seed", "left_anti")
+        held = rows.join(heavy, "seed", "left_semi").select("class").distinct()
+        rare = crossing(rare_rows(cut(classes.join(held, "class", "left_semi")), differ))
+        rows = light.unionByName(cut(rare))
     left = rows.where("train").select("seed", F.col("class").alias("a"))
     right = rows.where("other").select("seed", F.col("class").alias("b"))
     pairs = left.join(right, "seed").where("a <> b").select("a", "b").distinct()
@@ -194,7 +232,7 @@ def split_overlap(df: DataFrame, *, record: str = "sent_idx", text: str = "text"
     otherwise they differ in less than ``differ`` of their words. A null split belongs to no side; null
     texts and texts without letters and digits overlap with none; repeated rows count each.
     Of texts above ``GAPPED_MOST`` words a pair is found if it shares a span of ``SEED_WORDS`` words with
-    ``SEED_LETTERS`` letters (a seed in over ``HOT`` classes needs a word more on either side).
+    ``SEED_LETTERS`` letters, however many texts hold it.
     """
     side = df.where(F.col(split).isNotNull()).withColumn("_train", F.col(split) == train)
     f = folded(side, record, text, ["_train"])
