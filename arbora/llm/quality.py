@@ -59,10 +59,7 @@ N_WORDS = (
 STAY = 0.88
 START = (0.46, 0.14, 0.14, 0.08, 0.06, 0.06, 0.06)
 PRIOR = 200
-#: How states begin and follow each other is trained on a sample of about so many documents of at most
-#: so many characters, in so many rounds. Everything else covers all documents.
-SAMPLE = 2000
-SAMPLE_CHARACTERS = 20_000
+#: How states begin and follow each other is trained on all documents in so many rounds.
 ROUNDS = 3
 #: Binomial evidence of one segment counts as of so many trials at most: words and characters of a line are no independent draws.
 TRIALS = 40
@@ -123,16 +120,27 @@ class Moves(NamedTuple):
 
     def after(self, path: np.ndarray, first: np.ndarray) -> "Moves":
         """The chances by counts over labelled sequences, drawn to the untrained ones."""
+        return Moves.of(moves_in(path, first))
+
+    @staticmethod
+    def of(counts: np.ndarray) -> "Moves":
+        """The chances by the counts that ``moves_in`` gives, drawn to the untrained ones."""
         k = len(START)
         base = Moves.untrained()
-        start = np.bincount(path[first], minlength=k) + PRIOR * np.exp(base.start)
-        inner = np.ones(len(path), bool)
-        inner[first] = False
-        at = np.flatnonzero(inner)
-        step = np.bincount(path[at - 1].astype(np.int64) * k + path[at], minlength=k * k).reshape(k, k) + PRIOR * np.exp(base.step)
+        start = counts[:k] + PRIOR * np.exp(base.start)
+        step = counts[k:].reshape(k, k) + PRIOR * np.exp(base.step)
         return Moves(np.log(start / start.sum()), np.log(step / step.sum(1, keepdims=True)))
 
 
+def moves_in(path: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How often each state comes first, then how often each follows each, in labelled sequences."""
+    k = len(START)
+    inner = np.ones(len(path), bool)
+    inner[first] = False
+    at = np.flatnonzero(inner)
+    return np.concatenate([np.bincount(path[first], minlength=k), np.bincount(path[at - 1].astype(np.int64) * k + path[at], minlength=k * k)])
+
+
 def viterbi(evidence: np.ndarray, first: np.ndarray, length: np.ndarray, moves: Moves) -> np.ndarray:
     """The likeliest state of every row; the rows of a sequence stand together."""
     order = np.argsort(-length, kind="stable")
@@ -167,7 +175,7 @@ class Model:
 
     def __init__(self, common: list[tuple[str, str]], moves: Moves | None = None):
         self.moves = moves or Moves.untrained()
-        self.paths: list[tuple[np.ndarray, np.ndarray]] | None = None  # kept in training only
+        self.paths: list[tuple[np.ndarray, np.ndarray]] | None = None  # kept in training only, which needs no statistics
         fold = Fold()
         langs = sorted({lang for lang, _ in common})
         self.n = max(1, len(langs))
@@ -182,16 +190,13 @@ class Model:
         for cp in (9, 11, 12, 13, 0x85, 0x2028, 0x2029):
             self.fold[cp] = 32
 
-    def train(self, texts: list[str]) -> None:
-        """Fits how states follow each other to the likeliest labels of the texts, again and again."""
-        for _ in range(ROUNDS):
-            self.paths = []
-            for _, part in chunks(texts, 600_000):
-                self.measure(part)
-            if self.paths:
-                sizes = np.cumsum([0, *(len(p) for p, _ in self.paths)])
-                self.moves = self.moves.after(np.concatenate([p for p, _ in self.paths]), np.concatenate([f + n for (_, f), n in zip(self.paths, sizes)]))
+    def count(self, texts: list[str]) -> np.ndarray:
+        """``moves_in`` over the likeliest labels of the texts."""
+        self.paths = []
+        self.measure(texts)
+        got = sum((moves_in(p, f) for p, f in self.paths), np.zeros(len(START) * (len(START) + 1), np.int64))
         self.paths = None
+        return got
 
     def measure(self, texts: list[str]) -> dict[str, np.ndarray]:
         """Statistics of each text, by name; see ``text_quality``."""
@@ -285,6 +290,7 @@ class Model:
         path = viterbi(evidence, doc_first[has], doc_len[has], self.moves)
         if self.paths is not None:
             self.paths.append((path, doc_first[has]))
+            return {}
         state = np.array(LABEL)[path]
         out = {}
         weight = np.bincount(seg_doc, weights=chars, minlength=docs)
@@ -322,6 +328,31 @@ class Model:
 STATISTICS = ("n_words", "n_lines", "mean_word_length", "symbol_ratio", "digit_ratio", "ended_lines_share", "common_word_share", "repeated_share")
 
 
+def trained(docs: DataFrame, known: list[tuple[str, str]], text: str = "text") -> Moves:
+    """How states begin and follow each other, fitted to the likeliest labels of all whole documents, ``ROUNDS`` times.
+
+    A round reads the documents once. Each task gives one row a count; only their sums reach the driver.
+    """
+    moves = Moves.untrained()
+    read = docs.select(F.col(text).alias("text")).where(F.length("text") > 0)
+    for _ in range(ROUNDS):
+
+        def run(batches: Iterator[pa.RecordBatch], moves: Moves = moves) -> Iterator[pa.RecordBatch]:
+            model = Model(known, moves)
+            counts = np.zeros(len(START) * (len(START) + 1), np.int64)
+            for b in batches:
+                for _, part in chunks(b.column("text").to_pylist(), 600_000):
+                    counts += model.count(part)
+            at = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["at", "n"])
+
+        total = np.zeros(len(START) * (len(START) + 1), np.int64)
+        for at, n in read.mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n")).collect():
+            total[at] = n
+        moves = Moves.of(total)
+    return moves
+
+
 def text_quality(docs: DataFrame, common: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: the statistics, the share of each label, and ``label``.
 
@@ -330,19 +361,12 @@ def text_quality(docs: DataFrame, common: DataFrame, *, doc_id: str = "doc_id",
     an empty one and one of blanks only have zero statistics and the label ``junk``. Repeated rows give a
     row each. ``common`` (lang, word) is a reference table of at most ``MOST_WORDS`` rows;
     the language is found from the words, a document's own label of it is not used. Whole texts
-    are read, nothing is shuffled. How labels follow each other is trained first, on about ``SAMPLE`` documents
-    (twice as many at most) of at most ``SAMPLE_CHARACTERS``, chosen by a hash of their ids.
+    are read, no text is shuffled. How labels follow each other is trained first, on all documents (see ``trained``).
     """
     known = [(r[0], r[1]) for r in common.select("lang", "word").where("lang is not null and word is not null").limit(MOST_WORDS + 1).collect()]
     if len(known) > MOST_WORDS:
         raise ValueError(f"more than {MOST_WORDS} common words")
-    # about SAMPLE documents by a hash of their ids; the limit holds where one id is repeated without end
-    share = int(min(1.0, SAMPLE / max(1, docs.count())) * (1 << 40))
-    short = docs.where(F.pmod(F.xxhash64(F.col(doc_id).cast("string")), F.lit(1 << 40)) < share).select(F.col(text).alias("text")).where(F.length("text").between(1, SAMPLE_CHARACTERS))
-    sample = short.limit(2 * SAMPLE).collect()
-    trained = Model(known)
-    trained.train([r["text"] for r in sample])
-    moves = trained.moves
+    moves = trained(docs, known, text)
     kind = docs.schema[doc_id].dataType.simpleString()
     shares = [f"{s}_share" for s in STATES]
     cols = [*STATISTICS, *shares]
