@@ -35,12 +35,13 @@ PASSAGE_COST = 40
 
 _TAG = re.compile(r"<[^<>\n]{1,300}>")
 _ENTITY = re.compile(r"&#?\w{1,8};")
-_ROW = re.compile(r"(?m)^[0-9][0-9.-]*\t([^\t\n]*)\t[^\n]*$")
+#: A row of ten columns with an id and a head, as in CoNLL-U.
+_ROW = re.compile(r"(?m)^[0-9][0-9.-]*\t([^\t\n]*)\t(?:[^\t\n]*\t){4}(?:[0-9]+|_)\t[^\t\n]*\t[^\t\n]*\t[^\t\n]*$")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def plain(text: str) -> str:
-    """The text without markup; of token tables only the forms."""
+    """The text without markup; of token tables only the forms. What this takes away is searched by ``readings``."""
     if "<" in text:
         text = _TAG.sub(" ", text)
     if "&" in text:
@@ -50,6 +51,13 @@ def plain(text: str) -> str:
     return text
 
 
+def readings(text: str) -> list[str]:
+    """The text without markup and, where that took away letters of tags or rows, also with all of them."""
+    clean = plain(text)
+    whole = _ENTITY.sub(" ", text) if "&" in text else text
+    return [clean] if clean == whole else [clean, whole]
+
+
 def letters(text: str) -> np.ndarray:
     """Codes of the letters and digits of a text, 32 at spaces and all else."""
     codes = fold_table()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
@@ -172,7 +180,19 @@ class Items:
 
 def leaks_in(texts: list[str], items: Items, window: int, least: float) -> Iterator[tuple[int, int, float]]:
     """(index of the text, index of the item, share of the item's words) of every leak."""
-    parts = [letters(plain(t)) for t in texts]
+    read = [readings(t) for t in texts]
+    whose = [i for i, r in enumerate(read) for _ in r]
+    most: dict[tuple[int, int], float] = {}
+    for part, n, share in _passages([x for r in read for x in r], items, window, least):
+        k = whose[part], n
+        most[k] = max(share, most.get(k, 0.0))
+    for (i, n), share in most.items():
+        yield i, n, share
+
+
+def _passages(texts: list[str], items: Items, window: int, least: float) -> Iterator[tuple[int, int, float]]:
+    """As ``leaks_in``, of texts as they are."""
+    parts = [letters(t) for t in texts]
     parts = [p[p != 32] for p in parts]
     ends = np.cumsum([len(p) for p in parts])
     if not len(ends) or not ends[-1]:
