@@ -164,7 +164,7 @@ def model_table(blocks: DataFrame, key: Iterable[str] = ("key",), text: str = "b
     A row without exactly ten columns, or whose id or head is no whole number, has ``ok`` false and nulls.
     """
     lines = F.filter(F.split(F.trim(F.col(text)), "\n"), lambda x: x.rlike(r"\S"))
-    rows = blocks.select(*key, F.posexplode(F.slice(lines, 4, 1_000_000)).alias("row", "line")).withColumn("f", F.split("line", "\t"))
+    rows = blocks.select(*key, F.posexplode(F.slice(lines, F.lit(4), F.size(lines))).alias("row", "line")).withColumn("f", F.split("line", "\t"))
     whole = lambda i: F.trim(F.try_element_at("f", F.lit(i))).rlike(r"^[+-]?[0-9]{1,9}$")
     ok = (F.size("f") == 10) & whole(1) & whole(6)
     out = [F.when(F.col("ok"), F.trim(F.col("f")[i]).try_cast("int") if c in ("id", "head") else F.col("f")[i]).alias(c) for i, c in enumerate(MODEL_COLUMNS)]
