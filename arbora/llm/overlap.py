@@ -2,45 +2,56 @@
 
 Texts are compared by look and case, without punctuation and accents. Texts equal in that form,
 spaces aside, are one class, and only classes are searched, so copies cost nothing. Over the
-class texts a partitioned suffix array is laid: the suffixes at all words, each cut where the
-common prefix is long enough to count (``SEED_WORDS`` words and ``SEED_LETTERS`` letters), sorted globally
-by range. Neighbouring suffixes with that common prefix form intervals; those with only one
-side are dropped where they stand. What remains names pairs of classes that share a span, and
-each pair's shared spans are merged in order into the coverage of both texts, which decides.
-
-Texts of few words have short spans only. They join the array once more in gapped copies,
-whole and without any one word, so that each pair that differs in one word shares a copy.
-Of a seed that stands in more than ``HOT`` classes, the pairs are not all tried. Instead the
-classes that hold such seeds join the array by their rarest words: a pair that differs in few
-enough words has two of them in common (see ``rare_keys``), so none is lost.
+class texts a partitioned suffix array is laid: the suffixes at all words, sorted globally by
+range. The common prefixes of neighbours, counted in words, give its intervals: all suffixes
+that begin with the same words, from two words on. An interval with both sides names the places
+at which classes share a span; spans of a pair at places too far apart for its few changes
+are passed over, and of the pairs that remain the shared spans are merged in order into the
+coverage of both texts, which decides.
+
+Why two words are enough: two texts that differ in less than a quarter of their words have more common words
+than runs of common words, even if each change is a word moved elsewhere, so one run has two words.
+
+An interval of more than ``HOT`` suffixes is not paired; its longer prefixes are, as far as they
+are smaller. Where hot intervals cover so much of a text that it could share nothing else with another,
+the text joins once more by its rarest words: a pair that differs in few enough words has two
+of them in common (see ``rare_keys``). So no pair is lost, however common its phrases.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbora.llm.script import Fold, words
-from arbora.session import cut
-
-SEED_WORDS = 3
-SEED_LETTERS = 9
-#: Texts of at most so many words also get gapped copies; so few words allow one change only.
-GAPPED_MOST = 8
-GAPPED_LEAST = 4
-HOT = 5000
-#: Of classes with hot seeds, texts of at most so many words are paired by two rare words, others by one.
+from arbora.session import stored
+
+#: Words that a shared span has at least.
+SPAN = 2
+#: Words by which suffixes are sorted. Only intervals above ``HOT`` are read deeper than ``SPAN``.
+DEPTH = 5
+#: Suffixes of the largest interval that is paired. It chooses between two ways that both lose nothing.
+HOT = 500
+#: Of classes under hot intervals, texts of at most so many words are paired by two rare words, others by one.
 LONG = 48
 #: The words whose frequency is known when words are ordered by rarity; all others count as rare.
 FREQUENT = 10_000
 #: A pair counts if less than this share of its words differs.
 DIFFER = 0.25
+#: The largest share for which a shared span of two words is certain.
+CERTAIN = 0.25
+#: Rows of one key that stay together in a join; keys with more are split.
+TOGETHER = 4096
+#: Rows of an unfinished interval that a task keeps in memory.
+HELD = 100_000
 
 
 def folded(df: DataFrame, record: str, text: str, keep: list[str]) -> DataFrame:
@@ -57,27 +68,153 @@ def folded(df: DataFrame, record: str, text: str, keep: list[str]) -> DataFrame:
     return read.mapInArrow(run, f"{kinds}, words string").where("words <> ''")
 
 
-def seeds(ws: list[str]) -> Iterator[str]:
-    """The cut suffix at every word whose suffix is long enough."""
-    n = len(ws)
-    size = [len(w) for w in ws]
-    for i in range(n - SEED_WORDS + 1):
-        j = i + SEED_WORDS
-        letters = sum(size[i:j])
-        while letters < SEED_LETTERS and j < n:
-            letters += size[j]
-            j += 1
-        if letters >= SEED_LETTERS:
-            yield " ".join(ws[i:j])
+# ------------------------------------------------------------------------------ rows to be paired
 
+#: What a row tells of its class, by which most pairs that are too different are seen without their texts.
+_ABOUT = ("class", "n", "sig", "train", "other")
+_ABOUT_KIND = "class bigint, n int, sig bigint, train boolean, other boolean"
 
-def gapped(ws: list[str]) -> Iterator[str]:
-    """The whole of a short text, and the text without each of its words."""
-    if GAPPED_LEAST <= len(ws) <= GAPPED_MOST:
-        yield "\x02" + " ".join(ws)
-        if len(ws) > GAPPED_LEAST:
-            for i in range(len(ws)):
-                yield "\x02" + " ".join(ws[:i] + ws[i + 1 :])
+
+def signature(ws: list[str], known: dict[str, int]) -> int:
+    """64 parities over the words: those of two texts differ at most once for each word that only one has."""
+    if len(known) > 200_000:
+        known.clear()
+    s = 0
+    for w in ws:
+        b = known.get(w)
+        if b is None:
+            b = known[w] = 1 << (xxhash.xxh64_intdigest(w) & 63)
+        s ^= b
+    return s - (1 << 64) if s >> 63 else s
+
+
+def _keyed(classes: DataFrame, keys: Callable[[list[str]], Iterable[tuple[int, str]]], name: str) -> DataFrame:
+    """(name, at, class, n, sig, train, other): the keys of each class text with their places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for b in batches:
+            rows, key, at, n, sig = [], [], [], [], []
+            for i, text in enumerate(b.column("words").to_pylist()):
+                ws = text.split(" ")
+                n.append(len(ws))
+                sig.append(signature(ws, known))
+                for p, k in keys(ws):
+                    rows.append(i)
+                    at.append(p)
+                    key.append(k)
+            take = pa.array(rows, pa.int64())
+            about = [b.column("class"), pa.array(n, pa.int32()), pa.array(sig, pa.int64()), b.column("train"), b.column("other")]
+            yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(at, pa.int32()), *(c.take(take) for c in about)], [name, "at", *_ABOUT])
+
+    return classes.select("class", "train", "other", "words").mapInArrow(run, f"{name} string, at int, {_ABOUT_KIND}")
+
+
+def suffixes(ws: list[str]) -> Iterator[tuple[int, str]]:
+    """The suffix at every word that has ``SPAN`` words, as far as it is sorted by."""
+    for i in range(len(ws) - SPAN + 1):
+        yield i, " ".join(ws[i : i + DEPTH])
+
+
+# ------------------------------------------------------------------------------ the array's intervals
+
+
+def _prefixes(suffix: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the words of each suffix, -1 behind its last, and their count."""
+    split = pc.split_pattern(suffix, " ")
+    size = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = split.flatten().dictionary_encode().indices.to_numpy()
+    m = np.full((len(size), DEPTH), -1, np.int64)
+    first = np.cumsum(size) - size
+    row = np.repeat(np.arange(len(size)), size)
+    m[row, np.arange(len(flat)) - first[row]] = flat
+    return m, size
+
+
+def _common(m: np.ndarray) -> np.ndarray:
+    """Words of the common prefix of each suffix with the one before it; 0 for the first."""
+    out = np.zeros(len(m), np.int64)
+    same = np.ones(max(0, len(m) - 1), bool)
+    for d in range(m.shape[1]):
+        same = same & (m[1:, d] == m[:-1, d]) & (m[1:, d] >= 0)
+        out[1:] += same
+    return out
+
+
+def _intervals(t: pa.Table, hot: int, left: bool, right: bool) -> pa.RecordBatch:
+    """The rows (node, depth, open, hot, at, class, ...) that a stretch of the array gives.
+
+    A suffix stands for the widest of its intervals with at most ``hot`` suffixes and, as a ``hot`` row, for the narrowest one above that.
+    ``left`` and ``right`` tell that the stretch may go on there; of intervals at such an end the
+    true size is not known, so all of them that are small here are given, as ``open``.
+    """
+    t = t.combine_chunks()
+    suffix = t.column("suffix").combine_chunks()
+    m, size = _prefixes(suffix)
+    common = _common(m)
+    n = len(common)
+    train, other = (t.column(c).to_numpy() for c in ("train", "other"))
+    alive = np.ones(n, bool)
+    heat = np.zeros(n, np.int64)
+    got: list[tuple[np.ndarray, int, bool]] = []
+    for d in range(SPAN, DEPTH + 1):
+        alive &= size >= d
+        if not alive.any():
+            break
+        starts = np.flatnonzero(common < d)
+        members = np.diff(np.append(starts, n))
+        both = np.logical_or.reduceat(train, starts) & np.logical_or.reduceat(other, starts)
+        end = np.zeros(len(starts), bool)
+        end[0] |= left
+        end[-1] |= right
+        big = members > hot
+        each = lambda x: np.repeat(x, members)  # noqa: E731, B023
+        got.append((np.flatnonzero(alive & each(~end & ~big & both)), d, False))
+        got.append((np.flatnonzero(alive & each(end & ~big)), d, True))
+        heat[alive & each(big & (both | end))] = d
+        alive &= each(end | big & both)
+    hotrows = np.flatnonzero(heat)
+    row = np.concatenate([*(g[0] for g in got), hotrows]).astype(np.int64)
+    depth = np.concatenate([*(np.full(len(g[0]), g[1]) for g in got), heat[hotrows]]).astype(np.int32)
+    open_ = np.concatenate([*(np.full(len(g[0]), g[2]) for g in got), np.zeros(len(hotrows), bool)])
+    is_hot = np.arange(len(row)) >= len(row) - len(hotrows)
+    take = pa.array(row)
+    name = [xxhash.xxh64_intdigest(" ".join(s.split(" ", d)[:d]), d) - (1 << 63) for s, d in zip(suffix.take(take).to_pylist(), depth.tolist())]
+    own = [t.column(c).combine_chunks().take(take) for c in ("at", *_ABOUT)]
+    return pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(depth), pa.array(open_), pa.array(is_hot), *own], ["node", "depth", "open", "hot", "at", *_ABOUT])
+
+
+def intervals(rows: DataFrame, hot: int) -> DataFrame:
+    """(node, depth, open, hot, at, class, ...) of all suffixes in intervals with both sides; see ``_intervals``.
+
+    The array is sorted by range over (suffix, class), so no interval has to fit one task.
+    """
+    array = rows.repartitionByRange("suffix", "class").sortWithinPartitions("suffix", "class")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the last interval waits for the next batch, but for a long one, which is above ``hot`` anyway
+        held: pa.Table | None = None
+        left = True
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
+            last = int(np.flatnonzero(_common(_prefixes(t.column("suffix").combine_chunks())[0]) < SPAN)[-1])
+            if last:
+                yield _intervals(t.slice(0, last), hot, left, False)
+                left = False
+            held = t.slice(last)
+            if held.num_rows > max(HELD, hot):
+                yield _intervals(held, hot, left, True)
+                held, left = None, True
+        if held is not None and held.num_rows:
+            yield _intervals(held, hot, left, True)
+
+    return array.mapInArrow(run, f"node bigint, depth int, open boolean, hot boolean, at int, {_ABOUT_KIND}")
+
+
+# ------------------------------------------------------------------------------ texts under hot intervals
 
 
 def changes(n: int, differ: float) -> int:
@@ -111,76 +248,40 @@ def rare_keys(ws: list[str], rank: dict[str, int], differ: float) -> Iterator[st
 
 
 def rare_rows(classes: DataFrame, differ: float) -> DataFrame:
-    """(seed, class, train, other): the keys by rare words of all class texts."""
+    """(node, at, class, ...): the keys by rare words of all class texts."""
     count = classes.select(F.explode(F.split("words", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     rank = {r["w"]: i for i, r in enumerate(count.orderBy(F.desc("n"), "w").limit(FREQUENT).collect())}
-    return _keyed(classes, lambda ws: rare_keys(ws, rank, differ))
-
-
-def suffix_rows(classes: DataFrame) -> DataFrame:
-    """(seed, class, train, other): the cut suffixes of all class texts."""
-    return _keyed(classes, lambda ws: dict.fromkeys([*seeds(ws), *gapped(ws)]))
+    keys = lambda ws: ((0, k) for k in rare_keys(ws, rank, differ))
+    return _keyed(classes, keys, "key").select(F.xxhash64("key").alias("node"), "at", *_ABOUT)
 
 
-def _keyed(classes: DataFrame, keys: Callable[[list[str]], Iterable[str]]) -> DataFrame:
-    """(seed, class, train, other): the keys of each class text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, seed = [], []
-            for i, text in enumerate(b.column("words").to_pylist()):
-                got = list(keys(text.split(" ")))
-                seed += got
-                rows += [i] * len(got)
-            take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(seed, pa.string()), *(b.column(c).take(take) for c in ("class", "train", "other"))], ["seed", "class", "train", "other"])
-
-    return classes.select("class", "train", "other", "words").mapInArrow(run, "seed string, class bigint, train boolean, other boolean")
+@lru_cache(10_000)
+def least_covered(n: int, differ: float) -> int:
+    """Words under hot intervals from which a text of n words may have a partner with which it shares no other span.
 
+    With another text of m words, m not below n, it has l words in common at least, in n + m - 2 l + 1
+    runs at most. A run is one word, or lies under hot intervals.
+    """
+    return min(2 * m - 3 * changes(m, differ) - n - 1 for m in range(n, n + 5))
 
-def crossing(rows: DataFrame) -> DataFrame:
-    """The suffixes in intervals that hold both sides.
 
-    The array is sorted by range over (seed, class), so no interval has to fit one task. The
-    intervals at a partition's ends may go on in the next and always stay.
-    """
-    array = rows.repartitionByRange("seed", "class").sortWithinPartitions("seed", "class")
+def under_hot(spans: DataFrame, differ: float) -> DataFrame:
+    """The classes that hot intervals (at, depth) cover so far that they must be paired by rare words."""
+    own = spans.groupBy("class").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "depth"))).alias("s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # an interval that reaches the end of a batch waits for the next one; a long one is let
-        # through as it comes, as it would have to be kept otherwise
-        held: pa.Table | None = None
-        first = True
         for b in batches:
-            if not b.num_rows:
-                continue
-            t = pa.Table.from_batches([b])
-            if held is not None:
-                t = pa.concat_tables([held, t])
-            t = t.combine_chunks()
-            seed = t.column("seed").combine_chunks()
-            n = len(seed)
-            starts = np.flatnonzero(np.concatenate([[True], pc.not_equal(seed[1:], seed[:-1]).to_numpy(zero_copy_only=False)]))
-            keep = np.logical_and(
-                np.logical_or.reduceat(t.column("train").to_numpy(), starts),
-                np.logical_or.reduceat(t.column("other").to_numpy(), starts),
-            )
-            size = np.diff(np.append(starts, n))
-            if first:
-                keep[0] = True  # it may have begun in the partition before
-            open_end = int(starts[-1])
-            if n - open_end > 100_000:
-                keep[-1] = True
-                held, first = None, True
-            else:
-                held = t.slice(open_end)
-                keep[-1] = False
-                first = first and open_end == 0
-            yield from t.filter(pa.array(np.repeat(keep, size))).to_batches()
-        if held is not None:
-            yield from held.to_batches()
-
-    return array.mapInArrow(run, rows.schema)
+            keep = []
+            for n, s in zip(b.column("n").to_pylist(), b.column("s").to_pylist()):
+                covered = end = 0
+                for x in s:
+                    to = x["at"] + x["depth"]
+                    covered += max(0, to - max(end, x["at"]))
+                    end = max(end, to)
+                keep.append(covered >= least_covered(n, differ))
+            yield b.select(["class"]).filter(pa.array(keep, pa.bool_()))
+
+    return own.mapInArrow(run, "class bigint")
 
 
 def common_words(a: list[str], b: list[str]) -> int:
@@ -196,21 +297,52 @@ def common_words(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
+# ------------------------------------------------------------------------------ pairs
+
+
+def _candidates(differ: float) -> Column:
+    """Whether two rows of one node may belong to a pair: too few words lie before or behind the span, or are missing, for more."""
+    most = differ * F.greatest("n", "n_b")
+    before, behind = F.abs(F.col("at") - F.col("at_b")), F.abs((F.col("n") - F.col("at")) - (F.col("n_b") - F.col("at_b")))
+    odd = F.bit_count(F.col("sig").bitwiseXOR(F.col("sig_b")))
+    return (F.col("class") != F.col("class_b")) & (before < most) & (behind < most) & (odd < 2 * most - F.abs(F.col("n") - F.col("n_b")))
+
+
+def _met(rows: DataFrame, differ: float, *on: str) -> DataFrame:
+    """(a, b): classes that meet in a node, the training side first."""
+    right = rows.where("other").select(*on, *(F.col(c).alias(c + "_b") for c in ("at", "class", "n", "sig")))
+    return rows.where("train").join(right, list(on)).where(_candidates(differ)).select(F.col("class").alias("a"), F.col("class_b").alias("b"))
+
+
+def _met_split(rows: DataFrame, differ: float) -> DataFrame:
+    """As ``_met``, of nodes of any size: the training side of a large one is spread over many tasks, each with the other side."""
+    size = rows.groupBy("node").agg(F.count("*").alias("_n"), F.bool_or("train").alias("_t"), F.bool_or("other").alias("_o")).where("_t and _o")
+    parts = size.select("node", F.ceil(F.col("_n") / TOGETHER).cast("int").alias("_parts"))
+    r = rows.join(parts, "node")
+    left = r.where("train").withColumn("_part", F.pmod(F.xxhash64("class"), F.col("_parts")).cast("int"))
+    right = r.where("other").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    both = left.withColumn("other", F.lit(False)).unionByName(right.withColumn("train", F.lit(False)))
+    return _met(both, differ, "node", "_part")
+
+
 def near_classes(classes: DataFrame, *, differ: float = DIFFER, hot: int = HOT) -> DataFrame:
     """(train_class, other_class): different classes whose texts differ in less than ``differ`` of their words."""
-    rows = cut(crossing(suffix_rows(classes)))
-    heavy = rows.where(~F.startswith("seed", F.lit("\x02"))).groupBy("seed").count().where(F.col("count") > hot).select("seed")
-    if not heavy.isEmpty():
-        heavy = cut(heavy)
-        light = rows.join(heavy, "seed", "left_anti")
-        held = rows.join(heavy, "seed", "left_semi").select("class").distinct()
-        rare = crossing(rare_rows(cut(classes.join(held, "class", "left_semi")), differ))
-        rows = light.unionByName(cut(rare))
-    left = rows.where("train").select("seed", F.col("class").alias("a"))
-    right = rows.where("other").select("seed", F.col("class").alias("b"))
-    pairs = left.join(right, "seed").where("a <> b").select("a", "b").distinct()
+    nodes = stored(intervals(_keyed(classes, suffixes, "suffix"), hot))
+    cols = ["node", "depth", "at", *_ABOUT]
+    open_ = nodes.where("open")
+    size = open_.groupBy("node").agg(F.count("*").alias("_n"), F.bool_or("train").alias("_t"), F.bool_or("other").alias("_o")).where("_t and _o")
+    small = open_.join(size.where(F.col("_n") <= hot), "node").select(*cols)
+    large = open_.join(size.where(F.col("_n") > hot), "node").select(*cols)
+    pairs = _met(nodes.where("not open and not hot").select(*cols).unionByName(small), differ, "node")
+    if differ > CERTAIN:
+        held: DataFrame | None = classes
+    else:
+        flagged = stored(under_hot(nodes.where("hot").select(*cols).unionByName(large), differ))
+        held = None if flagged.isEmpty() else stored(classes.join(flagged, "class", "left_semi"))
+    if held is not None:
+        pairs = pairs.unionByName(_met_split(stored(rare_rows(held, differ)), differ))
     text = classes.select("class", "words")
-    both = pairs.join(text.toDF("a", "words_a"), "a").join(text.toDF("b", "words_b"), "b")
+    both = pairs.distinct().join(text.toDF("a", "words_a"), "a").join(text.toDF("b", "words_b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,26 +357,53 @@ def near_classes(classes: DataFrame, *, differ: float = DIFFER, hot: int = HOT)
     return kept.select(F.col("a").alias("train_class"), F.col("b").alias("other_class"))
 
 
-def split_overlap(df: DataFrame, *, record: str = "sent_idx", text: str = "text", split: str = "split", train: str = "train", differ: float = DIFFER) -> DataFrame:
-    """(train_record, other_record, exact): all pairs of a training row and a row of another split with the same text.
+def class_overlap(df: DataFrame, *, record: str = "sent_idx", text: str = "text", split: str = "split", train: str = "train", differ: float = DIFFER, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Links (train_class, other_class, exact, n_train, n_other) and members (record, keep, in_train, class, n_train, n_other).
 
-    ``exact`` is true where the texts are equal by look and case, spaces and punctuation aside;
-    otherwise they differ in less than ``differ`` of their words. A null split belongs to no side; null
-    texts and texts without letters and digits overlap with none; repeated rows count each.
-    Of texts above ``GAPPED_MOST`` words a pair is found if it shares a span of ``SEED_WORDS`` words with
-    ``SEED_LETTERS`` letters, however many texts hold it.
+    A class holds all records with one text by look and case, spaces and punctuation aside, and ``n_train`` and ``n_other`` count them
+    by side: in a link those of its training class and of its other class, in a member those of its own. A class with both sides is linked with itself,
+    which is ``exact``. A null split belongs to no side; null texts and texts without letters and digits are in no class.
     """
-    side = df.where(F.col(split).isNotNull()).withColumn("_train", F.col(split) == train)
-    f = folded(side, record, text, ["_train"])
+    keep = keep or []
+    side = df.where(F.col(split).isNotNull()).withColumn("_in_train", F.col(split) == train)
     letters = F.translate("words", " ", "")
-    keyed = f.withColumn("k1", F.xxhash64(letters)).withColumn("k2", F.xxhash64(F.concat(F.lit("#"), letters)))
-    keyed = cut(keyed)
-    found = keyed.groupBy("k1", "k2").agg(F.min(F.struct("record", "words")).alias("m"), F.bool_or("_train").alias("train"), F.bool_or(~F.col("_train")).alias("other"))
-    classes = cut(found.select("k1", "k2", F.col("m.record").cast("bigint").alias("class"), F.col("m.words").alias("words"), "train", "other"))
+    f = folded(side, record, text, ["_in_train", *keep])
+    keyed = stored(f.withColumn("k1", F.xxhash64(letters)).withColumn("k2", F.xxhash64(F.concat(F.lit("#"), letters))))
+    t, o = F.count_if("_in_train"), F.count_if(~F.col("_in_train"))
+    found = keyed.groupBy("k1", "k2").agg(F.min(F.struct("record", "words")).alias("m"), t.alias("n_train"), o.alias("n_other"))
+    classes = stored(found.select("k1", "k2", F.col("m.record").cast("bigint").alias("class"), F.col("m.words").alias("words"), "n_train", "n_other", (F.col("n_train") > 0).alias("train"), (F.col("n_other") > 0).alias("other")))
     near = near_classes(classes, differ=differ)
-    equal = classes.where("train and other").select(F.col("class").alias("train_class"), F.col("class").alias("other_class"))
+    size = classes.select("class", "n_train", "n_other")
+    near = near.join(size.select(F.col("class").alias("train_class"), "n_train"), "train_class").join(size.select(F.col("class").alias("other_class"), "n_other"), "other_class")
+    equal = classes.where("train and other").select(F.col("class").alias("train_class"), F.col("class").alias("other_class"), "n_train", "n_other")
     links = equal.withColumn("exact", F.lit(True)).unionByName(near.withColumn("exact", F.lit(False)))
-    member = keyed.select("record", "_train", "k1", "k2").join(classes.select("k1", "k2", "class"), ["k1", "k2"]).select("record", "_train", "class")
-    trains = member.where("_train").select(F.col("record").alias("train_record"), F.col("class").alias("train_class"))
-    others = member.where("not _train").select(F.col("record").alias("other_record"), F.col("class").alias("other_class"))
-    return links.join(trains, "train_class").join(others, "other_class").select("train_record", "other_record", "exact")
+    members = keyed.drop("words").join(classes.select("k1", "k2", "class", "n_train", "n_other"), ["k1", "k2"])
+    return links, members.select("record", *keep, F.col("_in_train").alias("in_train"), "class", "n_train", "n_other")
+
+
+def _chunk(n: str) -> Column:
+    return F.pmod(F.xxhash64("record"), F.ceil(F.col(n) / TOGETHER)).cast("int")
+
+
+def split_overlap(df: DataFrame, *, record: str = "sent_idx", text: str = "text", split: str = "split", train: str = "train", differ: float = DIFFER) -> DataFrame:
+    """(train_record, other_record, exact): all pairs of a training row and a row of another split with the same text.
+
+    ``exact`` is true where the texts are equal by look and case, spaces and punctuation aside;
+    otherwise they differ in less than ``differ`` of their words, a moved word counting once. A null split belongs to no side; null
+    texts and texts without letters and digits overlap with none; repeated rows count each. Every such pair is found, however
+    many texts share its words. Classes of many copies are put together in pieces of ``TOGETHER`` records.
+    """
+    links, members = class_overlap(df, record=record, text=text, split=split, train=train, differ=differ)
+    pieces = lambda n: F.sequence(F.lit(0), F.ceil(F.col(n) / TOGETHER).cast("int") - 1)
+    cut = links.withColumn("_t", F.explode(pieces("n_train"))).withColumn("_o", F.explode(pieces("n_other"))).drop("n_train", "n_other")
+    trains = members.where("in_train").select(F.col("record").alias("train_record"), F.col("class").alias("train_class"), _chunk("n_train").alias("_t"))
+    others = members.where("not in_train").select(F.col("record").alias("other_record"), F.col("class").alias("other_class"), _chunk("n_other").alias("_o"))
+    return cut.join(trains, ["train_class", "_t"]).join(others, ["other_class", "_o"]).select("train_record", "other_record", "exact")
+
+
+def overlap_counts(df: DataFrame, by: list[str], *, record: str = "sent_idx", text: str = "text", split: str = "split", train: str = "train", differ: float = DIFFER) -> DataFrame:
+    """(by, n_pairs, n_exact, n_sentences): overlapping pairs and records of other splits, from the counts of classes; no pair of records is made."""
+    links, members = class_overlap(df, record=record, text=text, split=split, train=train, differ=differ, keep=by)
+    own = links.groupBy(F.col("other_class").alias("class")).agg(F.sum("n_train").alias("pairs"), F.sum(F.when(F.col("exact"), F.col("n_train")).otherwise(0)).alias("exact"))
+    held = members.where("not in_train").groupBy("class", *by).agg(F.count("*").alias("n"), F.count_distinct("record").alias("records"))
+    return held.join(own, "class").groupBy(*by).agg(F.sum(F.col("n") * F.col("pairs")).alias("n_pairs"), F.sum(F.col("n") * F.col("exact")).alias("n_exact"), F.sum("records").alias("n_sentences"))

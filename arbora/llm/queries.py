@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from arbora.llm import ngrams
 from arbora.llm.leaks import find_leaks
-from arbora.llm.overlap import split_overlap
+from arbora.llm.overlap import class_overlap, overlap_counts, split_overlap
 from arbora.llm.packing import pack
 from arbora.llm.quality import text_quality
 from arbora.llm.script import inconsistent
@@ -90,19 +90,23 @@ def p2_upos_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("k", F.replace("gram", F.lit(ngrams.JOINT), F.lit(" ")).alias("gram"), F.col("occurrences").alias("n_rows"), F.col("records").alias("n_sentences"))
 
 
-def _overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_overlap(table(spark, sf_dir, "sentences"))
-
-
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of a training and another sentence with the same text."""
-    return _overlap(spark, sf_dir).select(F.least("train_record", "other_record").alias("sent_a"), F.greatest("train_record", "other_record").alias("sent_b"))
+    found = split_overlap(table(spark, sf_dir, "sentences"))
+    return found.select(F.least("train_record", "other_record").alias("sent_a"), F.greatest("train_record", "other_record").alias("sent_b"))
 
 
 def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlapping pairs and sentences of each evaluation split and source."""
-    s = table(spark, sf_dir, "sentences").select(F.col("sent_idx").alias("other_record"), "split", "source")
-    return _overlap(spark, sf_dir).join(s, "other_record").groupBy("split", "source").agg(F.count("*").alias("n_pairs"), F.count_if("exact").alias("n_exact"), F.count_distinct("other_record").alias("n_sentences"))
+    return overlap_counts(table(spark, sf_dir, "sentences"), ["split", "source"])
+
+
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sentence with the class of its text, that class's rows of either side, and the classes of the other side it is linked with."""
+    links, members = class_overlap(table(spark, sf_dir, "sentences"))
+    ends = links.select(F.col("train_class").alias("class"), F.lit(True).alias("in_train")).unionByName(links.select(F.col("other_class").alias("class"), F.lit(False).alias("in_train")))
+    n = ends.groupBy("class", "in_train").agg(F.count("*").alias("n_links"))
+    return members.join(n, ["class", "in_train"], "left").select(F.col("record").alias("sent_idx"), "class", "n_train", "n_other", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,4 +159,4 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (p1_subset, p1_few_shot, p2_found, p2_terms, p2_upos_ngrams, p3_found, p3_report, p7_found, p8_sequences, p8_fill, p9_found, p9_items, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_subset, p1_few_shot, p2_found, p2_terms, p2_upos_ngrams, p3_found, p3_report, p3_classes, p7_found, p8_sequences, p8_fill, p9_found, p9_items, p10_found, p10_statistics)}

@@ -59,11 +59,9 @@ def test_hot_seeds_lose_no_pair(spark, formulaic, monkeypatch, hot):
     real = overlap.near_classes
     monkeypatch.setattr(overlap, "near_classes", lambda c, differ: real(c, differ=differ, hot=hot))
     w = {i: t.split() for i, t, _ in formulaic}
-    share = lambda a, b: set(overlap.seeds(a)) & set(overlap.seeds(b))
-    true = {(i, j) for i, _, s in formulaic for j, _, z in formulaic if s == "train" and z != "train" and near(w[i], w[j])}
-    want = {(i, j) for i, j in true if share(w[i], w[j])}
+    want = {(i, j) for i, _, s in formulaic for j, _, z in formulaic if s == "train" and z != "train" and near(w[i], w[j])}
     got = {(r[0], r[1]) for r in split_overlap(spark.createDataFrame(formulaic, "sent_idx bigint, text string, split string")).collect()}
-    assert len(want) >= 60 and want <= got <= true
+    assert len(want) >= 60 and want == got
 
 
 def test_rare_keys_meet():
@@ -79,3 +77,47 @@ def test_rare_keys_meet():
                 met += 1
                 assert set(overlap.rare_keys(a, rank, differ)) & set(overlap.rare_keys(b, rank, differ)), (a, b)
         assert met > 300
+
+
+@pytest.mark.parametrize("hot", [overlap.HOT, 6, 1])
+def test_short_words_and_moved_words_lose_no_pair(spark, monkeypatch, hot):
+    """Words of two letters, texts from four words on, every kind of change up to the bar, and partitions that cut intervals."""
+    real = overlap.near_classes
+    monkeypatch.setattr(overlap, "near_classes", lambda c, differ: real(c, differ=differ, hot=hot))
+    monkeypatch.setattr(overlap, "HELD", 20)
+    rng = random.Random(5)
+    vocabulary = [a + b for a in "bdgklm" for b in "aeiou"]
+    rows = []
+    for _ in range(150):
+        w = [rng.choice(vocabulary) for _ in range(rng.choice([4, 5, 6, 8, 9, 12, 13, 16, 30]))]
+        rows.append((len(rows), " ".join(w), "train"))
+        rows.append((len(rows), " ".join(changed(rng, w, vocabulary, rng.randint(1, max(1, len(w) // 4)))), rng.choice(["dev", "test"])))
+    w = {i: t.split() for i, t, _ in rows}
+    want = {(i, j) for i, _, s in rows for j, _, z in rows if s == "train" and z != "train" and ("".join(w[i]) == "".join(w[j]) or near(w[i], w[j]))}
+    got = [(r[0], r[1]) for r in split_overlap(spark.createDataFrame(rows, "sent_idx bigint, text string, split string").repartition(3)).collect()]
+    assert len(want) > 90 and sorted(got) == sorted(want)
+
+
+def test_two_words_are_enough():
+    """Of two texts below the bar, some optimal alignment has a run of two words, whatever the changes."""
+    rng = random.Random(8)
+    met = 0
+    for _ in range(4000):
+        a = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(4, 40))]
+        b = changed(rng, a, "abcdefghijklmnopqrstuvwxyz", rng.randint(1, max(1, len(a) // 4)))
+        if near(a, b):
+            met += 1
+            assert set(zip(a, a[1:])) & set(zip(b, b[1:])), (a, b)
+    assert met > 1000
+
+
+def test_copies_in_pieces(spark, monkeypatch):
+    """A class of many copies: all pairs come out, and the counts are those of the pairs."""
+    monkeypatch.setattr(overlap, "TOGETHER", 7)
+    rows = [(i, "A text that stands here very often", "train" if i % 3 else "dev", "s") for i in range(90)] + [(900, "a text that stood here very often", "test", "z"), (901, None, "dev", "z")]
+    df = spark.createDataFrame(rows, "sent_idx bigint, text string, split string, source string")
+    got = [tuple(r) for r in split_overlap(df).collect()]
+    assert len(got) == len(set(got)) == 60 * 30 + 60
+    counts = sorted(tuple(r) for r in overlap.overlap_counts(df, ["split", "source"]).collect())
+    assert counts == [("dev", "s", 1800, 1800, 30), ("test", "z", 60, 0, 1)]
+    assert overlap.overlap_counts(df.limit(0), ["split"]).count() == 0
