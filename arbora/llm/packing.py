@@ -2,9 +2,9 @@
 
 Texts are measured in tokens of a public tokenizer and spread over blocks by a hash, so that no
 block is large and no source or group of copies fills one. In a block, the items are taken
-from the longest to the shortest. Bins are kept by the room they have left, and each carries bitmaps of
-the sources and of the groups of copies in it. For an item the search starts at the least room
-that holds it and goes on to more room until a bin without conflict is found; else a new bin opens.
+from the longest to the shortest. Bins are ordered by the room they have left: each room has a bitmap of its
+bins, and each source and each group of copies a bitmap of the bins it is in. For an item the search starts at the least room
+that holds it and goes on to the next one until a bin without conflict is found; else a new bin opens.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import base64
 import math
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -28,28 +29,35 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Items of a block. More items fill the sequences a little better, fewer keep tasks smaller.
 BLOCK = 20_000
-#: Bins of the same room that are looked at for one without the item's source.
-LOOK = 16
-#: One bin more in so many may be opened to keep copies apart.
-SPARE = 200
+#: A bound for the vocabulary file, which is sent to every task.
+MOST_VOCABULARY = 64_000_000
 
 
 @lru_cache(2)
-def tokenizer(path: str):
+def _encoding(vocabulary: bytes):
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
 
 
+def tokenizer(path: str):
+    """The tokenizer of a vocabulary file."""
+    data = Path(path).read_bytes()
+    if len(data) > MOST_VOCABULARY:
+        raise ValueError(f"a vocabulary of more than {MOST_VOCABULARY} bytes")
+    return _encoding(data)
+
+
 def sized(docs: DataFrame, doc_id: str, text: str, source: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, source, n_tokens, copies): each text's length, and a number that copies by look and case share."""
+    """(doc_id, source, n_tokens, copies): each text's length, and a number that copies by look and case share. The vocabulary is read by the driver."""
+    tokenizer(vocabulary)
+    data = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
     read = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), F.col(text).alias("text"))
     read = read.where("doc_id is not null and text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = tokenizer(vocabulary)
+        t = _encoding(data.value)
         for b in batches:
             n, group = [], []
             for s in b.column("text").to_pylist():
@@ -61,98 +69,97 @@ def sized(docs: DataFrame, doc_id: str, text: str, source: str, vocabulary: str
     return read.mapInArrow(run, "doc_id bigint, source string, n_tokens int, copies bigint")
 
 
-def best_fit(lengths: list[int], groups: list[int], sources: list[int], capacity: int, apart: dict[int, int] | None = None) -> list[int]:
+def best_fit(lengths: list[int], groups: list[int], sources: list[int], capacity: int, apart: dict[int, int] | None = None, spare: int | None = None) -> list[int]:
     """The bin of each item. Lengths are at most ``capacity``.
 
-    ``groups`` and ``sources`` number the groups of copies and the sources. Items of one group do not share a
-    bin, except where that would open more bins than the items need (and one in ``SPARE`` more): then they go to the
-    tightest bin that holds them. ``apart`` has for a source the bitmap of the sources that it must never meet.
-    Where several bins have the least room, one without the item's source is preferred.
+    ``groups`` and ``sources`` number the groups of copies and the sources. Two items of one group never share a bin, and sources
+    never do that ``apart`` names: it has for a source the bitmap of the sources it must not meet.
+    Of several bins with the least room, one without the item's source is preferred. With ``spare``, copies are only
+    kept apart while no more bins are open than the items need and one in ``spare`` more.
     """
-    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], groups[i], i))
     need = max(1, math.ceil(sum(lengths) / capacity))
-    budget = need + need // SPARE + 1
+    budget = need + need // spare + 1 if spare else None
     times: dict[int, int] = {}
     for g in groups:
         times[g] = times.get(g, 0) + 1
-    bits = {g: 1 << k for k, g in enumerate(sorted(g for g, n in times.items() if n > 1))}
+    # copies that need about as many bins as there must be come first, and the others fill these
+    order = sorted(range(len(lengths)), key=lambda i: (2 * times[groups[i]] < need, -lengths[i], groups[i], i))
     apart = apart or {}
-    rooms: list[list[int]] = [[] for _ in range(capacity + 1)]
+    at_room = [0] * (capacity + 1)  # bitmaps of bins
+    of_group = {g: 0 for g, n in times.items() if n > 1}
+    of_source = [0] * (max(sources, default=0) + 1)
     filled = 0  # bitmap of the rooms that some bin has
-    in_group: list[int] = []
-    in_source: list[int] = []
+    bins = 0
     out = [0] * len(lengths)
     last, go_on = None, 0  # the last item's group and length, and the room below which it found no free bin
 
-    def search(room: int, bit: int, bad: int, source: int) -> tuple[int, int]:
-        """(bin, its room): the tightest compatible bin from this room on, -1 if there is none."""
+    def search(room: int, closed: int, met: int) -> tuple[int, int]:
+        """(bin, its room): the tightest bin from this room on that is not closed, -1 if there is none."""
         while room <= capacity:
             rest = filled >> room
             if not rest:
                 break
             room += (rest & -rest).bit_length() - 1
-            found, seen = -1, 0
-            for b in reversed(rooms[room]):
-                if in_group[b] & bit or in_source[b] & bad:
-                    continue
-                if found < 0 or not in_source[b] & source:
-                    found = b
-                seen += 1
-                if seen > LOOK or not in_source[b] & source:
-                    break
-            if found >= 0:
-                return found, room
+            free = at_room[room] & ~closed
+            if free:
+                return ((free & ~met) or free).bit_length() - 1, room
             room += 1
         return -1, capacity
 
     for i in order:
-        n, g, source = lengths[i], groups[i], 1 << sources[i]
-        bit, bad = bits.get(g, 0), apart.get(sources[i], 0)
-        start = max(n, go_on) if bit and (g, n) == last and not bad else n
-        found, room = search(start, bit, bad, source)
-        go_on = room if found >= 0 else capacity + 1
-        if found < 0 and bit and len(in_group) >= budget:
-            found, room = search(n, 0, bad, source)
+        n, g, source = lengths[i], groups[i], sources[i]
+        own = of_group.get(g, 0)
+        bad = apart.get(source, 0)
+        foe = 0
+        while bad:
+            foe |= of_source[(bad & -bad).bit_length() - 1] if (bad & -bad).bit_length() <= len(of_source) else 0
+            bad &= bad - 1
+        start = max(n, go_on) if (g, n) == last and g in of_group and not foe else n
+        found, room = search(start, own | foe, of_source[source])
+        go_on = n if foe else room if found >= 0 else capacity + 1
+        if found < 0 and own and budget is not None and bins >= budget:
+            found, room = search(n, foe, of_source[source])
         if found < 0:
-            found, room = len(in_group), capacity
-            in_group.append(0)
-            in_source.append(0)
+            found, room = bins, capacity
+            bins += 1
         else:
-            rooms[room].remove(found)
-            if not rooms[room]:
+            at_room[room] &= ~(1 << found)
+            if not at_room[room]:
                 filled &= ~(1 << room)
-        in_group[found] |= bit
-        in_source[found] |= source
-        rooms[room - n].append(found)
+        one = 1 << found
+        if g in of_group:
+            of_group[g] |= one
+        of_source[source] |= one
+        at_room[room - n] |= one
         filled |= 1 << (room - n)
         last = (g, n)
         out[i] = found
     return out
 
 
-def pack(docs: DataFrame, windows: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = VOCABULARY, apart: list[tuple[str, str]] | None = None, block: int = BLOCK) -> DataFrame:
+def pack(docs: DataFrame, windows: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", vocabulary: str = VOCABULARY, apart: list[tuple[str, str]] | None = None, block: int = BLOCK, spare: int | None = None) -> DataFrame:
     """(model_name, capacity, doc_id, piece, first_token, n_tokens, sequence, at): where every text comes to stand.
 
     ``windows`` has the columns model_name and capacity; the texts are packed for each. A text of at most
     ``capacity`` tokens is one piece. A longer one is cut into full pieces, each its own sequence, and one
     that holds the rest. ``first_token`` is where the piece starts in its text, ``at`` where it starts in its sequence.
-    ``sequence`` is unique for a model. Copies of a text stand in different sequences where that takes hardly more of them;
-    the pairs of sources in ``apart`` never share one. Empty texts are pieces of no tokens; null texts are left out, a
+    ``sequence`` is unique for a model. Copies of a text, by look and case, never share a sequence, nor do the pairs of sources in
+    ``apart``; ``spare`` lets copies meet where that takes more sequences than the texts need and one in ``spare`` more. Empty texts are pieces of no tokens; null texts are left out, a
     null source is one of its own. Repeated rows with one ``doc_id`` are packed each.
     """
     caps = windows.select("model_name", F.col("capacity").cast("int").alias("capacity")).where("capacity > 0")
     s = cut(sized(docs, doc_id, text, source, vocabulary))
     blocks = max(1, math.ceil(s.count() / block))
-    rows = s.withColumn("block", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
+    rows = s.withColumn("row", F.monotonically_increasing_id()).withColumn("block", F.pmod(F.xxhash64("doc_id", "row"), F.lit(blocks)).cast("int"))
     each = _for_each(rows, caps)
     full = F.when(F.col("n_tokens") > F.col("capacity"), F.floor(F.col("n_tokens") / F.col("capacity"))).otherwise(0).cast("int")
     each = each.withColumn("full", full).withColumn("rest", (F.col("n_tokens") - F.col("full") * F.col("capacity")).cast("int"))
     # full pieces fill a sequence each
     own = each.where("full > 0").select(
-        "model_name", "capacity", "doc_id", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece"), "block"
+        "model_name", "capacity", "doc_id", F.explode(F.sequence(F.lit(0), F.col("full") - 1)).alias("piece"), "row"
     )
     own = own.select(
-        "model_name", "capacity", "doc_id", "piece", (F.col("piece") * F.col("capacity")).alias("first_token"), F.col("capacity").alias("n_tokens"), F.concat_ws("-", F.lit("d"), "doc_id", "piece").alias("sequence"), F.lit(0).alias("at")
+        "model_name", "capacity", "doc_id", "piece", (F.col("piece") * F.col("capacity")).alias("first_token"), F.col("capacity").alias("n_tokens"), F.concat_ws("-", F.lit("d"), "row", "piece").alias("sequence"), F.lit(0).alias("at")
     )
     items = each.where("rest > 0 or full = 0").select("model_name", "capacity", "block", "doc_id", "source", "copies", "full", "rest")
     pairs = apart or []
@@ -168,7 +175,7 @@ def pack(docs: DataFrame, windows: DataFrame, *, doc_id: str = "doc_id", text: s
                 no[number[x]] = no.get(number[x], 0) | 1 << number[y]
                 no[number[y]] = no.get(number[y], 0) | 1 << number[x]
         lengths = t.column("rest").to_pylist()
-        bins = np.array(best_fit(lengths, t.column("copies").to_pylist(), [number[x] for x in names], capacity, no), np.int64)
+        bins = np.array(best_fit(lengths, t.column("copies").to_pylist(), [number[x] for x in names], capacity, no, spare), np.int64)
         order = np.argsort(bins, kind="stable")
         size = np.array(lengths, np.int64)[order]
         start = np.cumsum(size) - size
