@@ -1,0 +1,23 @@
+"""Joins on keys that may hold a large part of all rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of one key that stay together; a key with more is spread.
+TOGETHER = 4096
+
+
+def split_join(left: DataFrame, right: DataFrame, key: str, spread: str, *, together: int | None = None) -> DataFrame:
+    """The inner join on ``key``. The left rows of a key with many go to many tasks by a hash of ``spread``, and its right rows to each of them.
+
+    Null keys meet nothing. No other column may stand on both sides.
+    """
+    most = together or TOGETHER
+    count = left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    parts = count.select(key, F.ceil(F.col("_n") / most).cast("int").alias("_parts"))
+    one = F.coalesce("_parts", F.lit(1))
+    a = left.join(parts, key, "left").withColumn("_part", F.pmod(F.xxhash64(spread), one).cast("int")).drop("_parts")
+    b = right.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), one - 1))).drop("_parts")
+    return a.join(b, [key, "_part"]).drop("_part")

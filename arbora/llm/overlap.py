@@ -31,6 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arbora.llm.joins import split_join
 from arbora.llm.script import Fold, words
 from arbora.session import stored
 
@@ -308,21 +309,12 @@ def _candidates(differ: float) -> Column:
     return (F.col("class") != F.col("class_b")) & (before < most) & (behind < most) & (odd < 2 * most - F.abs(F.col("n") - F.col("n_b")))
 
 
-def _met(rows: DataFrame, differ: float, *on: str) -> DataFrame:
-    """(a, b): classes that meet in a node, the training side first."""
-    right = rows.where("other").select(*on, *(F.col(c).alias(c + "_b") for c in ("at", "class", "n", "sig")))
-    return rows.where("train").join(right, list(on)).where(_candidates(differ)).select(F.col("class").alias("a"), F.col("class_b").alias("b"))
-
-
-def _met_split(rows: DataFrame, differ: float) -> DataFrame:
-    """As ``_met``, of nodes of any size: the training side of a large one is spread over many tasks, each with the other side."""
-    size = rows.groupBy("node").agg(F.count("*").alias("_n"), F.bool_or("train").alias("_t"), F.bool_or("other").alias("_o")).where("_t and _o")
-    parts = size.select("node", F.ceil(F.col("_n") / TOGETHER).cast("int").alias("_parts"))
-    r = rows.join(parts, "node")
-    left = r.where("train").withColumn("_part", F.pmod(F.xxhash64("class"), F.col("_parts")).cast("int"))
-    right = r.where("other").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
-    both = left.withColumn("other", F.lit(False)).unionByName(right.withColumn("train", F.lit(False)))
-    return _met(both, differ, "node", "_part")
+def _met(rows: DataFrame, differ: float, split: bool = False) -> DataFrame:
+    """(a, b): classes that meet in a node, the training side first. ``split`` is for nodes of any size."""
+    left = rows.where("train").select("node", "at", "class", "n", "sig")
+    right = rows.where("other").select("node", *(F.col(c).alias(c + "_b") for c in ("at", "class", "n", "sig")))
+    met = split_join(left, right, "node", "class") if split else left.join(right, "node")
+    return met.where(_candidates(differ)).select(F.col("class").alias("a"), F.col("class_b").alias("b"))
 
 
 def near_classes(classes: DataFrame, *, differ: float = DIFFER, hot: int = HOT) -> DataFrame:
@@ -333,14 +325,14 @@ def near_classes(classes: DataFrame, *, differ: float = DIFFER, hot: int = HOT)
     size = open_.groupBy("node").agg(F.count("*").alias("_n"), F.bool_or("train").alias("_t"), F.bool_or("other").alias("_o")).where("_t and _o")
     small = open_.join(size.where(F.col("_n") <= hot), "node").select(*cols)
     large = open_.join(size.where(F.col("_n") > hot), "node").select(*cols)
-    pairs = _met(nodes.where("not open and not hot").select(*cols).unionByName(small), differ, "node")
+    pairs = _met(nodes.where("not open and not hot").select(*cols).unionByName(small), differ)
     if differ > CERTAIN:
         held: DataFrame | None = classes
     else:
         flagged = stored(under_hot(nodes.where("hot").select(*cols).unionByName(large), differ))
         held = None if flagged.isEmpty() else stored(classes.join(flagged, "class", "left_semi"))
     if held is not None:
-        pairs = pairs.unionByName(_met_split(stored(rare_rows(held, differ)), differ))
+        pairs = pairs.unionByName(_met(stored(rare_rows(held, differ)), differ, split=True))
     text = classes.select("class", "words")
     both = pairs.distinct().join(text.toDF("a", "words_a"), "a").join(text.toDF("b", "words_b"), "b")
 

@@ -6,7 +6,7 @@ from itertools import product
 import pytest
 
 from arbora.llm import overlap
-from arbora.llm.leaks import Items, find_leaks, hashes, leaks_in, letters, winnow
+from arbora.llm.leaks import find_leaks, hashes, letters, winnow
 from arbora.llm.overlap import common_words, split_overlap
 from arbora.llm.script import Fold, words
 
@@ -93,13 +93,19 @@ def test_split_overlap(spark, monkeypatch, hot):
 
 def test_winnowing_guarantee():
     rng = random.Random(4)
-    k, w = 16, 4
+    for k, w in ((16, 4), (13, 4), (5, 9), (1, 2)):
+        guarantee(rng, k, w)
+
+
+def guarantee(rng, k, w):
     shared = "".join(rng.choice("abcdefgh") for _ in range(k + w - 1))
     for _ in range(50):
         a = "".join(rng.choice("abcdefgh") for _ in range(rng.randint(0, 50))) + shared + "".join(rng.choice("abcdefgh") for _ in range(30))
         ha = hashes(letters(a), k)
         fingerprint = set(ha[winnow(ha, w)].tolist())
-        assert fingerprint & set(hashes(letters(shared), k).tolist())
+        hs = hashes(letters(shared), k)
+        assert len(hs) == w and fingerprint & set(hs[winnow(hs, w)].tolist())
+    assert len(hashes(letters("ab"), 3)) == len(hashes(letters(""), k)) == 0
 
 
 def plant():
@@ -132,23 +138,12 @@ def plant():
     return [" ".join(i) for i in items], docs, want
 
 
-def test_leaks():
-    items, docs, want = plant()
-    index = Items(list(enumerate(items)), 16)
-    got = {(d, i) for d, i, _ in leaks_in(docs, index, 4, 0.5)}
-    assert got == want
-
-
-def test_find_leaks(spark, monkeypatch):
-    from arbora.llm import leaks
-
+def test_find_leaks(spark):
     items, docs, want = plant()
     rows = [(i, t, "clash") for i, t in enumerate(docs)] + [(900, None, ""), (901, "", ""), (0, docs[0], "again"), (902, "word " * 40_000 + items[3], "")]
     d = spark.createDataFrame(rows, "doc_id bigint, text string, item_id string")
     b = spark.createDataFrame([(i, t) for i, t in enumerate(items)] + [(99, None), (98, ""), (97, "short")], "item_id bigint, text string")
     expected = sorted([*want, (0, 0), (902, 3)])
     assert sorted((r[0], r[1]) for r in find_leaks(d, b).select("doc_id", "item_id").collect()) == expected
-    monkeypatch.setattr(leaks, "BLOCK_LETTERS", 1000)  # several blocks of items
-    assert sorted((r[0], r[1]) for r in find_leaks(d, b).select("doc_id", "item_id").collect()) == expected
     assert find_leaks(d.limit(0), b).count() == 0
     assert find_leaks(d, b.limit(0)).count() == 0
