@@ -1,14 +1,15 @@
 """How often every term or n-gram occurs and in how many records, by a partitioned suffix array.
 
-The suffixes of all records, each cut after k terms for the level k of the interval tree, are
-sorted globally as (k terms, record). All suffixes whose common prefix has k terms then stand
-side by side: they are one interval, and its length is the n-gram's occurrence count. Within
-it the suffixes of one record stand side by side too; each such adjacency is a repetition
-within the record and is subtracted to give the record count.
-
-The sort is by range over (terms, record): a term that holds a third of all rows is spread
-over many tasks, while one record's suffixes of the same n-gram always meet in one. So the
-counts of the parts of an interval that is cut by a partition's end just add up.
+A suffix begins at every row and is cut after ``n`` terms. Within a record its different suffixes are
+sorted, and of each it is noted how many terms it has in common with the one before it: so far, the
+record has shown these terms already. All records' suffixes are then added up, sorted globally by range,
+and the common prefixes of neighbours give the intervals of all levels at once: the suffixes that begin with the
+same k terms are one interval, their number is the n-gram's occurrence count, and that number less
+the suffixes whose record has shown the k terms already is its record count.
+
+Equal suffixes are added up before they are shuffled, so a term that holds a third of all rows is a
+few rows; a record of more than ``LONG`` rows is cut at places and by first terms. An interval that is
+cut by a partition's end comes in parts, whose counts just add up.
 """
 
 from __future__ import annotations
@@ -18,54 +19,127 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Between the terms of an n-gram; as a control character it stands in no term.
 JOINT = "\x1f"
+#: Rows of a record that one task takes; a longer record is spread.
+LONG = 1_000_000
+#: Places of a long record that one task takes.
+STRETCH = 65_536
 
 
-def suffixes(df: DataFrame, record: str, position: str, term: str, n: int) -> DataFrame:
-    """(record, k, gram): the suffix at every row, cut after 1 to n terms of consecutive positions."""
-    base = df.select(F.col(record).alias("record"), F.col(position).cast("bigint").alias("at"), F.col(term).alias("gram")).where("record is not null and gram is not null")
-    level = base
-    out = base.withColumn("k", F.lit(1))
-    for k in range(2, n + 1):
-        nxt = base.select("record", (F.col("at") - (k - 1)).alias("at"), F.col("gram").alias("more"))
-        level = level.join(nxt, ["record", "at"]).select("record", "at", F.concat_ws(JOINT, "gram", "more").alias("gram"))
-        out = out.unionByName(level.withColumn("k", F.lit(k)))
-    return out.select("record", "k", "gram")
+def _terms(n: int) -> list[str]:
+    return [f"t{k}" for k in range(1, n + 1)]
 
 
-def interval_counts(suffix_rows: DataFrame, keys: list[str], record: str = "record") -> DataFrame:
-    """(keys, occurrences, records) of rows of cut suffixes; the keys name the interval."""
-    schema = ", ".join(f"`{k}` {suffix_rows.schema[k].dataType.simpleString()}" for k in keys)
-    order = [*keys, record]
-    array = suffix_rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+def suffixes(df: DataFrame, record: str, fields: list[str], n: int, position: Column | None, spread: bool) -> DataFrame:
+    """(record, field, t1..tn): the suffix at every row of each field, cut after ``n`` terms, null behind its end.
+
+    A suffix goes on with the least term of the next position. A null term, and a null position, end it.
+    ``spread`` cuts records into stretches of positions, each with the first rows of the next one.
+    """
+    at = F.lit(None).cast("bigint") if position is None else position.cast("bigint")
+    base = df.select(F.col(record).alias("record"), at.alias("_at"), *(F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields))).where("record is not null")
+    by = ["record"]
+    own = F.lit(True)
+    if n > 1 and spread:
+        at_, part = F.col("_at"), F.floor(F.col("_at") / STRETCH)
+        ahead = (F.pmod(at_, F.lit(STRETCH)) < n - 1) & at_.isNotNull()
+        base = base.withColumn("_x", F.explode(F.when(ahead, F.array(F.struct(part.alias("part"), F.lit(True).alias("own")), F.struct((part - 1).alias("part"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(part.alias("part"), F.lit(True).alias("own"))))))
+        base = base.select("*", F.col("_x.part").alias("_part"), F.col("_x.own").alias("_own")).drop("_x")
+        by, own = ["record", "_part"], F.col("_own")
+    chain: list[list[Column]] = []
+    w = Window.partitionBy(*by).orderBy("_at")
+    for i in range(len(fields)):
+        terms = [F.col(f"f{i}")]
+        for k in range(1, n):
+            nxt = F.min(f"f{i}").over(w.rangeBetween(k, k))
+            terms.append(F.when(F.col("_at").isNotNull(), nxt))
+        chain.append(terms)
+    named = base.select("record", own.alias("_own"), *(c.alias(f"f{i}_{k}") for i, terms in enumerate(chain) for k, c in enumerate(terms)))
+    each = []
+    for i, f in enumerate(fields):
+        terms, alive = [], F.lit(True)
+        for k, name in enumerate(_terms(n)):
+            c = F.col(f"f{i}_{k}")
+            alive = alive & c.isNotNull()
+            terms.append((c if k == 0 else F.when(alive, c)).alias(name))
+        each.append(F.struct(F.lit(f).alias("field"), *terms))
+    rows = named.where("_own").select("record", F.explode(F.array(*each)).alias("x")).select("record", "x.*")
+    return rows.where("t1 is not null")
+
+
+def _common(n: int, w) -> Column:
+    """Terms of the common prefix of a row's suffix with the one before it."""
+    out, same = F.lit(0), F.lit(True)
+    for t in _terms(n):
+        same = same & F.coalesce(F.col(t) == F.lag(t).over(w), F.lit(False))
+        out = out + same.cast("int")
+    return out
+
+
+def suffix_counts(rows: DataFrame, n: int) -> DataFrame:
+    """(field, t1..tn, occurrences, r1..rn): every different suffix, how often it stands, and in how many records it is the first with its k terms."""
+    t = _terms(n)
+    own = rows.groupBy("record", "field", *t).agg(F.count("*").alias("c"))
+    if n > 1:
+        w = Window.partitionBy("record", "field", "t1").orderBy(*t[1:])
+        own = own.withColumn("m", _common(n, w))
+    else:
+        own = own.withColumn("m", F.lit(0))
+    return own.groupBy("field", *t).agg(F.sum("c").alias("occurrences"), *(F.count_if(F.col("m") < k).alias(f"r{k}") for k in range(1, n + 1)))
+
+
+def intervals(counts: DataFrame, n: int, levels: list[int]) -> DataFrame:
+    """(field, k, gram, occurrences, records) of the intervals of these levels, from one array of suffixes."""
+    t = _terms(n)
+    array = counts.repartitionByRange("field", *t).sortWithinPartitions("field", *t)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # the record of the last suffix, with its keys
         for b in batches:
-            n = b.num_rows
-            if not n:
+            if not b.num_rows:
                 continue
-            same = np.ones(n - 1, bool)  # the common prefix with the suffix before reaches the level
-            for k in keys:
-                c = b.column(k)
-                same &= pc.equal(c[1:], c[:-1]).fill_null(False).to_numpy(zero_copy_only=False)
-            r = b.column(record)
-            again = same & pc.equal(r[1:], r[:-1]).to_numpy(zero_copy_only=False)
-            starts = np.flatnonzero(np.concatenate([[True], ~same]))
-            occurrences = np.diff(np.append(starts, n))
-            repeats = np.add.reduceat(np.concatenate([[False], again]).astype(np.int64), starts)
-            first = tuple(b.column(k)[0].as_py() for k in order)
-            repeats[0] += first == last
-            last = tuple(b.column(k)[n - 1].as_py() for k in order)
-            at = pa.array(starts)
-            yield pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in keys), pa.array(occurrences), pa.array(occurrences - repeats)], [*keys, "occurrences", "records"])
-
-    part = array.mapInArrow(run, f"{schema}, occurrences bigint, records bigint")
-    return part.groupBy(*keys).agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+            same = pc.equal(b.column("field")[1:], b.column("field")[:-1]).to_numpy(zero_copy_only=False)
+            occurrences = b.column("occurrences").to_numpy()
+            for k in range(1, max(levels) + 1):
+                c = b.column(f"t{k}")
+                same = same & pc.equal(c[1:], c[:-1]).fill_null(False).to_numpy(zero_copy_only=False)
+                if k not in levels:
+                    continue
+                starts = np.flatnonzero(np.concatenate([[True], ~same]))
+                total = [np.add.reduceat(x, starts) for x in (occurrences, b.column(f"r{k}").to_numpy())]
+                there = c.take(pa.array(starts)).is_valid().to_numpy(zero_copy_only=False)  # the others have ended before k terms
+                take = pa.array(starts[there])
+                terms = [b.column(x).take(take) for x in t[:k]]
+                gram = terms[0] if k == 1 else pc.binary_join_element_wise(*terms, JOINT)
+                level = pa.array(np.full(len(take), k, np.int32))
+                yield pa.RecordBatch.from_arrays([b.column("field").take(take), level, gram, *(pa.array(x[there]) for x in total)], ["field", "k", "gram", "occurrences", "records"])
+
+    parts = array.mapInArrow(run, "field string, k int, gram string, occurrences bigint, records bigint")
+    return parts.groupBy("field", "k", "gram").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
+
+
+def record_sizes(df: DataFrame, record: str) -> tuple[int, int]:
+    """The number of distinct records, and the rows of the largest."""
+    r = df.where(F.col(record).isNotNull()).groupBy(record).agg(F.count("*").alias("n")).agg(F.count("*").alias("records"), F.max("n").alias("most")).first()
+    return r["records"], r["most"] or 0
+
+
+def gram_counts(df: DataFrame, record: str, fields: list[str], n: int, *, position: Column | None = None, levels: list[int] | None = None, longest: int | None = None) -> DataFrame:
+    """(field, k, gram, occurrences, records) of all n-grams of 1 to ``n`` terms of each named column, or of the ``levels`` among them.
+
+    ``gram`` joins its terms by ``JOINT``. The next term is that of the next whole number in ``position``; of several
+    rows there, the least term that is not null. Every row starts a suffix, repeated ones too; a null term and a null position end one; null
+    records are left out; the empty string is a term like any other. Other columns are not read. ``longest`` is the
+    rows of the largest record, where it is known.
+    """
+    if position is None and n > 1:
+        raise ValueError("n-grams of several terms need positions")
+    most = record_sizes(df, record)[1] if longest is None and n > 1 else longest or 0
+    rows = suffixes(df, record, fields, n, position, most > LONG)
+    return intervals(suffix_counts(rows, n), n, levels or list(range(1, n + 1)))
 
 
 def term_counts(df: DataFrame, record: str, fields: list[str]) -> DataFrame:
@@ -74,18 +148,12 @@ def term_counts(df: DataFrame, record: str, fields: list[str]) -> DataFrame:
     Null terms and null records are not counted; the empty string is a term like any other;
     repeated rows count each as occurrences and once as records. Other columns are not read.
     """
-    pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("term")) for f in fields))
-    long = df.select(F.col(record).alias("record"), F.explode(pairs).alias("x")).select("record", "x.field", "x.term").where("record is not null and term is not null")
-    return interval_counts(long, ["field", "term"])
+    return gram_counts(df, record, fields, 1).select("field", F.col("gram").alias("term"), "occurrences", "records")
 
 
 def ngram_counts(df: DataFrame, record: str, position: str, term: str, n: int) -> DataFrame:
-    """(k, gram, occurrences, records) of all n-grams of 1 to n consecutive terms.
-
-    ``gram`` joins its terms by ``JOINT``. Rows of one (record, position) each start a suffix;
-    a null term breaks the n-grams over it.
-    """
-    return interval_counts(suffixes(df, record, position, term, n), ["k", "gram"])
+    """(k, gram, occurrences, records) of all n-grams of 1 to n consecutive terms of one column; see ``gram_counts``."""
+    return gram_counts(df, record, [term], n, position=F.col(position)).drop("field")
 
 
 def marked(counts: DataFrame, n_records: int, *, rare_below: int = 3, common_share: float = 0.2) -> DataFrame:
@@ -96,4 +164,4 @@ def marked(counts: DataFrame, n_records: int, *, rare_below: int = 3, common_sha
 
 def record_total(df: DataFrame, record: str) -> int:
     """The number of distinct records."""
-    return df.agg(F.count_distinct(record)).first()[0]
+    return record_sizes(df, record)[0]

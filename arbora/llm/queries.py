@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.llm import ngrams
@@ -15,6 +15,8 @@ from arbora.llm.subset import select_varied
 from arbora.session import table
 
 FIELDS = ["form", "upos", "deprel"]
+#: Terms by which suffixes are told apart where single terms are counted.
+TERM_DEPTH = 2
 #: Dimensions of the grid on which training sentences are compared, 0 to 7 each.
 GRID = ["x_length", "x_tags", "x_relations", "x_nominal", "x_verbal", "x_core", "x_modifying"]
 
@@ -67,9 +69,17 @@ def p1_few_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return select_varied(sentence_grid(spark, sf_dir), "sent_idx", GRID, 64, quality="quality").select("sent_idx", "cell")
 
 
+def _at() -> Column:
+    """The place of a token: its id where that is a whole number."""
+    return F.when(F.col("id").rlike("^[0-9]{1,9}$"), F.col("id").cast("bigint"))
+
+
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The level of single terms, of an array of suffixes of ``TERM_DEPTH`` terms."""
     t = table(spark, sf_dir, "tokens")
-    return ngrams.marked(ngrams.term_counts(t, "sent_idx", FIELDS), ngrams.record_total(t, "sent_idx"))
+    records, longest = ngrams.record_sizes(t, "sent_idx")
+    c = ngrams.gram_counts(t, "sent_idx", FIELDS, TERM_DEPTH, position=_at(), levels=[1], longest=longest)
+    return ngrams.marked(c.withColumnRenamed("gram", "term"), records)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,12 +92,21 @@ def p2_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _terms(spark, sf_dir).select("field", "term", F.col("occurrences").alias("n_rows"), F.col("records").alias("n_sentences"), "mark")
 
 
+def _grams(spark: SparkSession, sf_dir: str, fields: list[str], n: int) -> DataFrame:
+    t = table(spark, sf_dir, "tokens").where(_at().isNotNull()).withColumn("at", _at())
+    one = t.groupBy("sent_idx", "at").agg(*(F.min(f).alias(f) for f in fields))
+    c = ngrams.gram_counts(one, "sent_idx", fields, n, position=F.col("at"))
+    return c.select("field", "k", F.replace("gram", F.lit(ngrams.JOINT), F.lit(" ")).alias("gram"), F.col("occurrences").alias("n_rows"), F.col("records").alias("n_sentences"))
+
+
 def p2_upos_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts of all tag sequences of one to three tokens."""
-    t = table(spark, sf_dir, "tokens").where(F.col("id").rlike("^[0-9]{1,9}$")).withColumn("id", F.col("id").cast("int"))
-    one = t.groupBy("sent_idx", "id").agg(F.min("upos").alias("upos"))
-    c = ngrams.ngram_counts(one, "sent_idx", "id", "upos", 3)
-    return c.select("k", F.replace("gram", F.lit(ngrams.JOINT), F.lit(" ")).alias("gram"), F.col("occurrences").alias("n_rows"), F.col("records").alias("n_sentences"))
+    """Counts of all tag sequences of one to eight tokens."""
+    return _grams(spark, sf_dir, ["upos"], 8).drop("field")
+
+
+def p2_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all sequences of one to three forms, tags and relations."""
+    return _grams(spark, sf_dir, FIELDS, 3)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,4 +178,4 @@ def p10_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _quality(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (p1_subset, p1_few_shot, p2_found, p2_terms, p2_upos_ngrams, p3_found, p3_report, p3_classes, p7_found, p8_sequences, p8_fill, p9_found, p9_items, p10_found, p10_statistics)}
+QUERIES = {f.__name__: f for f in (p1_subset, p1_few_shot, p2_found, p2_terms, p2_upos_ngrams, p2_ngrams, p3_found, p3_report, p3_classes, p7_found, p8_sequences, p8_fill, p9_found, p9_items, p10_found, p10_statistics)}

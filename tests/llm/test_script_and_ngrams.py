@@ -6,6 +6,7 @@ import unicodedata
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from arbora.llm import ngrams
 from arbora.llm.script import DRAWN, PLAIN, TWINS, Fold, Transducer, fold_table, inconsistent, mapping, words
@@ -87,30 +88,49 @@ def test_fold():
 
 
 def brute(rows, n):
+    """Every row starts its n-grams, which go on with the least term of each next position."""
     occ, rec = Counter(), {}
     at = {}
     for r, p, t in rows:
-        if r is not None and t is not None:
-            at.setdefault((r, p), []).append(t)
-    for (r, p), firsts in at.items():
-        grams = [(t,) for t in firsts]
+        if r is not None and t is not None and p is not None:
+            at[r, p] = min(t, at.get((r, p), t))
+    for r, p, t in rows:
+        if r is None or t is None:
+            continue
+        g = (t,)
         for k in range(1, n + 1):
-            for g in grams:
-                occ[k, g] += 1
-                rec.setdefault((k, g), set()).add(r)
-            grams = [(*g, t) for g in grams for t in at.get((r, p + k), [])]
+            occ[k, g] += 1
+            rec.setdefault((k, g), set()).add(r)
+            if p is None or (r, p + k) not in at:
+                break
+            g = (*g, at[r, p + k])
     return {key: (c, len(rec[key])) for key, c in occ.items()}
 
 
-@pytest.mark.parametrize("n", [1, 3])
-def test_ngram_counts(spark, n):
+@pytest.mark.parametrize("n, long", [(1, 10**6), (2, 10**6), (3, 10**6), (8, 10**6), (3, 3), (8, 3)])
+def test_ngram_counts(spark, monkeypatch, n, long):
+    monkeypatch.setattr(ngrams, "LONG", long)
+    monkeypatch.setattr(ngrams, "STRETCH", 16)
     rng = random.Random(n)
-    rows = [(rng.choice([1, 2, 3, 4, 5, None]) if i % 9 == 0 else i // 7, i % 7, rng.choice(["hot", "hot", "hot", "a", "b", "", None])) for i in range(400)]
+    rows = [(7, p, t) for p, t in enumerate("aabababbbabaab" * 9)] + [(7, None, "a"), (7, None, "b")]  # a long record
+    rows += [(rng.choice([1, 2, 3, 4, 5, None]) if i % 9 == 0 else i // 7, i % 7, rng.choice(["hot", "hot", "hot", "a", "b", "", None])) for i in range(400)]
     df = spark.createDataFrame([(*r, 1, "clash") for r in rows], "rec bigint, pos int, term string, k int, gram string")
     got = {(r["k"], tuple(r["gram"].split(ngrams.JOINT))): (r["occurrences"], r["records"]) for r in ngrams.ngram_counts(df, "rec", "pos", "term", n).collect()}
     assert got == brute(rows, n)
 
 
+def test_fields_and_levels_from_one_array(spark):
+    rng = random.Random(5)
+    rows = [(i // 9, i % 9, rng.choice("xyz"), rng.choice(["p", "q", None])) for i in range(500)]
+    df = spark.createDataFrame(rows, "r bigint, p int, a string, b string")
+    every = ngrams.gram_counts(df, "r", ["a", "b"], 4, position=F.col("p")).collect()
+    for f, i in (("a", 2), ("b", 3)):
+        assert {(r["k"], tuple(r["gram"].split(ngrams.JOINT))): (r["occurrences"], r["records"]) for r in every if r["field"] == f} == brute([(x[0], x[1], x[i]) for x in rows], 4)
+    some = ngrams.gram_counts(df, "r", ["a", "b"], 4, position=F.col("p"), levels=[1, 3]).collect()
+    assert sorted(some) == sorted(r for r in every if r["k"] in (1, 3))
+    assert ngrams.gram_counts(df.limit(0), "r", ["a"], 4, position=F.col("p")).count() == 0
+
+
 def test_term_counts_and_marks(spark):
     rows = [(s, "hot" if s % 3 else f"w{s}", None if s % 2 else "X") for s in range(1, 101)] + [(1, "hot", "X")] * 5 + [(None, "hot", "X")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "sent_idx bigint, form string, upos string, term string")
