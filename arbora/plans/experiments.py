@@ -78,9 +78,10 @@ def token_estimate(text: Column) -> Column:
 
 
 def price(model: Column, side: int) -> Column:
+    """Dollars for 1000 tokens; a model's name counts in any case."""
     out = F.lit(OTHER_PRICE[side])
     for key, *dollars in reversed(PRICES):
-        out = F.when(F.contains(model, F.lit(key)), F.lit(dollars[side])).otherwise(out)
+        out = F.when(F.contains(F.lower(model), F.lit(key)), F.lit(dollars[side])).otherwise(out)
     return out
 
 

@@ -125,7 +125,11 @@ def _nested(spark: SparkSession, d: str, split: str) -> DataFrame:
 
 def _examples(spark: SparkSession, d: str) -> DataFrame:
     """Three examples: the first training sentences."""
-    return _nested(spark, d, "train").orderBy("sent_idx").limit(3)
+    s = table(spark, d, "sentences").where("split = 'train'")
+    t = table(spark, d, "tokens")
+    with_tokens = t.where(F.col("id").rlike("^0*[1-9][0-9]{0,8}$")).join(s, "sent_idx", "left_semi").select("sent_idx").distinct()
+    first = with_tokens.orderBy("sent_idx").limit(3)
+    return P.nested(frames.gold_tokens(t.join(first, "sent_idx", "left_semi")), s).orderBy("sent_idx").limit(3)
 
 
 def _prompt(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -214,7 +218,7 @@ def cost_estimate(spark: SparkSession, d: str) -> DataFrame:
     """What asking about every test text would cost with each model of the grid."""
     s = table(spark, d, "sentences").where("split = 'test' and text is not null").select("text")
     m = X.grid(spark, X.COMPREHENSIVE).select("model").distinct()
-    models = [r["model"] for r in m.collect()] + ["claude-3-haiku", "other"]
+    models = [r["model"] for r in m.collect()] + ["claude-3-haiku", "other", "GPT-4o", "Claude-3-Opus-20240229"]
     each = s.select("text", F.explode(F.array(*map(F.lit, models))).alias("model_name"))
     return X.usage(each.withColumn("response", F.lit(None).cast("string")), prompt="text")
 
@@ -393,7 +397,7 @@ SQL = {
 SELECT sent_idx, CASE WHEN bad IS NOT NULL THEN 'ID/HEAD not int in row: `' || bad || '`' WHEN NOT steps THEN 'IDs not contiguous 1..N: [' || ids || ']' WHEN far THEN 'HEAD out of range 0..' || n END AS message FROM s JOIN sentences USING (sent_idx)""",
     "model_table_rows": _BL + "SELECT sent_idx, CAST(rk - 1 AS INT) AS row, CASE WHEN ok THEN id END AS id, CASE WHEN ok THEN form END AS form, CASE WHEN ok THEN upos END AS upos, CASE WHEN ok THEN TRY_CAST(trim(head) AS INT) END AS head, CASE WHEN ok THEN deprel END AS deprel, ok FROM w JOIN sentences USING (sent_idx)",
     "experiment_grid": "SELECT replace(replace(model, '-', '_'), '.', '_') || '_' || template || '_' || strategy || '_' || shots || 'shot' AS name, model, template, strategy, shots, 'openai' AS provider, 15 AS test_size FROM (SELECT unnest(['gpt-4o-mini', 'gpt-4o']) AS model) CROSS JOIN (SELECT unnest(['basic', 'detailed', 'gloss_focused']) AS template) CROSS JOIN (SELECT unnest(['random', 'diversity', 'coverage']) AS strategy) CROSS JOIN (SELECT unnest([2, 3, 5]) AS shots)",
-    "cost_estimate": "WITH m AS (SELECT * FROM (VALUES ('gpt-4o-mini', 0.00015::DOUBLE, 0.0006::DOUBLE), ('gpt-4o', 0.005, 0.015), ('claude-3-haiku', 0.00025, 0.00125), ('other', 0.002, 0.006)) v(model_name, ci, co)) SELECT model_name, count(*) AS n_requests, sum(length(text) // 4)::BIGINT AS n_tokens, round(sum((length(text) // 4) / 1000.0::DOUBLE * ci + 0.5::DOUBLE * co), 9) AS cost FROM sentences, m WHERE split = 'test' AND text IS NOT NULL GROUP BY 1",
+    "cost_estimate": "WITH m AS (SELECT * FROM (VALUES ('gpt-4o-mini', 0.00015::DOUBLE, 0.0006::DOUBLE), ('gpt-4o', 0.005, 0.015), ('claude-3-haiku', 0.00025, 0.00125), ('other', 0.002, 0.006), ('GPT-4o', 0.005, 0.015), ('Claude-3-Opus-20240229', 0.015, 0.075)) v(model_name, ci, co)) SELECT model_name, count(*) AS n_requests, sum(length(text) // 4)::BIGINT AS n_tokens, round(sum((length(text) // 4) / 1000.0::DOUBLE * ci + 0.5::DOUBLE * co), 9) AS cost FROM sentences, m WHERE split = 'test' AND text IS NOT NULL GROUP BY 1",
     "provider_detect": "SELECT DISTINCT model_name, CASE WHEN contains(lower(model_name), 'claude') THEN 'anthropic' ELSE 'openai' END AS provider, replace(replace(model_name, '-', '_'), '.', '_') AS short, substr(string_split(model_name, '-')[-1], 1, 15) AS shown FROM predictions",
     "batch_cost": "SELECT replace(replace(model, '-', '_'), '.', '_') || '_' || template || '_' || strategy || '_' || shots || 'shot' AS name, round((shots * 200 + 300) * 15 * c / 1000, 9) AS dollars FROM (VALUES ('gpt-4o-mini', 0.00015::DOUBLE), ('gpt-4o', 0.005)) m(model, c) CROSS JOIN (SELECT unnest(['basic', 'detailed', 'gloss_focused']) AS template) CROSS JOIN (SELECT unnest(['random', 'diversity', 'coverage']) AS strategy) CROSS JOIN (SELECT unnest([2, 3, 5]) AS shots)",
 }

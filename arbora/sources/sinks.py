@@ -70,8 +70,8 @@ def experiment_rows(results: DataFrame, relations: DataFrame, scores: DataFrame,
 
 
 def write_experiments(rows: DataFrame, path: str, keys: list[str]) -> None:
-    """One folder an experiment, so that finished ones are kept when a later one fails."""
-    rows.write.mode("overwrite").partitionBy(*keys).json(path)
+    """One folder an experiment. Those that ``rows`` holds are replaced and all others kept, so finished ones outlast a later failure."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).json(path)
 
 
 def write_sentence_csv(scores: DataFrame, path: str) -> None:

@@ -248,6 +248,14 @@ def test_sinks(spark, tmp_path):
     doc = json.loads(next((tmp_path / "exp").rglob("*.json")).read_text())
     assert doc["per_relation_scores"]["subj"]["support"] == 2 and doc["per_sentence_results"][0]["errors"][0]["error_type"] == "missing_prediction"
     assert conllu.read_results(spark, str(tmp_path / "exp/*/*/*.json")).first()["uas"] == 0.5
+    # another experiment beside the first, then the first one again: each is there once, with its last values
+    sinks.write_experiments(nested_rows.withColumn("model_name", F.lit("n")), str(tmp_path / "exp"), keys)
+    sinks.write_experiments(nested_rows.withColumn("uas", F.lit(0.75)), str(tmp_path / "exp"), keys)
+    assert sorted((r["model_name"], r["uas"]) for r in spark.read.json(str(tmp_path / "exp")).collect()) == [("m", 0.75), ("n", 0.5)]
+    named = results.withColumns({c: F.lit(c) for c in ("name", "model", "template", "strategy")} | {"shots": F.lit(3)} | {c: F.lit(0.5) for c in ("la", "root_accuracy", "complete_match", "processing_time")})
+    sinks.write_comparison(named, str(tmp_path / "cmp"))
+    assert spark.read.json(str(tmp_path / "cmp/json")).first()["LAS"] == 0.25
+    assert spark.read.option("header", True).csv(str(tmp_path / "cmp/csv")).first()["Selection"] == "strategy"
 
 
 def test_stream(spark, tmp_path):
