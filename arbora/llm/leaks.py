@@ -29,6 +29,8 @@ WINDOW = 4
 FLOOR = K + WINDOW - 1
 #: Bits of the largest bitmap of items' fingerprints. With more fingerprints it lets more pass, and nothing is lost.
 MOST_BITS = 26
+#: Bits of the bitmap that a fingerprint must meet.
+PROBES = 3
 #: Code points handled at once in a task.
 CHUNK = 1_500_000
 #: Shorter equal stretches are not chained.
@@ -218,17 +220,27 @@ def item_prints(items: DataFrame, k: int, window: int) -> DataFrame:
 
 
 def bitmap(prints: DataFrame) -> np.ndarray:
-    """Whether some fingerprint ends in these bits: 64 times as many bits as fingerprints, but ``MOST_BITS`` of them at most."""
+    """The bits that ``PROBES`` stretches of each fingerprint name: 64 times as many bits as fingerprints, but ``2**MOST_BITS`` at most."""
     n = prints.count()
-    bits = max(12, min(MOST_BITS, n.bit_length() + 6))
-    low = F.col("h").bitwiseAND((1 << bits) - 1)
-    words = prints.groupBy(F.shiftright(low, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(h & 63 as int))")).alias("w"))
+    bits = max(6, min(MOST_BITS, n.bit_length() + 6))
+    low = F.explode(F.array(*(F.shiftrightunsigned("h", i * 64 // PROBES).bitwiseAND((1 << bits) - 1) for i in range(PROBES))))
+    words = prints.select(low.alias("low")).groupBy(F.shiftright("low", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(low & 63 as int))")).alias("w"))
     out = np.zeros(1 << (bits - 6), np.int64)
     for r in words.toLocalIterator():
         out[r["at"]] = r["w"]
     return out
 
 
+def _maybe(words: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The places of the hashes all of whose bits are set."""
+    at = np.arange(len(h))
+    mask = np.uint64(len(words) * 64 - 1)
+    for i in range(PROBES):
+        low = (h[at] >> np.uint64(i * 64 // PROBES)) & mask
+        at = at[(words[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)).astype(np.int64)) & 1 == 1]
+    return at
+
+
 def _doc_prints(docs: DataFrame, known: np.ndarray, k: int, window: int) -> DataFrame:
     """(uid, id, reading, letters, prints) of the readings of documents with a fingerprint in the bitmap; ``docs`` has (uid, id, text)."""
     sent = docs.sparkSession.sparkContext.broadcast(known)
@@ -236,7 +248,6 @@ def _doc_prints(docs: DataFrame, known: np.ndarray, k: int, window: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = sent.value
-        mask = np.uint64(len(words) * 64 - 1)
         for b in batches:
             for start, part in chunks(b.column("text").to_pylist()):
                 read = [readings(t) for t in part]
@@ -251,8 +262,7 @@ def _doc_prints(docs: DataFrame, known: np.ndarray, k: int, window: int) -> Data
                     h = hashes(stream[a : a + CHUNK + k + window - 2], k)
                     at = winnow(h, window)
                     h = h[at]
-                    low = h & mask
-                    hit = (words[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63)).astype(np.int64)) & 1 == 1
+                    hit = _maybe(words, h)
                     found.append(at[hit] + a)
                     hs.append(h[hit])
                 at, h = np.concatenate(found), np.concatenate(hs)
