@@ -25,6 +25,18 @@ CASES = {
     "||A=b||": ["A=b"],
     "Gloss=a=b|C=d": ["Gloss=a=b", "C=d"],
     'Gloss="never ends|A=b': ['Gloss="never ends', "A=b"],
+    "A=(x;B=1)|C=2": ["A=(x;B=1)", "C=2"],
+    "A={[a=1|b=2]; (c,D=3)}|C=2": ["A={[a=1|b=2]; (c,D=3)}", "C=2"],
+    "A=(x;B=1|C=2": ["A=(x", "B=1", "C=2"],
+    "A=:)|B=:(|C=1": ["A=:)", "B=:(", "C=1"],
+    'A=:(|B="x)|Y=1"|C=2': ["A=:(", "B=x)|Y=1", "C=2"],
+    'A=("x)";Y=1)|C=2': ['A=("x)";Y=1)', "C=2"],
+    "A=" + "(" * 30_000 + ")" * 29_000 + "|B=1": ["A=" + "(" * 30_000 + ")" * 29_000, "B=1"],
+    r"A=x\|B=y": ["A=x|B=y"],
+    r"A=x\\|B=y": ["A=x\\", "B=y"],
+    r"A=\"x|B=\"y\"": ['A="x', 'B="y"'],
+    r'A="x\"|Y=1"|B=a\b': ['A=x"|Y=1', r"B=a\b"],
+    r"A=\(x;B=1)": ["A=(x", "B=1)"],
     "": [],
     "_": [],
     "no key at all": [],
@@ -70,6 +82,16 @@ def test_explode_items(spark):
     assert explode_items(df, "row_id", ["feats", "misc"]).count() == 7
 
 
+def test_pieces(spark):
+    from arbora.functions.packed import pieces
+
+    cases = {"a;b;c": ["a", "b", "c"], ' "a;b" | c,, d ': ["a;b", "c", "d"], "x(1;2)/y": ["x(1;2)", "y"], r"a\;b;c": ["a;b", "c"], "a b": ["a b"], '"say ""x"""|y': ['say "x"', "y"], "": [], None: [], ";;": []}
+    assert {k: pieces(k) for k in cases} == cases
+    df = spark.createDataFrame([(1, "a;b"), (2, "c"), (3, None)], "k bigint, s string")
+    assert sorted((r["k"], r["pos"], r["val"]) for r in explode_items(df, "k", ["s"], keyed=False).collect()) == [(1, 1, "a"), (1, 2, "b"), (2, 1, "c")]
+    assert explode_items(df, "k", ["s"], keyed=False, at_least=2).count() == 2
+
+
 def naive_fields(line):
     """Character by character; None where quoting is broken."""
     out, i = [], 0
@@ -102,7 +124,7 @@ def naive_fields(line):
 
 
 @settings(max_examples=500, deadline=None)
-@given(st.text(st.sampled_from('ab"\t\t"" ,\r'), max_size=14))
+@given(st.text(st.sampled_from('ab"\t\t"" ,\r\n'), max_size=14))
 def test_fields(line):
     import csv
 
@@ -162,3 +184,60 @@ def test_random_lines(spark):
         f = naive_fields(s)
         want = ["quoting"] if f is None else reasons(f, frozenset({"root"}))
         assert sorted(got.get(i, [])) == sorted(want)
+
+
+def naive_records(texts):
+    """Lines joined while a quoted field has no end."""
+    out, held = [], None
+    for i, s in texts:
+        if held is None and (s.startswith("#") or not s.strip()):
+            out.append((i, s))
+            continue
+        held = (i, s) if held is None else (held[0], held[1] + "\n" + s)
+        parts, is_open, at = held[1], False, 0
+        while at <= len(parts):
+            if parts.startswith('"', at):
+                j, is_open = at + 1, True
+                while j < len(parts):
+                    if parts[j] == '"' and parts[j + 1 : j + 2] == '"':
+                        j += 2
+                    elif parts[j] == '"':
+                        is_open = False
+                        break
+                    else:
+                        j += 1
+                if is_open:
+                    break
+                at = j
+            n = parts.find("\t", at)
+            if n < 0:
+                break
+            at = n + 1
+        if not is_open:
+            out.append(held)
+            held = None
+    return out + ([held] if held else [])
+
+
+def test_assembled(spark, monkeypatch):
+    """Records over lines, cut by ranges anywhere, against one that reads each file through."""
+    from arbora.sources import sheets
+
+    rng = random.Random(4)
+    rows = []
+    for f in ("a", "b", "c"):
+        rows += [(f, i, "\t".join(rng.choice(["x", '"y', 'z"', '"w"', '""', "# n", ""]) for _ in range(rng.randint(1, 3)))) for i in range(120)]
+    df = spark.createDataFrame([*rows, *rows[:5], ("d", 1, None), (None, 1, "x"), ("d", None, "x")], "file_name string, line_no int, raw_text string")
+    want = {(f, i): s for f in "abc" for i, s in naive_records([(i, s) for g, i, s in rows if g == f])} | {("d", 1): ""}
+    got = {(r[0], r[1]): r[2] for r in sheets.assembled(df.repartition(7)).collect()}
+    assert got == want
+    assert max(s.count("\n") for s in want.values()) > 2
+    labels = spark.createDataFrame([("root",)], "label string")
+    two = spark.createDataFrame([("f", 1, "1\t\"a"), ("f", 2, 'b\"\t' + "\t".join(GOOD[2:])), ("f", 3, "\t".join(GOOD)), ("f", 4, '"never')], "file_name string, line_no bigint, raw_text string")
+    p = parse_records(sheets.assembled(two), labels, line="line_no")
+    assert sorted((r["line_no"], r["form"]) for r in loaded(p, "line_no").collect()) == [(1, "a\nb"), (3, "f")]
+    assert [tuple(r) for r in rejected(p, "line_no").collect()] == [(4, "quoting")]
+    monkeypatch.setattr(sheets, "MOST_LINES", 5)
+    long = spark.createDataFrame([("f", 0, "x")] + [("f", i, '"open' if i == 1 else "y") for i in range(1, 20)], "file_name string, line_no bigint, raw_text string")
+    assert sorted((r[1], r[2]) for r in sheets.assembled(long).collect()) == [(0, "x"), (1, '"open'), *((i, "y") for i in range(2, 20))]
+    assert sheets.assembled(df.limit(0)).count() == 0
