@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 #: Between the terms of an n-gram; as a control character it stands in no term.
 JOINT = "\x1f"
+_ESCAPE = "\x1e"
 #: Rows of a record that one task takes; a longer record is spread.
 LONG = 1_000_000
 #: Places of a long record that one task takes.
@@ -34,6 +35,17 @@ def _terms(n: int) -> list[str]:
     return [f"t{k}" for k in range(1, n + 1)]
 
 
+def _escaped(c: Column) -> Column:
+    """A term without ``JOINT``, and not null."""
+    rare = F.contains(c, F.lit(_ESCAPE)) | F.contains(c, F.lit(JOINT))
+    return F.coalesce(F.when(rare, F.replace(F.replace(c, F.lit(_ESCAPE), F.lit(_ESCAPE + "1")), F.lit(JOINT), F.lit(_ESCAPE + "2"))).otherwise(c), F.lit(_ESCAPE + "0"))
+
+
+def _plain(c: Column) -> Column:
+    rare = F.replace(F.replace(c, F.lit(_ESCAPE + "2"), F.lit(JOINT)), F.lit(_ESCAPE + "1"), F.lit(_ESCAPE))
+    return F.when(c == _ESCAPE + "0", F.lit(None)).when(F.contains(c, F.lit(_ESCAPE)), rare).otherwise(c)
+
+
 def suffixes(df: DataFrame, record: str, fields: list[str], n: int, position: Column | None, spread: bool) -> DataFrame:
     """(record, field, t1..tn): the suffix at every row of each field, cut after ``n`` terms, null behind its end.
 
@@ -41,7 +53,9 @@ def suffixes(df: DataFrame, record: str, fields: list[str], n: int, position: Co
     ``spread`` cuts records into stretches of positions, each with the first rows of the next one.
     """
     at = F.lit(None).cast("bigint") if position is None else position.cast("bigint")
-    base = df.select(F.col(record).alias("record"), at.alias("_at"), *(F.col(f).cast("string").alias(f"f{i}") for i, f in enumerate(fields))).where("record is not null")
+    # one string for all fields is shuffled in fewer bytes
+    packed = F.concat_ws(JOINT, *(_escaped(F.col(f).cast("string")) for f in fields))
+    base = df.select(F.col(record).alias("record"), at.alias("_at"), packed.alias("_f")).where("record is not null")
     by = ["record"]
     own = F.lit(True)
     if n > 1 and spread:
@@ -50,6 +64,8 @@ def suffixes(df: DataFrame, record: str, fields: list[str], n: int, position: Co
         base = base.withColumn("_x", F.explode(F.when(ahead, F.array(F.struct(part.alias("part"), F.lit(True).alias("own")), F.struct((part - 1).alias("part"), F.lit(False).alias("own")))).otherwise(F.array(F.struct(part.alias("part"), F.lit(True).alias("own"))))))
         base = base.select("*", F.col("_x.part").alias("_part"), F.col("_x.own").alias("_own")).drop("_x")
         by, own = ["record", "_part"], F.col("_own")
+    part = F.split("_f", JOINT)
+    base = base.repartition(*by).select("record", "_at", *(c for c in base.columns if c in ("_part", "_own")), *(_plain(part[i]).alias(f"f{i}") for i in range(len(fields))))
     chain: list[list[Column]] = []
     w = Window.partitionBy(*by).orderBy("_at")
     for i in range(len(fields)):
@@ -80,8 +96,8 @@ def _common(n: int, w) -> Column:
     return out
 
 
-def suffix_counts(rows: DataFrame, n: int) -> DataFrame:
-    """(field, t1..tn, occurrences, r1..rn): every different suffix, how often it stands, and in how many records it is the first with its k terms."""
+def suffix_counts(rows: DataFrame, n: int, levels: list[int]) -> DataFrame:
+    """(field, t1..tn, occurrences, rk..): every different suffix, how often it stands, and for each level k in how many records it is the first with its k terms."""
     t = _terms(n)
     own = rows.groupBy("record", "field", *t).agg(F.count("*").alias("c"))
     if n > 1:
@@ -89,7 +105,7 @@ def suffix_counts(rows: DataFrame, n: int) -> DataFrame:
         own = own.withColumn("m", _common(n, w))
     else:
         own = own.withColumn("m", F.lit(0))
-    return own.groupBy("field", *t).agg(F.sum("c").alias("occurrences"), *(F.count_if(F.col("m") < k).alias(f"r{k}") for k in range(1, n + 1)))
+    return own.groupBy("field", *t).agg(F.sum("c").alias("occurrences"), *(F.count_if(F.col("m") < k).alias(f"r{k}") for k in levels))
 
 
 def intervals(counts: DataFrame, n: int, levels: list[int]) -> DataFrame:
@@ -138,8 +154,8 @@ def gram_counts(df: DataFrame, record: str, fields: list[str], n: int, *, positi
     if position is None and n > 1:
         raise ValueError("n-grams of several terms need positions")
     most = record_sizes(df, record)[1] if longest is None and n > 1 else longest or 0
-    rows = suffixes(df, record, fields, n, position, most > LONG)
-    return intervals(suffix_counts(rows, n), n, levels or list(range(1, n + 1)))
+    levels = levels or list(range(1, n + 1))
+    return intervals(suffix_counts(suffixes(df, record, fields, n, position, most > LONG), n, levels), n, levels)
 
 
 def term_counts(df: DataFrame, record: str, fields: list[str]) -> DataFrame:

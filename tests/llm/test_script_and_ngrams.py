@@ -141,6 +141,13 @@ def test_term_counts_and_marks(spark):
     assert ngrams.term_counts(df.limit(0), "sent_idx", ["form"]).count() == 0
 
 
+def test_any_character_may_stand_in_a_term(spark):
+    odd = ["a\x1fb", "\x1e", "\x1e0", "\x1e1\x1f", "", None, "\x1f", "plain|$1"]
+    df = spark.createDataFrame([(i, x, y) for i, x in enumerate(odd) for y in odd], "r bigint, a string, b string")
+    got = {(r["field"], r["term"]): (r["occurrences"], r["records"]) for r in ngrams.term_counts(df, "r", ["a", "b"]).collect()}
+    assert got == {("a", x): (8, 1) for x in odd if x is not None} | {("b", x): (8, 8) for x in odd if x is not None}
+
+
 def test_exactly_a_fifth_is_not_common(spark):
     df = spark.createDataFrame([(i, "a" if i < 7 else f"b{i}") for i in range(35)], "r bigint, t string")
     m = ngrams.marked(ngrams.term_counts(df, "r", ["t"]), 35).where("term = 'a'").first()
