@@ -2,8 +2,9 @@
 
 A transducer reads a string as longest matches: words (letters with their marks and whatever
 invisible stands between them) and single clusters of a base and its marks. Each match goes
-through a mapping that is built once from Unicode's own data and checked for conflicts: every
-source has one target, and no target holds another source, so one pass is enough.
+through mappings that are built once from Unicode's own data and the table of twins, and checked for conflicts: every
+source has one target, and no target holds a source of either mapping, so one pass is enough. Widths, spaces and invisible
+characters are mapped anywhere; twins only in a word all of whose letters are then Latin.
 """
 
 from __future__ import annotations
@@ -18,14 +19,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Letters of other scripts with the Latin letter of the same look.
-TWINS = dict(
-    zip(
-        "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανοριυ" "АВЕЅІЈКМНОРСТХУаеѕіјорсухһԁԛԝӏ",
-        "ABEZHIKMNOPTYXavopiu" "ABESIJKMHOPCTXYaesijopcyxhdqwl",
-        strict=True,
-    )
-)
+# Letters of other scripts with the Latin letter of the same look, by script.
+TWINS = {
+    **dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϺϜͿ", "ABEZHIKMNOPTYXCMFJ", strict=True)),
+    **dict(zip("ανοριυϲϳ", "avopiucj", strict=True)),
+    **dict(zip("АВЕЅІЈКМНОРСТХУԌԚԜӀҮѴӔ", "ABESIJKMHOPCTXYGQWIYVÆ", strict=True)),
+    **dict(zip("аеѕіјорсухһԁԛԝӏүѵӕ", "aesijopcyxhdqwlyvæ", strict=True)),
+    **dict(zip("ՕՍՏԼօսհոցզ", "OUSLouhngq", strict=True)),
+    **dict(zip("ᎪᏴᏟᎬᏀᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ", "ABCEGHJKLMPRSTVWZ", strict=True)),
+}
 # Latin letters that are only another drawing of a plain one.
 DRAWN = {"ɡ": "g", "ɑ": "a"}
 # Format characters that are seen, which are kept.
@@ -35,10 +37,6 @@ UNSEEN = frozenset(map(chr, [0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x18
 # Single characters that are two letters drawn as one.
 JOINED = frozenset("ĲĳŉǄǅǆǇǈǉǊǋǌǱǲǳ" + "".join(map(chr, [*range(0xFB00, 0xFB07), *range(0xFB13, 0xFB18)])))
 
-#: What Spark itself can see to be consistent: plain and composed Latin letters without loose marks.
-PLAIN = r"^[ -~¡-¬®-ıĴ-ňŊ-ǃǍ-ǰǴ-ɐɒ-ɠɢ-ʯḀ-ỿ]*$"
-
-
 def is_invisible(c: str) -> bool:
     kind = unicodedata.category(c)
     return c in UNSEEN or kind == "Cf" and c not in SEEN or kind == "Cc" and not c.isspace()
@@ -68,12 +66,46 @@ def mapping() -> dict[str, str]:
         if target != c:
             if out.setdefault(c, target) != target:
                 raise ValueError(f"two targets for {c!r}")
-    for source, target in out.items():
-        if any(x in out for x in target):
+    _check(out, out)
+    return out
+
+
+def _check(new: dict[str, str], *known: dict[str, str]) -> None:
+    """No target may hold a source, so one pass is enough."""
+    for source, target in new.items():
+        if any(x in k for k in (new, *known) for x in target):
             raise ValueError(f"the target of {source!r} holds a source")
+
+
+@lru_cache(1)
+def twins() -> dict[str, str]:
+    """Letter of another script to the Latin cluster of the same look: ``TWINS``, and all letters that are one of these with accents."""
+    out = dict(TWINS)
+    for cp in range(0x370, 0x2000):
+        c = chr(cp)
+        base, *marks = unicodedata.normalize("NFD", c)
+        if base in TWINS and marks and all(unicodedata.combining(x) for x in marks):
+            out[c] = unicodedata.normalize("NFC", TWINS[base] + "".join(marks))
+    if out.keys() & mapping().keys():
+        raise ValueError("two targets for a letter")
+    _check(out, mapping())
     return out
 
 
+@lru_cache(1)
+def plain_pattern() -> str:
+    """What Spark itself can see to be consistent: letters, digits and signs below U+2000 that are no source, no mark and of no other script."""
+    fits = regex.compile(r"[\p{Latin}\p{Common}]")
+    good = [cp for cp in range(0x20, 0x2000) if fits.match(c := chr(cp)) and c not in mapping() and c not in twins() and not unicodedata.category(c).startswith(("M", "C")) and unicodedata.normalize("NFC", c) == c]
+    ranges: list[list[int]] = []
+    for cp in good:
+        if ranges and ranges[-1][1] == cp - 1:
+            ranges[-1][1] = cp
+        else:
+            ranges.append([cp, cp])
+    return "^[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]*$"
+
+
 @lru_cache(1)
 def _compiled() -> regex.Pattern:
     hidden = "".join(regex.escape(c) for c, t in mapping().items() if t == "")
@@ -81,7 +113,7 @@ def _compiled() -> regex.Pattern:
     return regex.compile(rf"(?:\p{{L}}{tail})++|[^\p{{L}}]{tail}")
 
 
-_OTHER = regex.compile(r"[\p{Greek}\p{Cyrillic}]")
+_OTHER = regex.compile(r"[\p{Greek}\p{Cyrillic}\p{Armenian}\p{Cherokee}]")
 _FITS = regex.compile(r"[\p{Latin}\p{M}\p{Common}]*+")
 
 
@@ -89,8 +121,8 @@ def _step(match: str) -> str:
     m = mapping()
     t = "".join([m.get(c, c) for c in match])
     if _OTHER.search(t):
-        parts = unicodedata.normalize("NFD", t)
-        read = "".join([TWINS.get(c, c) for c in parts])
+        twin = twins()
+        read = "".join([twin.get(c, c) for c in t])
         if _FITS.fullmatch(read):
             t = read
     return unicodedata.normalize("NFC", t)
@@ -134,7 +166,7 @@ def inconsistent(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """
     pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("s")) for f in fields))
     long = df.select(F.col(key).cast("bigint").alias("rec_id"), F.explode(pairs).alias("x")).select("x.field", "rec_id", "x.s")
-    odd = long.where(~F.col("s").rlike(PLAIN))
+    odd = long.where(~F.col("s").rlike(plain_pattern()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         form = Transducer()

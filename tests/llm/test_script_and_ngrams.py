@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from arbora.llm import ngrams
-from arbora.llm.script import DRAWN, PLAIN, TWINS, Fold, Transducer, fold_table, inconsistent, mapping, words
+from arbora.llm.script import DRAWN, TWINS, Fold, Transducer, fold_table, inconsistent, mapping, plain_pattern, twins, words
 
 CASES = {
     "Ｆｉdｒoｒ": "Fidror",
@@ -33,6 +33,17 @@ CASES = {
     "e‍́": "é",
     "ا‌ب": "اب",
     "ɓɗƙŋṣ": "ɓɗƙŋṣ",
+    "ԚUEEN": "QUEEN",
+    "Ԝater": "Water",
+    "Ӏdea": "Idea",
+    "Үsa": "Ysa",
+    "ѵery": "very",
+    "Ϲat": "Cat",
+    "ϲat": "cat",
+    "Ѵиктор": "Ѵиктор",
+    "ЁЇΆϊ": "ËÏÁϊ".replace("ϊ", "ï"),
+    "Ꭺxe օr": "Axe or",
+    "Հայ": "Հայ",
 }
 
 
@@ -49,11 +60,38 @@ def test_mapping_has_no_conflicts():
     assert set(DRAWN) <= set(m)
 
 
+@pytest.mark.parametrize("c", sorted(twins()))
+def test_every_twin(c):
+    """Alone, in a Latin word, and in a word that is not Latin."""
+    form = Transducer()
+    assert form(c) == twins()[c] and form(f"x{c}x") == unicodedata.normalize("NFC", f"x{twins()[c]}x")
+    assert form(f"ж{c}") == unicodedata.normalize("NFC", f"ж{c}")
+
+
+def test_twins_have_no_conflicts():
+    assert not twins().keys() & mapping().keys()
+    assert not any(x in twins() or x in mapping() for t in twins().values() for x in t)
+    assert set(TWINS) < set(twins())
+
+
+def test_every_source_of_the_mapping():
+    form = Transducer()
+    for c, t in mapping().items():
+        latin = "".join(twins().get(x, x) for x in t)  # a bold Greek letter, say, that has a twin
+        assert form(c) == unicodedata.normalize("NFC", latin if len(t) == 1 else t), hex(ord(c))
+
+
 def test_plain_letters_are_consistent():
     form = Transducer()
-    for cp in range(0x3000):
-        if re.match(PLAIN[:-1] + r"\Z", chr(cp)):
-            assert form(chr(cp)) == chr(cp), hex(cp)
+    python = re.sub(r"\\x\{(\w+)\}", lambda m: f"\\u{int(m[1], 16):04x}", plain_pattern())
+    seen = [chr(cp) for cp in range(0x3000) if re.match(python[:-1] + r"\Z", chr(cp))]
+    assert set("abzAZ019 ,.;éñŋƙ×€"[:-1]) <= set(seen) and not set("аά​Ａﬁ") & set(seen)
+    for c in seen:
+        assert form(c) == c, hex(ord(c))
+    rng = random.Random(1)
+    for _ in range(3000):
+        t = "".join(rng.choice(seen) for _ in range(6))
+        assert form(t) == t
 
 
 def test_one_pass_is_enough():
