@@ -7,8 +7,8 @@ points at a node hangs on a cycle.
 
 Trees of ordinary size are co-located by one shuffle and doubled many trees at a time on
 arrays. A tree above ``giant`` nodes is never brought into one task: it is doubled by
-distributed self-joins on (tree, node), whose keys are spread evenly even if one tree
-holds all rows.
+distributed self-joins on (tree, node). Nodes that have reached their root leave the rounds, and those
+whose pointers meet in one node, as all of a wide tree do in its root, are spread over many tasks.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from arbora.operators.joins import split_join
 from arbora.session import cut
 
 GIANT = 200_000
@@ -211,23 +212,29 @@ def _doubled(rows: DataFrame, largest: int, cycles_only: bool) -> DataFrame:
     lab = F.lit(None).cast("string") if cycles_only else F.col("label")
     one = rows.groupBy("tree", "node").agg(F.min(F.struct(F.col("parent"), lab.alias("label"))).alias("s")).select("tree", "node", "s.parent", "s.label")
     ids = one.select("tree", F.col("node").alias("parent"), F.lit(True).alias("found"))
-    s = one.join(ids, ["tree", "parent"], "left").select("tree", "node", "parent", F.when(F.col("found"), F.col("parent")).alias("ptr"), F.col("node").alias("low"), F.when(F.col("found"), F.col("parent")).alias("top"), F.array("node").alias("path"), F.array("label").alias("labels"))
+    s = split_join(one, ids, ["tree", "parent"], "node", how="left").select("tree", "node", "parent", F.when(F.col("found"), F.col("parent")).alias("ptr"), F.col("node").alias("low"), F.when(F.col("found"), F.col("parent")).alias("top"), F.array("node").alias("path"), F.array("label").alias("labels"))
     if cycles_only:
         s = s.drop("path", "labels", "top")
     s = cut(s)
+    done = s.where("ptr is null")
+    going = s.where("ptr is not null")
     for _ in range(math.ceil(math.log2(max(2, largest))) + 1):
-        if s.where("ptr is not null").isEmpty():
+        if going.isEmpty():
             break
-        o = s.select("tree", F.col("node").alias("ptr"), F.lit(True).alias("hit"), *(F.col(c).alias("o_" + c) for c in s.columns if c not in ("tree", "node", "parent")))
+        every = done.unionByName(going)
+        o = every.select("tree", F.col("node").alias("ptr"), *(F.col(c).alias("o_" + c) for c in s.columns if c not in ("tree", "node", "parent")))
         cols = ["tree", "node", "parent", F.col("o_ptr").alias("ptr"), F.least("low", "o_low").alias("low")]
         if not cycles_only:
-            cols += [F.coalesce("o_top", "top").alias("top"), F.when(F.col("hit"), F.concat("o_path", "path")).otherwise(F.col("path")).alias("path"), F.when(F.col("hit"), F.concat("o_labels", "labels")).otherwise(F.col("labels")).alias("labels")]
-        s = cut(s.join(o, ["tree", "ptr"], "left").select(*cols))
+            cols += [F.coalesce("o_top", "top").alias("top"), F.concat("o_path", "path").alias("path"), F.concat("o_labels", "labels").alias("labels")]
+        new = cut(split_join(going, o, ["tree", "ptr"], "node").select(*cols))
+        done = done.unionByName(new.where("ptr is null"))
+        going = new.where("ptr is not null")
+    s = done.unionByName(going)
     on = s.select("tree", F.col("node").alias("ptr"), F.col("low").alias("cycle_id"))
-    bad = s.where("ptr is not null").select("tree", "node", "parent", "ptr").join(on, ["tree", "ptr"])
+    bad = split_join(going.select("tree", "node", "parent", "ptr"), on, ["tree", "ptr"], "node")
     if cycles_only:
         return bad.select("tree", "node", "cycle_id")
-    good = s.where("ptr is null")
+    good = done
     own = good.select("tree", F.explode("path").alias("node")).groupBy("tree", "node").count()
     good = good.join(own, ["tree", "node"]).select("tree", "node", "parent", (F.size("path") - 1).alias("depth"), F.coalesce("top", "node").alias("root"), "path", F.col("labels").alias("label_path"), (F.col("count") - 1).alias("n_descendants"), F.lit(False).alias("cyclic"), F.lit(None).cast("bigint").alias("cycle_id"))
     none = {"depth": "int", "root": "bigint", "path": "array<bigint>", "label_path": "array<string>", "n_descendants": "bigint"}

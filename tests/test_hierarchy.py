@@ -74,3 +74,32 @@ def test_empty_and_self_loop(spark):
     assert hierarchy(empty, "t", "n", "p").count() == 0
     loop = spark.createDataFrame([("a", 1, 1), ("a", 2, 1)], "t string, n bigint, p bigint")
     assert {(r["node"], r["cycle_id"]) for r in hierarchy(loop, "t", "n", "p").collect()} == {(1, 1), (2, 1)}
+
+
+@pytest.mark.parametrize("cycles_only", [False, True])
+def test_wide_giant_tree(spark, monkeypatch, cycles_only):
+    """A star whose rows all point at its root, with a chain and a wide cycle, by joins with every key in pieces of ten rows."""
+    from arbora.operators import joins
+
+    monkeypatch.setattr(joins, "TOGETHER", 10)
+    rows = [(1, 1, None)] + [(1, i, 1) for i in range(2, 300)] + [(1, i, i - 1) for i in range(300, 340)]
+    rows += [(2, 1, 2), (2, 2, 1)] + [(2, i, 1 + i % 2) for i in range(3, 200)] + [(3, i, None) for i in range(1, 100)]
+    df = spark.createDataFrame(rows, "t bigint, n bigint, p bigint")
+    h = hierarchy(df, "t", "n", "p", giant=5, cycles_only=cycles_only)
+    if cycles_only:
+        assert sorted((r["tree"], r["node"], r["cycle_id"]) for r in h.collect()) == [(2, i, 1) for i in range(1, 200)]
+        return
+    got = {(r["tree"], r["node"]): r for r in h.collect()}
+    assert len(got) == len(rows)
+    assert got[1, 1]["n_descendants"] == 338 and got[1, 5]["path"] == [1, 5] and got[1, 339]["depth"] == 41 and got[1, 339]["root"] == 1
+    assert all(got[3, i]["depth"] == 0 for i in range(1, 100)) and all(got[2, i]["cycle_id"] == 1 for i in range(1, 200))
+
+
+def test_split_join(spark, monkeypatch):
+    from arbora.operators.joins import split_join
+
+    left = spark.createDataFrame([(i, None if i % 7 == 0 else i % 3) for i in range(100)], "i bigint, k int")
+    right = spark.createDataFrame([(0, "a"), (1, "b"), (1, "c"), (None, "d"), (9, "e")], "k int, v string")
+    for how in ("inner", "left"):
+        got = sorted(map(tuple, split_join(left, right, "k", "i", how=how, together=4).select("i", "k", "v").collect()), key=str)
+        assert got == sorted(map(tuple, left.join(right, "k", how).select("i", "k", "v").collect()), key=str)
