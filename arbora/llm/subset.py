@@ -13,11 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arbora.operators.ordered import ranked, running_sum
 from arbora.session import cut
 
+#: Bits of the largest grid whose table of cells (number, rows, rows before: 48 MB) is sent to every task.
+MOST_SENT = 21
+
 
 def hilbert_keys(points: np.ndarray, bits: int) -> np.ndarray:
     """Numbers along the Hilbert curve of grid points, one column a dimension, 0 to 2**bits - 1 each."""
@@ -80,22 +84,24 @@ def select_varied(df: DataFrame, record: str, features: list[str], size: int, *,
         return picked.select(F.col("best.r").alias(record), "cell", "cell_rows", F.lit(1).alias("turn"))
     # whole turns for all cells that have so many records, then one turn for evenly spaced cells
     turns, left, cells_left = _turns(cells, size)
-    w = Window.partitionBy("cell").orderBy(F.desc("_q"), record)
-    ranked = placed.withColumn("turn", F.row_number().over(w)).where(F.col("turn") <= turns + 1)
-    ranked = ranked.join(cells.select("cell", "cell_rows"), "cell")
-    whole = ranked.where(F.col("turn") <= turns)
+    # a row's turn is its place among all rows in the order of cells, less the rows of the cells before
+    before = running_sum(cells, ["cell"], F.col("cell_rows"), "upto").select("cell", "cell_rows", (F.col("upto") - F.col("cell_rows")).alias("before"))
+    placed, _ = ranked(placed.withColumn("_order", -F.col("_q")), ["cell", "_order", record])
+    # the table of cells is bounded by the grid
+    with_turn = placed.join(F.broadcast(before) if bits * len(features) <= MOST_SENT else before, "cell")
+    turned = with_turn.withColumn("turn", (F.col("rank") - F.col("before") + 1).cast("int")).where(F.col("turn") <= turns + 1)
+    whole = turned.where(F.col("turn") <= turns)
     out = whole
     if left and cells_left:
         last = evenly(cells.where(F.col("cell_rows") > turns), "cell", left, cells_left).select("cell")
-        out = whole.unionByName(ranked.where(F.col("turn") == turns + 1).join(last, "cell", "left_semi"))
+        out = whole.unionByName(turned.where(F.col("turn") == turns + 1).join(last, "cell", "left_semi"))
     return out.select(record, "cell", "cell_rows", "turn")
 
 
 def _turns(cells: DataFrame, size: int) -> tuple[int, int, int]:
     """Whole turns that ``size`` pays for, what is left of it, and the cells of the next turn (0: none)."""
-    by = cells.groupBy("cell_rows").agg(F.count("*").alias("cells"))
-    w = Window.orderBy(F.desc("cell_rows"))
-    steps = by.withColumn("n", F.sum("cells").over(w)).orderBy("cell_rows").select("cell_rows", "n")
+    by = cells.groupBy("cell_rows").agg(F.count("*").alias("cells")).withColumn("_order", -F.col("cell_rows"))
+    steps = running_sum(by, ["_order"], F.col("cells"), "n").orderBy("cell_rows").select("cell_rows", "n")
     turns, left = 0, size
     for s in steps.toLocalIterator():  # n cells have at least cell_rows rows
         whole = min(s["cell_rows"] - turns, left // s["n"])
