@@ -6,6 +6,9 @@ five-word run seen before in the text, delimiters, digits and damaged characters
 characters, its number of words). Each state gives them binomial or tabled chances, the states
 are sticky, and the likeliest state sequence labels the segments. All documents of a chunk
 are decoded side by side.
+
+The texts are read once; the segments' statistics are stored, nine numbers each. On them the chances of states to begin
+and to follow each other are trained, on all documents, by counting over the likeliest labels and drawing the result to the stated chances.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 
 from arbora.llm.leaks import chunks
 from arbora.llm.script import Fold, fold_table, words
+from arbora.session import stored
 
 STATES = ("prose", "list", "table", "junk")
 #: A bound for the reference table of common words, which is sent to every task.
@@ -55,12 +59,18 @@ N_WORDS = (
     (0.15, 0.25, 0.25, 0.15, 0.20),
     (0.02, 0.03, 0.07, 0.13, 0.75),
 )
+SHOWN = (COMMON, AGAIN, DELIMITER, DIGIT, DAMAGED, TAG)
 # Where training starts, and what it is drawn to by so many steps of its own.
 STAY = 0.88
 START = (0.46, 0.14, 0.14, 0.08, 0.06, 0.06, 0.06)
 PRIOR = 200
-#: How states begin and follow each other is trained on all documents in so many rounds.
+#: Chances are trained on all documents in so many rounds.
 ROUNDS = 3
+#: The share that a stated chance of what a state shows keeps beside the trained one. There are no labelled documents, and
+#: without labels trained ones drift: at 0.9 every eighth table of a treebank's documents became junk. So they stay as stated.
+STATED = 1.0
+#: Segments decoded at once in a task.
+DECODED = 40_000
 #: Binomial evidence of one segment counts as of so many trials at most: words and characters of a line are no independent draws.
 TRIALS = 40
 
@@ -106,10 +116,12 @@ def _binomial(k: np.ndarray, n: np.ndarray, p: tuple[float, ...]) -> np.ndarray:
 
 
 class Moves(NamedTuple):
-    """Log-chances of a state to come first, and to follow another."""
+    """Log-chances of a state to come first, and to follow another, and the chances of what a state shows (None: as stated)."""
 
     start: np.ndarray
     step: np.ndarray
+    shown: np.ndarray | None = None  # by statistic and state
+    sizes: np.ndarray | None = None  # by state and number of words
 
     @staticmethod
     def untrained() -> "Moves":
@@ -124,12 +136,20 @@ class Moves(NamedTuple):
 
     @staticmethod
     def of(counts: np.ndarray) -> "Moves":
-        """The chances by the counts that ``moves_in`` gives, drawn to the untrained ones."""
+        """The chances by the counts that ``moves_in``, or ``counts_in``, gives, drawn to the untrained ones."""
         k = len(START)
         base = Moves.untrained()
         start = counts[:k] + PRIOR * np.exp(base.start)
-        step = counts[k:].reshape(k, k) + PRIOR * np.exp(base.step)
-        return Moves(np.log(start / start.sum()), np.log(step / step.sum(1, keepdims=True)))
+        step = counts[k : k + k * k].reshape(k, k) + PRIOR * np.exp(base.step)
+        moves = Moves(np.log(start / start.sum()), np.log(step / step.sum(1, keepdims=True)))
+        rest = counts[k + k * k :]
+        if not len(rest):
+            return moves
+        hits, trials = rest[: 12 * k].reshape(2, 6, k).astype(float)
+        sizes = rest[12 * k :].reshape(k, -1).astype(float)
+        mixed = lambda stated, got, n: np.where(n > 0, STATED * stated + (1 - STATED) * got / np.maximum(n, 1), stated)
+        shown = np.clip(mixed(np.array(SHOWN), hits, trials), 1e-5, 1 - 1e-5)
+        return moves._replace(shown=shown, sizes=mixed(np.array(N_WORDS), sizes, sizes.sum(1, keepdims=True)))
 
 
 def moves_in(path: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -170,36 +190,85 @@ def viterbi(evidence: np.ndarray, first: np.ndarray, length: np.ndarray, moves:
     return path
 
 
+#: What is kept of a segment: common words, words, repeats, delimiters, digits, damaged characters, characters without tags, tag characters, characters.
+SEG = 9
+#: Where the hits and the trials of each statistic of ``SHOWN`` stand.
+_HITS, _TRIALS = (0, 2, 3, 4, 5, 7), (1, 1, 6, 6, 6, 8)
+
+
+def _size(seg: np.ndarray) -> np.ndarray:
+    return np.digitize(seg[:, 1], [1, 2, 4, 7])
+
+
+def evidence(seg: np.ndarray, moves: Moves) -> np.ndarray:
+    """Log-likelihood of each segment by state."""
+    shown = np.array(SHOWN) if moves.shown is None else moves.shown
+    sizes = np.array(N_WORDS) if moves.sizes is None else moves.sizes
+    out = np.log(np.maximum(sizes, 1e-5)).T[_size(seg)]
+    for hit, trial, p in zip(_HITS, _TRIALS, shown):
+        out += _binomial(seg[:, hit], seg[:, trial], p)
+    return out
+
+
+def decoded(seg: np.ndarray, length: np.ndarray, moves: Moves) -> tuple[np.ndarray, np.ndarray]:
+    """The likeliest state of each segment, and the first segment of each sequence that has any; sequences stand one behind the other."""
+    first = np.cumsum(length) - length
+    has = length > 0
+    return viterbi(evidence(seg, moves), first[has], length[has], moves), first[has]
+
+
+def counts_in(seg: np.ndarray, length: np.ndarray, moves: Moves) -> np.ndarray:
+    """``moves_in`` over the likeliest labels, then by statistic and state thousandths of hits and of trials, and segments by state and number of words."""
+    k = len(START)
+    path, first = decoded(seg, length, moves)
+    shown = np.zeros((2, 6, k), np.int64)
+    for i, (hit, trial) in enumerate(zip(_HITS, _TRIALS)):
+        n = seg[:, trial].astype(float)
+        weight = 1000 * np.minimum(1.0, TRIALS / np.maximum(n, 1))
+        for j, x in enumerate((seg[:, hit] * weight, n * weight)):
+            shown[j, i] = np.bincount(path, weights=np.rint(x), minlength=k)
+    sizes = np.bincount(path.astype(np.int64) * len(N_WORDS[0]) + _size(seg), minlength=k * len(N_WORDS[0]))
+    return np.concatenate([moves_in(path, first), shown.ravel(), sizes])
+
+
+N_COUNTS = len(START) * (len(START) + 1 + 12 + len(N_WORDS[0]))
+
+
 class Model:
-    """Common words by language, and what is needed to label texts by them."""
+    """Common words by language, and what is needed to take the statistics of texts."""
 
     def __init__(self, common: list[tuple[str, str]], moves: Moves | None = None):
         self.moves = moves or Moves.untrained()
-        self.paths: list[tuple[np.ndarray, np.ndarray]] | None = None  # kept in training only, which needs no statistics
         fold = Fold()
-        langs = sorted({lang for lang, _ in common})
-        self.n = max(1, len(langs))
-        mask: dict[str, int] = {}
+        number = {lang: i for i, lang in enumerate(sorted({lang for lang, _ in common}))}
+        self.n = max(1, len(number))
+        of: dict[str, set[int]] = {}
         for lang, w in common:
             for x in words(w, fold):
-                mask[x] = mask.get(x, 0) | (1 << langs.index(lang))
-        self.mask = mask
+                of.setdefault(x, set()).add(number[lang])
+        # words with the same languages share one list of them; list 0 is empty
+        lists: dict[tuple[int, ...], int] = {(): 0}
+        self.known = {w: lists.setdefault(tuple(sorted(x)), len(lists)) for w, x in of.items()}
+        self.list_size = np.array([len(x) for x in lists], np.int64)
+        self.list_first = np.cumsum(self.list_size) - self.list_size
+        self.langs = np.array([x for y in lists for x in y], np.int64)
         self.flags = _classes()
         self.fold = fold_table().copy()
         self.fold[10] = 10
         for cp in (9, 11, 12, 13, 0x85, 0x2028, 0x2029):
             self.fold[cp] = 32
 
+    def chunks(self, texts: list[str]) -> Iterator[tuple[int, list[str]]]:
+        """Texts that are measured at once: fewer where there are very many languages."""
+        return chunks(texts, 600_000 * 64 // max(64, self.n))
+
     def count(self, texts: list[str]) -> np.ndarray:
-        """``moves_in`` over the likeliest labels of the texts."""
-        self.paths = []
-        self.measure(texts)
-        got = sum((moves_in(p, f) for p, f in self.paths), np.zeros(len(START) * (len(START) + 1), np.int64))
-        self.paths = None
-        return got
-
-    def measure(self, texts: list[str]) -> dict[str, np.ndarray]:
-        """Statistics of each text, by name; see ``text_quality``."""
+        """``counts_in`` of the texts."""
+        _, seg, length = self.measure(texts)
+        return counts_in(seg, length, self.moves)
+
+    def measure(self, texts: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """Statistics of each text by name (see ``text_quality``), the rows of all segments, and each text's number of segments."""
         docs = len(texts)
         tagged = [_TAG.sub(lambda m: "\x01" * len(m.group()), t) if "<" in t or "&" in t else t for t in texts]
         code = np.frombuffer("\n".join(tagged).encode("utf-32-le", "surrogatepass") + b"\n\0\0\0", np.uint32)
@@ -225,8 +294,8 @@ class Model:
         n_words = len(a)
         if len(text) != n_words:  # a letter that Python takes for a blank
             text = ["".join(map(chr, f[i:j])) for i, j in zip(a.tolist(), b.tolist())]
-        get = self.mask.get
-        mask = np.fromiter([get(w, 0) for w in text], np.int64, n_words)
+        get = self.known.get
+        known = np.fromiter([get(w, 0) for w in text], np.int64, n_words)
         word_at = kept[a] if n_words else np.zeros(0, np.int64)
         word_line = np.searchsorted(line_end, word_at, "left")
         word_doc = line_doc[word_line] if n_words else np.zeros(0, np.int64)
@@ -252,7 +321,8 @@ class Model:
         cuts = word_at[(rank > 0) & (rank % SEGMENT == 0)]
         seg_start = np.union1d(line_start[full], cuts)
         if not len(seg_start):
-            return self._empty(docs)
+            zero = np.zeros(docs)
+            return {k: zero.astype(np.int64) if k[:2] == "n_" else zero for k in STATISTICS}, np.zeros((0, SEG), np.int32), np.zeros(docs, np.int64)
         seg_doc = np.searchsorted(doc_end, seg_start, "left")
         bounds = np.append(seg_start, len(code))
 
@@ -264,7 +334,10 @@ class Model:
         chars = total(dark)
         word_seg = np.searchsorted(seg_start, word_at, "right") - 1
         seg_words = np.bincount(word_seg, minlength=len(seg_start))
-        by_lang = np.stack([np.bincount(word_seg, weights=(mask >> j) & 1, minlength=len(seg_start)) for j in range(self.n)], 1)
+        many = self.list_size[known]
+        ends = np.cumsum(many)
+        lang = self.langs[np.repeat(self.list_first[known] - ends + many, many) + np.arange(ends[-1] if n_words else 0)]
+        by_lang = np.bincount(np.repeat(word_seg, many) * self.n + lang, minlength=len(seg_start) * self.n).reshape(-1, self.n)
         doc_first = np.searchsorted(seg_doc, np.arange(docs), "left")
         doc_len = np.searchsorted(seg_doc, np.arange(docs), "right") - doc_first
         c = np.concatenate([np.zeros((1, self.n)), np.cumsum(by_lang, 0)])
@@ -275,33 +348,16 @@ class Model:
         common = by_lang[i, best]
         repeats = np.bincount(word_seg, weights=again, minlength=len(seg_start))
         tags = total(tag)
-        size = np.digitize(seg_words, [1, 2, 4, 7])
-        plain = chars - tags
-        evidence = (
-            _binomial(common, seg_words, COMMON)
-            + _binomial(repeats, seg_words, AGAIN)
-            + _binomial(total((flag & 2 > 0) & ~tag), plain, DELIMITER)
-            + _binomial(total((flag & 4 > 0) & ~tag), plain, DIGIT)
-            + _binomial(total((flag & 8 > 0) & ~tag), plain, DAMAGED)
-            + _binomial(tags, chars, TAG)
-            + np.log(np.array(N_WORDS)).T[size]
-        )
-        has = doc_len > 0
-        path = viterbi(evidence, doc_first[has], doc_len[has], self.moves)
-        if self.paths is not None:
-            self.paths.append((path, doc_first[has]))
-            return {}
-        state = np.array(LABEL)[path]
-        out = {}
+        plain = ~tag
+        damage = [total((flag & bit > 0) & plain) for bit in (2, 4, 8)]
+        seg = np.stack([common, seg_words, repeats, *damage, chars - tags, tags, chars], 1).astype(np.int32)
         weight = np.bincount(seg_doc, weights=chars, minlength=docs)
-        for j, name in enumerate(STATES):
-            out[f"{name}_share"] = np.bincount(seg_doc, weights=chars * (state == j), minlength=docs) / np.maximum(weight, 1)
         per_doc = lambda x: np.bincount(seg_doc, weights=x, minlength=docs)
         nw = np.bincount(word_doc, minlength=docs)
         length = np.bincount(word_doc, weights=b - a, minlength=docs) if n_words else np.zeros(docs)
         closed = self._closed(flag, line_start[full], line_end[full])
         lines = np.bincount(line_doc[full], minlength=docs)
-        out |= {
+        out = {
             "n_words": nw.astype(np.int64),
             "n_lines": lines.astype(np.int64),
             "mean_word_length": length / np.maximum(nw, 1),
@@ -311,7 +367,7 @@ class Model:
             "common_word_share": per_doc(common) / np.maximum(nw, 1),
             "repeated_share": np.bincount(word_doc, weights=again, minlength=docs) / np.maximum(nw, 1),
         }
-        return out
+        return out, seg, doc_len
 
     @staticmethod
     def _closed(flag: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -320,66 +376,101 @@ class Model:
         last = dark[np.searchsorted(dark, end, "left") - 1]
         return (flag[last] & 16 > 0).astype(np.int64)
 
-    def _empty(self, docs: int) -> dict[str, np.ndarray]:
-        zero = np.zeros(docs)
-        return {f"{s}_share": zero for s in STATES} | {k: zero.astype(np.int64) if k[:2] == "n_" else zero for k in STATISTICS}
-
 
 STATISTICS = ("n_words", "n_lines", "mean_word_length", "symbol_ratio", "digit_ratio", "ended_lines_share", "common_word_share", "repeated_share")
 
 
-def trained(docs: DataFrame, known: list[tuple[str, str]], text: str = "text") -> Moves:
-    """How states begin and follow each other, fitted to the likeliest labels of all whole documents, ``ROUNDS`` times.
+def scanned(docs: DataFrame, known: list[tuple[str, str]], doc_id: str, text: str) -> DataFrame:
+    """(id, STATISTICS, seg): the statistics of each text, and those of its segments one behind the other."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+    schema = f"id {kind}, " + ", ".join(f"{c} {'bigint' if c[:2] == 'n_' else 'double'}" for c in STATISTICS) + ", seg array<int>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(known)
+        for b in batches:
+            for start, part in model.chunks([t or "" for t in b.column("text").to_pylist()]):
+                got, seg, length = model.measure(part)
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length * SEG)]), pa.int32()), pa.array(seg.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(start, len(part)), *(pa.array(got[c]) for c in STATISTICS), lists], ["id", *STATISTICS, "seg"])
+
+    return docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
+
 
-    A round reads the documents once. Each task gives one row a count; only their sums reach the driver.
+def _parts(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, segments, their number by row) of runs of rows with about ``DECODED`` segments."""
+    lists = b.column("seg")
+    offset = lists.offsets.to_numpy().astype(np.int64)
+    flat = lists.values.to_numpy()
+    start = 0
+    while start < b.num_rows:
+        end = max(start + 1, int(np.searchsorted(offset, offset[start] + DECODED * SEG, "right")) - 1)
+        end = min(end, b.num_rows)
+        yield start, flat[offset[start] : offset[end]].reshape(-1, SEG), np.diff(offset[start : end + 1]) // SEG
+        start = end
+
+
+def trained_on(segments: DataFrame) -> Moves:
+    """The chances, fitted to the likeliest labels of the segments of all documents, ``ROUNDS`` times.
+
+    Each task gives one row a count; only their sums reach the driver.
     """
     moves = Moves.untrained()
-    read = docs.select(F.col(text).alias("text")).where(F.length("text") > 0)
     for _ in range(ROUNDS):
 
         def run(batches: Iterator[pa.RecordBatch], moves: Moves = moves) -> Iterator[pa.RecordBatch]:
-            model = Model(known, moves)
-            counts = np.zeros(len(START) * (len(START) + 1), np.int64)
+            counts = np.zeros(N_COUNTS, np.int64)
             for b in batches:
-                for _, part in chunks(b.column("text").to_pylist(), 600_000):
-                    counts += model.count(part)
+                for _, seg, length in _parts(b):
+                    counts += counts_in(seg, length, moves)
             at = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["at", "n"])
 
-        total = np.zeros(len(START) * (len(START) + 1), np.int64)
-        for at, n in read.mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n")).collect():
+        total = np.zeros(N_COUNTS, np.int64)
+        for at, n in segments.select("seg").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n")).collect():
             total[at] = n
         moves = Moves.of(total)
     return moves
 
 
+def trained(docs: DataFrame, known: list[tuple[str, str]], text: str = "text") -> Moves:
+    """``trained_on`` the segments of all whole documents, which are read once."""
+    read = docs.where(F.length(text) > 0)
+    return trained_on(stored(scanned(read, known, text, text).select("seg")))
+
+
 def text_quality(docs: DataFrame, common: DataFrame, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: the statistics, the share of each label, and ``label``.
 
     Shares are of the characters that are no blanks. ``label`` is ``prose`` where prose has at
     least half, else the largest of the others (ties in the order list, table, junk). A null text,
     an empty one and one of blanks only have zero statistics and the label ``junk``. Repeated rows give a
-    row each. ``common`` (lang, word) is a reference table of at most ``MOST_WORDS`` rows;
+    row each. ``common`` (lang, word) is a reference table of at most ``MOST_WORDS`` rows, of any number of languages;
     the language is found from the words, a document's own label of it is not used. Whole texts
-    are read, no text is shuffled. How labels follow each other is trained first, on all documents (see ``trained``).
+    are read, once; no text is shuffled. How labels follow each other is trained on all documents (see ``trained_on``).
     """
     known = [(r[0], r[1]) for r in common.select("lang", "word").where("lang is not null and word is not null").limit(MOST_WORDS + 1).collect()]
     if len(known) > MOST_WORDS:
         raise ValueError(f"more than {MOST_WORDS} common words")
-    moves = trained(docs, known, text)
+    segments = stored(scanned(docs, known, doc_id, text))
+    moves = trained_on(segments)
     kind = docs.schema[doc_id].dataType.simpleString()
     shares = [f"{s}_share" for s in STATES]
     cols = [*STATISTICS, *shares]
     schema = f"`{doc_id}` {kind}, " + ", ".join(f"{c} {'bigint' if c[:2] == 'n_' else 'double'}" for c in cols)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Model(known, moves)
         for b in batches:
-            for start, part in chunks([t or "" for t in b.column("text").to_pylist()], 600_000):
-                got = model.measure(part)
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(start, len(part)), *(pa.array(got[c]) for c in cols)], [doc_id, *cols])
-
-    measured = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
+            share = np.zeros((len(STATES), b.num_rows))
+            for start, seg, length in _parts(b):
+                state = np.array(LABEL)[decoded(seg, length, moves)[0]]
+                row = np.repeat(np.arange(len(length)), length)
+                chars = seg[:, 8].astype(float)
+                weight = np.maximum(np.bincount(row, weights=chars, minlength=len(length)), 1)
+                for j in range(len(STATES)):
+                    share[j, start : start + len(length)] = np.bincount(row, weights=chars * (state == j), minlength=len(length)) / weight
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("id", *STATISTICS)), *(pa.array(x) for x in share)], [doc_id, *cols])
+
+    measured = segments.mapInArrow(run, schema)
     others = F.greatest(*(F.col(s) for s in shares[1:]))
     label = F.when((F.col("prose_share") >= 0.5), "prose").when(F.col("n_lines") == 0, "junk")
     for s, name in zip(shares[1:], STATES[1:]):

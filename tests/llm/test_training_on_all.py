@@ -39,3 +39,25 @@ def test_many_documents_all_count(spark):
     model = Model(KNOWN)
     n = int(sum(model.count([r["text"] for r in df.collect()])[:7]))
     assert n == 5000
+
+
+def test_what_states_show_can_be_trained(monkeypatch):
+    """With a share for the trained chances they move towards the documents, alike at every size."""
+    monkeypatch.setattr(quality, "STATED", 0.5)
+    counts = sum(Model(KNOWN).count([book(i, 200)]) for i in range(5))
+    small, large = Moves.of(counts), Moves.of(1000 * counts)
+    table, delimiter = quality.HIDDEN.index("table"), 2
+    assert small.shown[delimiter, table] > quality.DELIMITER[table] + 0.05
+    assert np.allclose(small.shown, large.shown) and np.allclose(small.sizes.sum(1), 1)
+    assert np.all((small.shown > 0) & (small.shown < 1))
+    seg = np.zeros((3, quality.SEG), np.int32)
+    assert np.isfinite(quality.evidence(seg, small)).all()
+
+
+def test_any_number_of_languages(spark):
+    """Seventy languages with words of their own, a thousand with the same words."""
+    docs = spark.createDataFrame([(1, " ".join(f"the{i % 3}x w{i}q of{i % 2}x v{i}q and0x" for i in range(60)) + ".")], "doc_id bigint, text string")
+    for n in (1, 70, 1000):
+        common = [(f"l{i}", f"{w}x") for i in range(n) for w in ("the0", "the1", "the2", "of0", "of1", "and0")] + [("zz", "nothing")]
+        r = quality.text_quality(docs, spark.createDataFrame(common, "lang string, word string")).first()
+        assert abs(r["common_word_share"] - 0.6) < 1e-9
