@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from arbora.operators import frames, scoring, selection
-from arbora.plans import experiments, prompts, reports
+from arbora.plans import experiments, prompts, reports, runner
 from arbora.session import local_session, ship, table
 from arbora.sources import conllu, sinks
 
@@ -55,6 +55,13 @@ def _grid(spark: SparkSession, a: argparse.Namespace) -> None:
     experiments.grid(spark, GRIDS[a.preset]).write.mode("overwrite").json(a.out)
 
 
+def _run(spark: SparkSession, a: argparse.Namespace) -> None:
+    corpus = runner.Corpus(frames.gold_tokens(table(spark, a.tables, "tokens")), table(spark, a.tables, "sentences"))
+    source = {"dry": runner.dry, "provider": runner.asked_of_provider}.get(a.answers) or runner.replayed(spark.read.json(a.answers))
+    done = runner.run_grid(corpus, experiments.grid(spark, GRIDS[a.preset]), source, a.out, language=a.language, resume=not a.again)
+    reports.comparison_report(done).orderBy("place").select("line").coalesce(1).write.mode("overwrite").text(f"{a.out}/report")
+
+
 def _read(spark: SparkSession, a: argparse.Namespace) -> None:
     conllu.tokens(conllu.read_lines(spark, a.files), a.dialect).write.mode("overwrite").parquet(a.out)
 
@@ -81,6 +88,11 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     c.add_argument("--split", default="test")
     c.add_argument("--language", default="Wolof")
     command("grid", _grid, tables=False).add_argument("--preset", choices=GRIDS, default="standard")
+    c = command("run", _run)
+    c.add_argument("--preset", choices=GRIDS, default="quick")
+    c.add_argument("--answers", default="dry", help="dry, provider, or JSON files of name, sent_idx, response")
+    c.add_argument("--language", default="Wolof")
+    c.add_argument("--again", action="store_true", help="run experiments that are there already")
     c = command("read", _read, tables=False)
     c.add_argument("--dialect", choices="ABC", default="A")
     c.add_argument("files", nargs="+")

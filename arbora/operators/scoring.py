@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from arbora.functions.feats import feats_pairs
@@ -10,6 +10,8 @@ from arbora.operators.frames import EXPERIMENT
 
 KEYS = [*EXPERIMENT, "sent_idx"]
 SCORES = ["uas", "las", "la"]
+#: Labels of a full confusion table.
+MOST_LABELS = 2000
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -98,6 +100,20 @@ def confusion_matrix(a: DataFrame, labels: list[str]) -> DataFrame:
     return m.groupBy("gold").pivot("predicted", labels).count().na.fill(0, labels)
 
 
+def full_confusion(c: DataFrame) -> DataFrame:
+    """(gold, predicted, n) over all experiments for every pair of labels that stand on either side, n 0 where they never meet.
+
+    The labels are a set of bounded size: more than ``MOST_LABELS`` are refused, as the pairs are their square.
+    """
+    sum_ = c.groupBy("gold", "predicted").agg(F.sum("n").alias("n"))
+    labels = sum_.select(F.explode(F.array("gold", "predicted")).alias("gold")).distinct()
+    known = sorted(r[0] for r in labels.limit(MOST_LABELS + 1).collect())
+    if len(known) > MOST_LABELS:
+        raise ValueError(f"more than {MOST_LABELS} labels")
+    every = labels.select("gold", F.explode(F.array(*map(F.lit, known)) if known else F.array().cast("array<string>")).alias("predicted"))
+    return every.join(sum_, ["gold", "predicted"], "left").select("gold", "predicted", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
 def top_confused(c: DataFrame, most: int = 15) -> DataFrame:
     """The part of a confusion table between the ``most`` gold labels with the most tokens, the larger first; ties by name."""
     total = c.groupBy(F.col("gold").alias("label")).agg(F.sum("n").alias("total")).orderBy(F.desc("total"), "label").limit(most)
@@ -108,10 +124,9 @@ def top_confused(c: DataFrame, most: int = 15) -> DataFrame:
 # --------------------------------------------------------------- token rows against token rows
 
 
-def complete_only(a: DataFrame, expected: Column | None = None) -> DataFrame:
-    """Rows of sentences in which every gold token has an answer."""
-    kept = a.groupBy(*KEYS).agg(F.bool_and("answered").alias("all")).where("all").select(*KEYS)
-    return a.join(kept, KEYS, "left_semi")
+def complete_only(a: DataFrame) -> DataFrame:
+    """Rows of sentences in which every gold token has an answer. A sentence's rows are looked at together, so what gave them is evaluated once."""
+    return a.withColumn("_all", F.bool_and("answered").over(Window.partitionBy(*KEYS))).where("_all").drop("_all")
 
 
 def micro_counts(a: DataFrame, *, ignore_punct: bool = True, by: list[str] | None = None) -> DataFrame:
@@ -173,6 +188,35 @@ def token_accuracy(a: DataFrame) -> DataFrame:
     )
 
 
+def count_mismatches(gold: DataFrame, answer: DataFrame) -> DataFrame:
+    """(experiment, sent_idx, n_gold, n_answered, error): the answered sentences whose tokens are not as many as gold's."""
+    n = gold.groupBy("sent_idx").agg(F.count("*").alias("n_gold"))
+    m = answer.groupBy(*KEYS).agg(F.count("*").alias("n_answered"))
+    return m.join(n, "sent_idx").where("n_gold <> n_answered").select(*KEYS, "n_gold", "n_answered", F.lit("Token count mismatch").alias("error"))
+
+
+def by_place(gold: DataFrame, answer: DataFrame) -> DataFrame:
+    """Gold tokens and answers of a sentence side by side, the first with the first and so on, whatever ids they have.
+
+    Only sentences with as many answers as tokens have rows; the others are ``count_mismatches``.
+    """
+    place = lambda df, keys: df.withColumns({"place": F.row_number().over(Window.partitionBy(*keys).orderBy("id")), "_n": F.count("*").over(Window.partitionBy(*keys))})
+    g = place(gold, ["sent_idx"])
+    p = place(answer, KEYS).drop("id")
+    return g.join(p, ["sent_idx", "place", "_n"]).drop("_n").withColumn("answered", F.lit(True))
+
+
+def skip_reasons(checked: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, sentences_total, sentences_evaluated, invalid, mismatch, exception) of answered tables.
+
+    ``checked`` has ``message`` (the first check that a table fails, or null), ``n_rows`` (null where it could not be read) and
+    ``n_gold``. A valid table that could not be read is an exception, one with another number of rows a mismatch.
+    """
+    why = F.when(F.col("message").isNotNull(), "invalid").when(F.col("n_rows").isNull(), "exception").when(F.col("n_rows") != F.col("n_gold"), "mismatch").otherwise("evaluated")
+    n = lambda x: F.count_if(F.col("_why") == x)
+    return checked.withColumn("_why", why).groupBy(*keys).agg(F.count("*").alias("sentences_total"), n("evaluated").alias("sentences_evaluated"), *(n(x).alias(x) for x in ("invalid", "mismatch", "exception")))
+
+
 def coverage(a: DataFrame) -> DataFrame:
     """Sentences in all, evaluated (every token answered) and skipped."""
     s = a.groupBy(*KEYS).agg(F.bool_and("answered").alias("all"))

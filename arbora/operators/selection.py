@@ -20,7 +20,10 @@ from arbora.operators.ordered import ranked
 from arbora.operators.statistics import document_frequency, length_bucket, pattern_counts, rare_values, relation_counts
 from arbora.session import cut
 
+# The order of relations, and what a pattern seen twice adds to an arc's clarity.
+USUAL = 3
 PRIORITY = ["subj", "comp:obj", "comp:obl", "mod", "det", "conj", "flat"]
+STRATEGIES = ("random", "diversity", "coverage", "stratified", "complexity")
 #: A bound for the labels of a corpus, which the greedy strategies keep on the driver.
 MOST_LABELS = 100_000
 
@@ -237,10 +240,10 @@ def with_pattern_counts(arcs: DataFrame) -> DataFrame:
     return arcs.join(pattern_counts(arcs).withColumnRenamed("n", "pattern_n"), ["deprel", "upos", "head_upos"])
 
 
-def clarity(a: DataFrame) -> Column:
+def clarity() -> Column:
     """How well an arc shows its relation: short sentence, usual tags, glosses, short arc."""
     s = F.when(F.col("n_tokens") <= 10, (10 - F.col("n_tokens")) * 2).otherwise(0)
-    s = s + F.when(F.col("pattern_n") >= 2, 3).otherwise(0) + F.when(F.col("gloss") != "", 2).otherwise(0) + F.when(F.col("head_gloss") != "", 2).otherwise(0)
+    s = s + F.when(F.col("pattern_n") >= 2, USUAL).otherwise(0) + F.when(F.col("gloss") != "", 2).otherwise(0) + F.when(F.col("head_gloss") != "", 2).otherwise(0)
     return s + F.when(F.col("distance") <= 3, 1).otherwise(0)
 
 
@@ -248,11 +251,16 @@ _ARC = ["deprel", "sent_idx", "id", "form", "head", "head_form"]
 
 
 def best_arcs(arcs: DataFrame) -> DataFrame:
-    """The clearest arc of each relation, the first of equals; one map-side combined aggregate."""
-    a = with_pattern_counts(arcs)
-    a = a.withColumn("score", clarity(a))
+    """The clearest arc of each relation, the first of equals.
+
+    How often a pattern stands changes the score of all its arcs alike, so the best of each pattern is found with its count,
+    then the best pattern: two map-side combined aggregates over one reading of the arcs.
+    """
+    a = arcs.withColumn("pattern_n", F.lit(0)).withColumn("score", clarity())
     key = F.struct((-F.col("score")).alias("s"), "sent_idx", "id")
-    best = a.groupBy("deprel").agg(F.min_by(F.struct("sent_idx", "id", "form", "head", "head_form", "score"), key).alias("b"))
+    of = a.groupBy("deprel", "upos", "head_upos").agg(F.count("*").alias("n"), F.min_by(F.struct("sent_idx", "id", "form", "head", "head_form", "score"), key).alias("b"))
+    of = of.select("deprel", "n", "b.*").withColumn("score", F.col("score") + F.when(F.col("n") >= 2, USUAL).otherwise(0))
+    best = of.groupBy("deprel").agg(F.min_by(F.struct("sent_idx", "id", "form", "head", "head_form", "score"), key).alias("b"))
     return best.select("deprel", "b.*")
 
 
@@ -319,18 +327,29 @@ def random_arcs(arcs: DataFrame, k: int, seed: int = 42) -> DataFrame:
 # ------------------------------------------------------------------------------ dispatch
 
 
+def placed_selection(name: str, features: DataFrame, gold: DataFrame, k: int, seed: int = 42) -> DataFrame:
+    """(sent_idx, place): the choice of a strategy with the place at which each example was chosen; an unknown name is an error."""
+
+    def ranked_few(df: DataFrame, *order: Column | str) -> DataFrame:  # k rows at most
+        return df.select("sent_idx", F.row_number().over(Window.orderBy(*order)).alias("place"))
+
+    if name == "random":
+        return random_selection(features, k, seed).select("sent_idx", F.col("draw").alias("place"))
+    if name in ("diversity", "coverage"):
+        chosen = (diversity_selection if name == "diversity" else coverage_selection)(features, gold, k)
+        return chosen.select("sent_idx", F.coalesce("turn", F.lit(0)).alias("place"))
+    if name == "stratified":
+        return ranked_few(stratified_selection(features, k), F.size("relations"), "gloss_coverage", "n_tokens", "sent_idx")
+    if name == "complexity":
+        return ranked_few(complexity_selection(features, k), "complexity", "sent_idx")
+    raise ValueError(f"unknown selection strategy: {name}")
+
+
 def sentence_strategy(name: str) -> Callable[..., DataFrame]:
-    """A strategy over features, gold and k; an unknown name is an error."""
-    known: dict[str, Callable[..., DataFrame]] = {
-        "random": lambda f, g, k: random_selection(f, k).select("sent_idx"),
-        "diversity": lambda f, g, k: diversity_selection(f, g, k).select("sent_idx"),
-        "coverage": lambda f, g, k: coverage_selection(f, g, k).select("sent_idx"),
-        "stratified": lambda f, g, k: stratified_selection(f, k).select("sent_idx"),
-        "complexity": lambda f, g, k: complexity_selection(f, k).select("sent_idx"),
-    }
-    if name not in known:
+    """A strategy over features, gold and k; an unknown name is an error. ``similarity`` needs targets: see ``similar_sentences_each``."""
+    if name not in STRATEGIES:
         raise ValueError(f"unknown selection strategy: {name}")
-    return known[name]
+    return lambda f, g, k: placed_selection(name, f, g, k).select("sent_idx")
 
 
 def arc_strategy(name: str, target: int | None = None) -> Callable[..., DataFrame]:

@@ -108,9 +108,9 @@ def compare(results: DataFrame) -> DataFrame:
     return results.withColumn("best_las", F.col("las") == F.lit(best["_las"])).withColumn("best_uas", F.col("uas") == F.lit(best["_uas"]))
 
 
-def grouped_means(results: DataFrame, a: str, b: str) -> DataFrame:
-    """(a, b, mean_las, mean_uas, n): means by a, by b, and over all, in one pass of grouping sets; null stands for all."""
-    g = results.groupingSets([[F.col(a)], [F.col(b)], []], F.col(a), F.col(b))
+def grouped_means(results: DataFrame, *by: str) -> DataFrame:
+    """(by, mean_las, mean_uas, n): means by each of the columns, and over all, in one pass of grouping sets; null stands for all."""
+    g = results.groupingSets([*([F.col(c)] for c in by), []], *map(F.col, by))
     return g.agg(F.round(F.avg("las"), 9).alias("mean_las"), F.round(F.avg("uas"), 9).alias("mean_uas"), F.count("*").alias("n"))
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arbora.plans.experiments import best_experiment, compare, display_name, grouped_means
+
 # Titles and rules of the reports.
 TABLE = "Relation        Precision  Recall     F1         Support   "
 RULE = "-" * 60
@@ -48,3 +50,19 @@ def summary(macro: DataFrame, relations: DataFrame, histogram: DataFrame, keys:
     j = macro.select(*keys, top.alias("top")).join(rows, keys, "left").join(kinds, keys, "left")
     errors = F.when(F.col("kinds").isNotNull(), F.concat(F.lit("\nERROR ANALYSIS\n" + "-" * 14 + "\n"), "kinds", F.lit("\n"))).otherwise("")
     return j.select(*keys, F.concat("top", F.lit("\n"), F.coalesce("rows", F.lit("")), F.lit("\n"), errors).alias("report"))
+
+
+def comparison_report(results: DataFrame) -> DataFrame:
+    """(place, line): a line for each experiment, the best LAS first, then the best, the means by template, strategy and model, and over all."""
+    flagged = compare(results)
+    mark = lambda c: F.when(F.col(c), "*").otherwise(" ")
+    line = F.format_string("%-40s %-15s %7.3f%s %7.3f%s %7.3f %7.3f %8.1f", "name", display_name(F.col("model")), "uas", mark("best_uas"), "las", mark("best_las"), "la", "root_accuracy", "processing_time")
+    each = flagged.select(F.lit(1).alias("part"), (-F.col("las")).alias("o"), F.col("name").alias("k"), line.alias("line"))
+    best = best_experiment(results, ["name"]).select(F.lit(2).alias("part"), F.lit(0.0).alias("o"), F.col("name").alias("k"), F.format_string("Best: %s, LAS %.3f, UAS %.3f", "name", "las", "uas").alias("line"))
+    by = ["template", "strategy", "model"]
+    what = F.coalesce(*(F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c} "), F.col(c))) for c in by), F.lit("all"))
+    means = grouped_means(results, *by).select(F.when(what == "all", 4).otherwise(3).alias("part"), F.lit(0.0).alias("o"), what.alias("k"), F.format_string("Mean of %s: LAS %.3f, UAS %.3f over %d", what, "mean_las", "mean_uas", "n").alias("line"))
+    head = results.sparkSession.createDataFrame([(0, 0.0, "", f"{'Experiment':<40} {'Model':<15} {'UAS':>8} {'LAS':>8} {'LA':>7} {'Root':>7} {'Seconds':>8}")], "part int, o double, k string, line string")
+    rows = head.unionByName(each).unionByName(best).unionByName(means)
+    # as many lines as experiments, which the driver goes through one by one
+    return rows.select(F.row_number().over(Window.orderBy("part", "o", "k")).alias("place"), "line")

@@ -9,7 +9,7 @@ from arbora.operators import frames, scoring
 from arbora.plans import experiments as X
 from arbora.plans import reports
 from arbora.plans import sql as S
-from arbora.session import table
+from arbora.session import stored, table
 
 E = ["model_name", "prompt_template"]
 
@@ -59,6 +59,10 @@ def confusion_top(spark: SparkSession, d: str) -> DataFrame:
     return scoring.top_confused(confusion_long(spark, d))
 
 
+def confusion_full(spark: SparkSession, d: str) -> DataFrame:
+    return scoring.full_confusion(confusion_long(spark, d))
+
+
 PIVOT = ["MISSING", "comp:obj", "mod", "punct", "root", "subj", "udep"]
 
 
@@ -81,19 +85,35 @@ def macro_f1(spark: SparkSession, d: str) -> DataFrame:
 
 def baseline_tags(spark: SparkSession, d: str) -> DataFrame:
     """(form, pred_upos, pred_lemma, pred_feats): what each form has most often in training, the least of equals."""
+    return _baseline(spark, d).drop("n")
+
+
+def _baseline(spark: SparkSession, d: str) -> DataFrame:
+    """``baseline_tags`` with the number of tokens of each form."""
     train = table(spark, d, "sentences").where("split = 'train'").select("sent_idx")
     g = _gold(spark, d).join(train, "sent_idx", "left_semi")
     fields = ["upos", "lemma", "feats"]
     long = g.select("form", F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).alias("value")) for c in fields))).alias("x"))
     n = long.groupBy("form", "x.field", "x.value").agg(F.count("*").alias("n"))
     best = {c: F.min_by("value", F.when(F.col("field") == c, F.struct(-F.col("n"), "value"))).alias("pred_" + c) for c in fields}
-    return n.groupBy("form").agg(*best.values())
+    return n.groupBy("form").agg(*best.values(), (F.sum("n") / len(fields)).cast("bigint").alias("n"))
+
+
+#: The most frequent forms, which are sent to every task; all others are joined by a shuffle, and none of them is hot.
+SENT_FORMS = 1000
 
 
 def _tagged(spark: SparkSession, d: str) -> DataFrame:
     a = scoring.complete_only(_aligned(spark, d).where("head_ok"))
-    b = baseline_tags(spark, d)
-    return a.join(b, "form", "left").select(*a.columns, *(F.coalesce(c, F.lit("_")).alias(c) for c in ("pred_upos", "pred_lemma", "pred_feats")))
+    names = ["pred_upos", "pred_lemma", "pred_feats"]
+    b = stored(_baseline(spark, d))
+    often = b.orderBy(F.desc("n"), "form").limit(SENT_FORMS).select("form", F.struct(*names).alias("_often"))
+    a = a.join(F.broadcast(often), "form", "left")
+    # rows that have their tags meet nothing in the second join, and are spread
+    loose = F.concat(F.lit("\x00"), F.pmod(F.xxhash64("sent_idx", "id"), F.lit(1024)).cast("string"))
+    a = a.withColumn("_key", F.when(F.col("_often").isNull(), F.col("form")).otherwise(loose))
+    j = a.join(b.select(F.col("form").alias("_key"), F.struct(*names).alias("_rest")), "_key", "left").withColumn("_tags", F.coalesce("_often", "_rest"))
+    return j.select(*(c for c in a.columns if c[0] != "_"), *(F.coalesce(f"_tags.{c}", F.lit("_")).alias(c) for c in names))
 
 
 def micro_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -104,6 +124,16 @@ def micro_scores_with_punct(spark: SparkSession, d: str) -> DataFrame:
     return scoring.micro_counts(_tagged(spark, d), ignore_punct=False)
 
 
+def count_mismatches(spark: SparkSession, d: str) -> DataFrame:
+    """Answered sentences that have more or fewer answers than tokens."""
+    return scoring.count_mismatches(_gold(spark, d), frames.answers(table(spark, d, "predictions")))
+
+
+def place_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """Accuracy with tokens and answers put side by side in order."""
+    return scoring.token_accuracy(scoring.by_place(_gold(spark, d), frames.answers(table(spark, d, "predictions"))))
+
+
 def evaluation_coverage(spark: SparkSession, d: str) -> DataFrame:
     return scoring.coverage(_aligned(spark, d))
 
@@ -201,6 +231,9 @@ SQL = {
     "per_relation_prf": _PRF + "SELECT model_name, prompt_template, relation, round(pr, 9) AS precision, round(re, 9) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0 END, 9) AS f1, support FROM r WHERE support > 0",
     "confusion_long": _CONF + "SELECT * FROM c",
     "confusion_top": _CONF + ", top AS (SELECT gold AS label FROM c GROUP BY 1 ORDER BY sum(n) DESC, 1 LIMIT 15) SELECT gold, predicted, sum(n)::BIGINT AS n FROM c WHERE gold IN (SELECT label FROM top) AND predicted IN (SELECT label FROM top) GROUP BY 1, 2",
+    "confusion_full": _CONF + ", s AS (SELECT gold, predicted, sum(n)::BIGINT AS n FROM c GROUP BY 1, 2), l AS (SELECT gold AS label FROM s UNION SELECT predicted FROM s) SELECT a.label AS gold, b.label AS predicted, coalesce(n, 0) AS n FROM l a CROSS JOIN l b LEFT JOIN s ON s.gold = a.label AND s.predicted = b.label",
+    "count_mismatches": f"WITH {S.GOLD},{S.answers('ans', 'DESC')}, g AS (SELECT sent_idx, count(*) AS n_gold FROM gold GROUP BY 1), a AS (SELECT model_name, prompt_template, sent_idx, count(*) AS n_answered FROM ans GROUP BY 1, 2, 3) SELECT model_name, prompt_template, sent_idx, n_gold, n_answered, 'Token count mismatch' AS error FROM a JOIN g USING (sent_idx) WHERE n_gold <> n_answered",
+    "place_accuracy": f"WITH {S.GOLD},{S.answers('ans', 'DESC')}, g AS (SELECT *, row_number() OVER (PARTITION BY sent_idx ORDER BY id) AS place, count(*) OVER (PARTITION BY sent_idx) AS size FROM gold), a AS (SELECT *, row_number() OVER (PARTITION BY model_name, prompt_template, sent_idx ORDER BY id) AS place, count(*) OVER (PARTITION BY model_name, prompt_template, sent_idx) AS size FROM ans), fa AS (SELECT a.model_name, a.prompt_template, g.head = a.pred_head AS h_ok, g.deprel = a.pred_deprel AS l_ok FROM g JOIN a USING (sent_idx, place, size)) SELECT model_name, prompt_template, count(*) AS total_tokens, round(avg(h_ok::INT), 9) AS uas, round(avg((h_ok AND l_ok)::INT), 9) AS las, round(avg(l_ok::INT), 9) AS relation_accuracy, count(*) FILTER (NOT h_ok AND l_ok) AS head_error, count(*) FILTER (h_ok AND NOT l_ok) AS rel_error, count(*) FILTER (NOT h_ok AND NOT l_ok) AS head_and_rel_error FROM fa GROUP BY 1, 2",
     "confusion_pivot": _CONF + "SELECT gold, " + ", ".join(f"coalesce(sum(n) FILTER (predicted = '{c}'), 0)::BIGINT AS p_{c.replace(':', '_')}" for c in PIVOT) + " FROM c GROUP BY 1",
     "libc_relations": _LIBC + "SELECT * FROM lr",
     "libc_accuracy": _FULL + "SELECT model_name, prompt_template, count(*) AS total_tokens, round(avg(h_ok::INT), 9) AS uas, round(avg((h_ok AND l_ok)::INT), 9) AS las, round(avg(l_ok::INT), 9) AS relation_accuracy, count(*) FILTER (NOT h_ok AND l_ok) AS head_error, count(*) FILTER (h_ok AND NOT l_ok) AS rel_error, count(*) FILTER (NOT h_ok AND NOT l_ok) AS head_and_rel_error FROM fa GROUP BY 1, 2",

@@ -63,7 +63,11 @@ def sentences(lines: DataFrame, dialect: str) -> DataFrame:
     The last header of a kind counts.
     """
     _known(dialect)
-    b = numbered(lines)
+    return _sentences(numbered(lines), dialect)
+
+
+def _sentences(b: DataFrame, dialect: str) -> DataFrame:
+    """As ``sentences``, of numbered lines."""
     line = F.trim("raw_text") if dialect == "A" else F.col("raw_text")
     note = F.startswith(line, F.lit("#"))
     last = lambda c: F.max_by(c, F.when(c.isNotNull(), F.col("line_no")))
@@ -101,8 +105,9 @@ def tokens(lines: DataFrame, dialect: str) -> DataFrame:
     Under ``B`` every token comes out; those without a whole-number head or with less than ten columns have a null head and are no gold rows.
     """
     _known(dialect)
-    kept = sentences(lines, dialect).select("file_name", "block")
-    b = numbered(lines).join(kept, ["file_name", "block"], "left_semi")
+    b = numbered(lines)
+    if dialect != "B":  # which keeps every block
+        b = b.join(_sentences(b, dialect).select("file_name", "block"), ["file_name", "block"], "left_semi")
     line = F.trim("raw_text") if dialect == "A" else F.col("raw_text")
     b = b.where(~F.startswith(line, F.lit("#")) & _token_line(line, dialect)).withColumn("f", F.split(line, "\t"))
     at = lambda i: F.try_element_at("f", F.lit(i + 1))
@@ -127,7 +132,7 @@ def load_splits(spark: SparkSession, paths: dict[str, str], dialect: str = "A")
     """Tokens of the split files with ``split``; a file that is missing gives no rows."""
     out = None
     for split, path in paths.items():
-        if not _exists(spark, path):
+        if not path_exists(spark, path):
             continue
         t = tokens(read_lines(spark, path), dialect).withColumn("split", F.lit(split))
         out = t if out is None else out.unionByName(t)
@@ -136,7 +141,7 @@ def load_splits(spark: SparkSession, paths: dict[str, str], dialect: str = "A")
     return out
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 

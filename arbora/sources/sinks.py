@@ -62,11 +62,11 @@ def experiment_rows(results: DataFrame, relations: DataFrame, scores: DataFrame,
     """
     rel = relations.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("relation", F.struct("precision", "recall", "f1", "support").alias("v"))))).alias("per_relation_scores"))
     e = errors.groupBy(*keys, "sent_idx").agg(F.array_sort(F.collect_list(F.struct("id", "form", "error_type", "gold_head", "gold_deprel", "pred_head", "pred_deprel"))).alias("errors"))
-    s = scores.join(e, [*keys, "sent_idx"], "left")
+    s = scores.join(e, [*keys, "sent_idx"], "left")  # a sentence without errors has null
     cols = ["sent_idx", "uas", "las", "la", "root_correct", "complete_match", "num_tokens", "errors"]
     s = s.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("per_sentence_results"))
     c = confusion.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("gold", "predicted", "n"))).alias("confusion"))
-    return results.join(rel, keys).join(s, keys).join(c, keys)
+    return results.join(rel, keys, "left").join(s, keys, "left").join(c, keys, "left")
 
 
 def write_experiments(rows: DataFrame, path: str, keys: list[str]) -> None:
