@@ -80,6 +80,23 @@ w AS (SELECT line_id, 'quoting' AS reason FROM g WHERE NOT ok UNION ALL SELECT l
   UNION ALL SELECT line_id, 'head' FROM g WHERE ok AND ten AND NOT regexp_full_match(r[7], '[0-9]+') AND NOT (span AND r[7] = '_')
   UNION ALL SELECT line_id, 'deprel' FROM g WHERE ok AND ten AND r[8] NOT IN (SELECT label FROM label_set WHERE kind = 'deprel' AND label IS NOT NULL) AND NOT (span AND r[8] = '_'))
 """
+# Packed fields without a tokenizer: what stands in quotes is written in private characters, items are marked where a key begins, then all is
+# written back. Brackets and backslashes are left aside, which the tables do not have around delimiters.
+_ITEMS = r"""WITH long AS (SELECT row_id, 'feats' AS field, feats AS s FROM tokens WHERE contains(feats, '=') UNION ALL SELECT row_id, 'misc', misc FROM tokens WHERE contains(misc, '=')),
+d AS (SELECT DISTINCT s FROM long),
+parts AS (SELECT s, regexp_extract_all(s, '(?s)"(?:[^"]|"")*"|[^"]+|"') AS p FROM d),
+hidden AS (SELECT s, list_aggregate(list_transform(p, lambda x: CASE WHEN starts_with(x, '"') AND length(x) > 1 THEN '"' || translate(substr(x, 2, length(x) - 2), '|;,/¦｜ ="', chr(57345) || chr(57346) || chr(57347) || chr(57348) || chr(57349) || chr(57350) || chr(57351) || chr(57352) || chr(57353)) || '"' ELSE x END), 'string_agg', '') AS h FROM parts),
+tight AS (SELECT s, regexp_replace(h, '\s*=\s*', '=', 'g') AS h FROM hidden),
+marked AS (SELECT s, regexp_replace(h, '(^|[|;,/¦｜\s"])((?:\p{L}+(?:\[[^\[\]"=]*\])?=)|(?:"\s*\p{L}+(?:\[[^\[\]"=]*\])?' || chr(57351) || '*' || chr(57352) || '))', '\1' || chr(57354) || '\2', 'g') AS h FROM tight),
+sp AS (SELECT s, string_split(h, chr(57354)) AS c FROM marked), cut AS (SELECT s, list_slice(c, 2, len(c)) AS c FROM sp),
+one AS (SELECT s, unnest(range(1, len(c) + 1)) AS pos, unnest(c) AS piece FROM cut),
+bare AS (SELECT s, pos, trim(piece, '|;,/¦｜ ' || chr(9) || chr(10) || chr(13) || chr(160) || chr(12288)) AS piece FROM one),
+whole AS (SELECT s, pos, CASE WHEN regexp_full_match(piece, '(?s)"[^"]*"') THEN translate(substr(piece, 2, length(piece) - 2), chr(57352), '=') ELSE piece END AS piece FROM bare),
+kv AS (SELECT s, pos, trim(split_part(piece, '=', 1)) AS k, trim(substr(piece, instr(piece, '=') + 1)) AS v FROM whole),
+val AS (SELECT s, pos, k, CASE WHEN regexp_full_match(v, '(?s)"[^"]*"') THEN replace(substr(v, 2, length(v) - 2), chr(57353) || chr(57353), '"') ELSE v END AS v FROM kv)
+, found AS (SELECT row_id, field, CAST(pos AS INT) AS pos, k || '=' || replace(translate(v, chr(57345) || chr(57346) || chr(57347) || chr(57348) || chr(57349) || chr(57350) || chr(57351) || chr(57352), '|;,/¦｜ ='), chr(57353) || chr(57353), '"') AS val
+FROM long JOIN val USING (s))
+"""
 SQL = {
     "p4_found": _NODES + "SELECT sent_idx, CAST(id AS INT) AS id, CAST(cycle_id AS INT) AS cycle_id FROM cyc",
     "p4_hierarchy": _NODES
@@ -89,6 +106,8 @@ p AS (SELECT u.sent_idx, u.start AS id, max(step) AS depth, arg_max(pos, step) A
 SELECT n.sent_idx, n.id, p.depth, p.root, p.path, p.deprel_path, d.n AS n_descendants, c.id IS NOT NULL AS cyclic, c.cycle_id
 FROM n LEFT JOIN p ON p.sent_idx = n.sent_idx AND p.id = n.id LEFT JOIN d ON d.sent_idx = n.sent_idx AND d.anc = n.id LEFT JOIN cyc c ON c.sent_idx = n.sent_idx AND c.id = n.id""",
     "p4_descendants": _NODES + "SELECT sent_idx, pos AS ancestor, start AS descendant, step AS distance FROM up WHERE step > 0",
+    "p6_found": _ITEMS + "SELECT row_id, field, pos, val FROM (SELECT *, count(*) OVER (PARTITION BY row_id, field) AS n FROM found) WHERE n > 1",
+    "p6_items": _ITEMS + "SELECT * FROM found",
     "p5_found": _RECORDS + "SELECT * FROM w",
     "p5_loaded": _RECORDS
     + """SELECT line_id, CAST(string_split(r[1], '-')[1] AS INT) AS id, CASE WHEN contains(r[1], '-') THEN CAST(string_split(r[1], '-')[2] AS INT) END AS id_end, r[2] AS form, r[3] AS lemma, r[4] AS upos, r[5] AS xpos,
