@@ -20,7 +20,7 @@ of them in common (see ``rare_keys``). So no pair is lost, however common its ph
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
@@ -56,17 +56,19 @@ HELD = 100_000
 
 
 def folded(df: DataFrame, record: str, text: str, keep: list[str]) -> DataFrame:
-    """(record, keep, words): texts by look and case, words joined by spaces; those without a word are left out."""
+    """(record, keep, words, n, sig): texts by look and case, words joined by spaces, with their number and signature; those without a word are left out."""
     read = df.select(F.col(record).alias("record"), *keep, F.col(text).alias("text")).where("record is not null and text is not null")
     kinds = ", ".join(f"`{c}` {read.schema[c].dataType.simpleString()}" for c in ("record", *keep))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fold = Fold()
+        known: dict[str, int] = {}
         for b in batches:
-            out = pa.array([" ".join(words(t, fold)) for t in b.column("text").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], out], [*b.schema.names[:-1], "words"])
+            split = [words(t, fold) for t in b.column("text").to_pylist()]
+            out = [pa.array([" ".join(ws) for ws in split], pa.string()), pa.array([len(ws) for ws in split], pa.int32()), pa.array([signature(ws, known) for ws in split], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *out], [*b.schema.names[:-1], "words", "n", "sig"])
 
-    return read.mapInArrow(run, f"{kinds}, words string").where("words <> ''")
+    return read.mapInArrow(run, f"{kinds}, words string, n int, sig bigint").where("n > 0")
 
 
 # ------------------------------------------------------------------------------ rows to be paired
@@ -89,32 +91,12 @@ def signature(ws: list[str], known: dict[str, int]) -> int:
     return s - (1 << 64) if s >> 63 else s
 
 
-def _keyed(classes: DataFrame, keys: Callable[[list[str]], Iterable[tuple[int, str]]], name: str) -> DataFrame:
-    """(name, at, class, n, sig, train, other): the keys of each class text with their places."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        for b in batches:
-            rows, key, at, n, sig = [], [], [], [], []
-            for i, text in enumerate(b.column("words").to_pylist()):
-                ws = text.split(" ")
-                n.append(len(ws))
-                sig.append(signature(ws, known))
-                for p, k in keys(ws):
-                    rows.append(i)
-                    at.append(p)
-                    key.append(k)
-            take = pa.array(rows, pa.int64())
-            about = [b.column("class"), pa.array(n, pa.int32()), pa.array(sig, pa.int64()), b.column("train"), b.column("other")]
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.string()), pa.array(at, pa.int32()), *(c.take(take) for c in about)], [name, "at", *_ABOUT])
-
-    return classes.select("class", "train", "other", "words").mapInArrow(run, f"{name} string, at int, {_ABOUT_KIND}")
-
-
-def suffixes(ws: list[str]) -> Iterator[tuple[int, str]]:
-    """The suffix at every word that has ``SPAN`` words, as far as it is sorted by."""
-    for i in range(len(ws) - SPAN + 1):
-        yield i, " ".join(ws[i : i + DEPTH])
+def suffixes(classes: DataFrame) -> DataFrame:
+    """(suffix, at, class, n, sig, train, other): the suffix at every word that has ``SPAN`` words, as far as it is sorted by."""
+    at = F.sequence(F.lit(0), F.col("n") - SPAN)
+    cut = F.transform(at, lambda i: F.array_join(F.slice("_w", i + 1, F.lit(DEPTH)), " "))
+    rows = classes.where(F.col("n") >= SPAN).withColumn("_w", F.split("words", " "))
+    return rows.select(F.posexplode(cut).alias("at", "suffix"), *_ABOUT).select("suffix", "at", *_ABOUT)
 
 
 # ------------------------------------------------------------------------------ the array's intervals
@@ -252,8 +234,15 @@ def rare_rows(classes: DataFrame, differ: float) -> DataFrame:
     """(node, at, class, ...): the keys by rare words of all class texts."""
     count = classes.select(F.explode(F.split("words", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     rank = {r["w"]: i for i, r in enumerate(count.orderBy(F.desc("n"), "w").limit(FREQUENT).collect())}
-    keys = lambda ws: ((0, k) for k in rare_keys(ws, rank, differ))
-    return _keyed(classes, keys, "key").select(F.xxhash64("key").alias("node"), "at", *_ABOUT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys = [list(rare_keys(text.split(" "), rank, differ)) for text in b.column("words").to_pylist()]
+            take = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+            node = [xxhash.xxh64_intdigest(k) - (1 << 63) for own in keys for k in own]
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.zeros(len(node), np.int32)), *(b.column(c).take(take) for c in _ABOUT)], ["node", "at", *_ABOUT])
+
+    return classes.select("words", *_ABOUT).mapInArrow(run, f"node bigint, at int, {_ABOUT_KIND}")
 
 
 @lru_cache(10_000)
@@ -318,8 +307,8 @@ def _met(rows: DataFrame, differ: float, split: bool = False) -> DataFrame:
 
 
 def near_classes(classes: DataFrame, *, differ: float = DIFFER, hot: int = HOT) -> DataFrame:
-    """(train_class, other_class): different classes whose texts differ in less than ``differ`` of their words."""
-    nodes = stored(intervals(_keyed(classes, suffixes, "suffix"), hot))
+    """(train_class, other_class, n_train, n_other): different classes whose texts differ in less than ``differ`` of their words."""
+    nodes = stored(intervals(suffixes(classes), hot))
     cols = ["node", "depth", "at", *_ABOUT]
     open_ = nodes.where("open")
     size = open_.groupBy("node").agg(F.count("*").alias("_n"), F.bool_or("train").alias("_t"), F.bool_or("other").alias("_o")).where("_t and _o")
@@ -333,8 +322,8 @@ def near_classes(classes: DataFrame, *, differ: float = DIFFER, hot: int = HOT)
         held = None if flagged.isEmpty() else stored(classes.join(flagged, "class", "left_semi"))
     if held is not None:
         pairs = pairs.unionByName(_met(stored(rare_rows(held, differ)), differ, split=True))
-    text = classes.select("class", "words")
-    both = pairs.distinct().join(text.toDF("a", "words_a"), "a").join(text.toDF("b", "words_b"), "b")
+    text = lambda x, n: classes.select(F.col("class").alias(x), F.col("words").alias(f"words_{x}"), n)
+    both = pairs.distinct().join(text("a", "n_train"), "a").join(text("b", "n_other"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -343,10 +332,10 @@ def near_classes(classes: DataFrame, *, differ: float = DIFFER, hot: int = HOT)
                 p, q = x.split(" "), y.split(" ")
                 most = max(len(p), len(q))
                 keep.append(most - common_words(p, q) < differ * most)
-            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            yield b.select(["a", "b", "n_train", "n_other"]).filter(pa.array(keep, pa.bool_()))
 
-    kept = both.select("a", "b", "words_a", "words_b").mapInArrow(run, "a bigint, b bigint")
-    return kept.select(F.col("a").alias("train_class"), F.col("b").alias("other_class"))
+    kept = both.select("a", "b", "n_train", "n_other", "words_a", "words_b").mapInArrow(run, "a bigint, b bigint, n_train bigint, n_other bigint")
+    return kept.select(F.col("a").alias("train_class"), F.col("b").alias("other_class"), "n_train", "n_other")
 
 
 def class_overlap(df: DataFrame, *, record: str = "sent_idx", text: str = "text", split: str = "split", train: str = "train", differ: float = DIFFER, keep: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -362,14 +351,12 @@ def class_overlap(df: DataFrame, *, record: str = "sent_idx", text: str = "text"
     f = folded(side, record, text, ["_in_train", *keep])
     keyed = stored(f.withColumn("k1", F.xxhash64(letters)).withColumn("k2", F.xxhash64(F.concat(F.lit("#"), letters))))
     t, o = F.count_if("_in_train"), F.count_if(~F.col("_in_train"))
-    found = keyed.groupBy("k1", "k2").agg(F.min(F.struct("record", "words")).alias("m"), t.alias("n_train"), o.alias("n_other"))
-    classes = stored(found.select("k1", "k2", F.col("m.record").cast("bigint").alias("class"), F.col("m.words").alias("words"), "n_train", "n_other", (F.col("n_train") > 0).alias("train"), (F.col("n_other") > 0).alias("other")))
+    found = keyed.groupBy("k1", "k2").agg(F.min(F.struct("record", "words", "n", "sig")).alias("m"), t.alias("n_train"), o.alias("n_other"))
+    classes = stored(found.select("k1", "k2", F.col("m.record").cast("bigint").alias("class"), "m.words", "m.n", "m.sig", "n_train", "n_other", (F.col("n_train") > 0).alias("train"), (F.col("n_other") > 0).alias("other")))
     near = near_classes(classes, differ=differ)
-    size = classes.select("class", "n_train", "n_other")
-    near = near.join(size.select(F.col("class").alias("train_class"), "n_train"), "train_class").join(size.select(F.col("class").alias("other_class"), "n_other"), "other_class")
     equal = classes.where("train and other").select(F.col("class").alias("train_class"), F.col("class").alias("other_class"), "n_train", "n_other")
     links = equal.withColumn("exact", F.lit(True)).unionByName(near.withColumn("exact", F.lit(False)))
-    members = keyed.drop("words").join(classes.select("k1", "k2", "class", "n_train", "n_other"), ["k1", "k2"])
+    members = keyed.drop("words", "n", "sig").join(classes.select("k1", "k2", "class", "n_train", "n_other"), ["k1", "k2"])
     return links, members.select("record", *keep, F.col("_in_train").alias("in_train"), "class", "n_train", "n_other")
 
 
