@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from arbora.operators import frames, scoring, selection
 from arbora.plans import experiments, prompts, reports, runner
 from arbora.session import local_session, ship, table
+from arbora.sources import answers as answers_of
 from arbora.sources import conllu, sinks
 
 GRIDS = {"quick": experiments.QUICK, "standard": experiments.STANDARD, "comprehensive": experiments.COMPREHENSIVE}
@@ -62,6 +63,13 @@ def _run(spark: SparkSession, a: argparse.Namespace) -> None:
     reports.comparison_report(done).orderBy("place").select("line").coalesce(1).write.mode("overwrite").text(f"{a.out}/report")
 
 
+def _tables(spark: SparkSession, a: argparse.Namespace) -> None:
+    corpus = runner.Corpus(frames.gold_tokens(table(spark, a.tables, "tokens")), table(spark, a.tables, "sentences"))
+    source = {"dry": runner.dry, "provider": runner.asked_of_provider}.get(a.answers) or (lambda p, e: answers_of.replay(p, spark.read.json(a.answers), ["sent_idx"]))
+    for split in a.splits:
+        runner.run_tables(corpus, split, source, a.out, model=a.model, shots=a.few_shot_k, language=a.language, keep_tokens=a.keep_tokenization, ignore_punct=a.ignore_punct, seed=a.seed, sleep_time=a.sleep, max_tokens=a.max_tokens, temperature=a.temperature)
+
+
 def _read(spark: SparkSession, a: argparse.Namespace) -> None:
     conllu.tokens(conllu.read_lines(spark, a.files), a.dialect).write.mode("overwrite").parquet(a.out)
 
@@ -93,6 +101,18 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> No
     c.add_argument("--answers", default="dry", help="dry, provider, or JSON files of name, sent_idx, response")
     c.add_argument("--language", default="Wolof")
     c.add_argument("--again", action="store_true", help="run experiments that are there already")
+    c = command("tables", _tables)
+    c.add_argument("--splits", nargs="+", default=["dev", "test"])
+    c.add_argument("--answers", default="dry", help="dry, provider, or JSON files of sent_idx, response")
+    c.add_argument("--model", default="gpt-4o-mini")
+    c.add_argument("--few-shot-k", type=int, default=0)
+    c.add_argument("--language", default="")
+    c.add_argument("--keep-tokenization", action=argparse.BooleanOptionalAction, default=False)
+    c.add_argument("--ignore-punct", action=argparse.BooleanOptionalAction, default=True)
+    c.add_argument("--seed", type=int, default=7)
+    c.add_argument("--sleep", type=float, default=0.0)
+    c.add_argument("--max-tokens", type=int, default=1400)
+    c.add_argument("--temperature", type=float, default=0.0)
     c = command("read", _read, tables=False)
     c.add_argument("--dialect", choices="ABC", default="A")
     c.add_argument("files", nargs="+")

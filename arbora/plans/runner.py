@@ -141,6 +141,56 @@ def run_grid(corpus: Corpus, experiments: DataFrame, source: Source, out: str, *
     return done
 
 
+# ------------------------------------------------------------------------------ tables for answers
+
+
+def exemplars(corpus: Corpus, shots: int, seed: int) -> list[str]:
+    """Whole training sentences as CoNLL-U, drawn by seed, in the order drawn."""
+    gold, _ = corpus.train()
+    drawn = selection.random_selection(gold.select("sent_idx").distinct(), min(shots, P.MOST_EXAMPLES), seed)
+    few = stored(drawn.select("sent_idx", "draw"))
+    own = few.select("sent_idx")
+    blocks = sinks.conllu_blocks(gold.join(own, "sent_idx", "left_semi"), corpus.sentences.join(own, "sent_idx", "left_semi"))
+    return [r["block"] for r in blocks.join(few, "sent_idx").orderBy("draw").select("block").collect()]  # as many as shots
+
+
+def run_tables(corpus: Corpus, split: str, source: Source, out: str, *, model: str = "gpt-4o-mini", shots: int = 0, language: str = "", keep_tokens: bool = True, ignore_punct: bool = True, seed: int = 7, sleep_time: float = 0.0, max_tokens: int = 1400, temperature: float = 0.0) -> DataFrame:
+    """Asks for a ten-column table of every sentence of a split: one row of token scores and of what was skipped and why.
+
+    Below ``out``, ``log`` gets every prompt with its answer and the first check that it fails, ``corpus`` the valid tables, and ``metrics``
+    the scores. Valid tables with as many rows as gold has are scored row by row, whatever their ids.
+    """
+    spark = corpus.gold.sparkSession
+    targets = corpus.part(split)
+    gold = corpus.gold_of(targets)
+    shown = exemplars(corpus, shots, seed) if shots else None
+    prompt = stored(P.table_prompts(P.nested(gold, targets), language, shown, keep_tokens))
+    e = Row(name=f"tables_{split}", model=model, max_tokens=max_tokens, temperature=temperature, sleep_time=sleep_time)
+    answered = stored(source(prompt, e).select("sent_idx", "prompt", "response"))
+    size = gold.groupBy("sent_idx").agg(F.count("*").cast("int").alias("n"), F.count_if("head_ok").alias("n_gold"), F.array_sort(F.collect_list(F.struct("id", "form"))).alias("t"))
+    sized = answered.join(size.select("sent_idx", "n", "n_gold", F.col("t.form").alias("forms")), "sent_idx").withColumn("block", P.extract_block(F.col("response")))
+    wanted = (F.col("n"), F.col("forms")) if keep_tokens else (None, None)
+    checked = stored(P.check_blocks(sized, F.col("block"), *wanted))
+    rows = stored(conllu.model_table(checked.where("message is null"), ["sent_idx"]))
+    read = rows.groupBy("sent_idx").agg(F.when(F.bool_and("ok"), F.count("*")).alias("n_rows"))
+    whole = stored(checked.select("sent_idx", "message", "n_gold").join(read, "sent_idx", "left"))
+    skipped = scoring.skip_reasons(whole.withColumn("split", F.lit(split)), ["split"])
+    good = whole.where("message is null and n_rows = n_gold").select("sent_idx")
+    place = F.row_number().over(Window.partitionBy("sent_idx").orderBy("id"))
+    g = gold.where("head_ok").join(good, "sent_idx", "left_semi").withColumn("row", place - 1)
+    p = rows.select("sent_idx", "row", F.col("upos").alias("pred_upos"), F.col("lemma").alias("pred_lemma"), F.col("feats").alias("pred_feats"), F.col("head").alias("pred_head"), F.col("deprel").alias("pred_deprel"))
+    pairs = g.join(p, ["sent_idx", "row"]).withColumns({"split": F.lit(split), "answered": F.lit(True)})
+    scores = scoring.micro_counts(pairs, ignore_punct=ignore_punct, by=["split"])
+    kinds = {f.name: F.lit(0).cast(f.dataType) for f in scores.schema if f.name != "split"}
+    m = skipped.join(scores, "split", "left").withColumns({c: F.coalesce(c, z) for c, z in kinds.items()})
+    m = stored(m.withColumns({"sentences_skipped": F.col("sentences_total") - F.col("sentences_evaluated"), "ignore_punct": F.lit(ignore_punct)}))
+    sinks.append_log(checked.select(F.lit(split).alias("split"), "sent_idx", "prompt", "response", F.col("message").alias("validation_msg")), f"{out}/log")
+    sinks.append_blocks(checked.where("message is null"), f"{out}/corpus/{split}")
+    if not m.isEmpty():
+        sinks.write_metrics(m, f"{out}/metrics/{split}")
+    return spark.createDataFrame([], m.schema) if m.isEmpty() else m
+
+
 RESULT = "name string, model string, template string, strategy string, shots int, uas double, las double, la double, root_accuracy double, complete_match double, processing_time double, n_requests bigint, n_tokens bigint, cost double, failed_queries bigint"
 
 

@@ -147,16 +147,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def sample_lines(spark: SparkSession) -> DataFrame:
-    """A corpus of three short sentences, one with a head beyond its last token."""
+    """A corpus of three sentences with 26 tokens, the first one cut off, so that a head lies beyond its last token."""
     rows = [
-        ("s1", "Birds sing here", "Les oiseaux chantent ici", [("Birds", "NOUN", 2, "subj"), ("sing", "VERB", 0, "root"), ("here", "ADV", 9, "mod")]),
-        ("s2", "We read old books", "Nous lisons de vieux livres", [("We", "PRON", 2, "subj"), ("read", "VERB", 0, "root"), ("old", "ADJ", 4, "mod"), ("books", "NOUN", 2, "comp:obj")]),
-        ("s3", "Come !", "Viens !", [("Come", "VERB", 0, "root"), ("!", "PUNCT", 1, "punct")]),
+        ("s1", "The old man who lives near the big river sells fish , bread and more", "Le vieil homme qui vit près du grand fleuve vend du poisson , du pain et plus", "The DET 3 det|old ADJ 3 mod|man NOUN 29 subj|who PRON 5 subj|lives VERB 3 mod|near ADP 5 udep|the DET 9 det|big ADJ 9 mod|river NOUN 6 comp:obj|sells VERB 3 mod|fish NOUN 10 comp:obj|, PUNCT 13 punct|bread NOUN 11 conj"),
+        ("s2", "We read three old books last night .", "Nous avons lu trois vieux livres hier soir .", "We PRON 2 subj|read VERB 0 root|three NUM 5 mod|old ADJ 5 mod|books NOUN 2 comp:obj|last ADJ 7 mod|night NOUN 2 udep|. PUNCT 2 punct"),
+        ("s3", "Come and see us !", "Viens nous voir !", "Come VERB 0 root|and CCONJ 3 cc|see VERB 1 conj|us PRON 3 comp:obj|! PUNCT 1 punct"),
     ]
     text = []
     for sent_id, s, en, toks in rows:
         text += [f"# sent_id = {sent_id}", f"# text = {s}", f"# text_en = {en}"]
-        text += [f"{i}\t{w}\t{w.lower()}\t{p}\t_\t_\t{h}\t{r}\t_\tGloss={w.lower()}" for i, (w, p, h, r) in enumerate(toks, 1)] + [""]
+        for i, t in enumerate(toks.split("|"), 1):
+            w, p, h, r = t.split(" ")
+            text.append(f"{i}\t{w}\t{w.lower()}\t{p}\t_\t_\t{h}\t{r}\t_\tGloss={w.lower()}")
+        text.append("")
     return string_lines(spark, "\n".join(text), "sample")
 
 

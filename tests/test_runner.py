@@ -110,3 +110,46 @@ def test_pauses_and_empty_answers(spark):
     began = time.monotonic()
     got = [r["response"] for r in answers.ask(df, lambda: lambda p: p, pause=0.3).collect()]
     assert got == ["a", "ERROR: empty answer", None, "b"] and time.monotonic() - began >= 0.6
+
+
+def table_of(rows, wrong=None):
+    """The answer to a sentence as a ten-column table, spoilt in one of several ways."""
+    lines = [f"{r['id']}\t{r['form']}\t{r['lemma']}\t{r['upos']}\t_\t{r['head']}\t{r['deprel']}\t_\t_\tg" for r in rows]
+    if wrong == "short":
+        lines = lines[:-1]
+    if wrong == "label":
+        lines[-1] = lines[-1].replace("subj", "obj").replace("mod", "obj")
+    if wrong == "columns":
+        lines[0] += "\tmore"
+    return "Here it is:\n# sent_id = x\n# text = x\n# text_en = x\n" + "\n".join(lines)
+
+
+@pytest.mark.parametrize("keep_tokens", [True, False])
+def test_tables(spark, corpus, tmp_path, keep_tokens):
+    gold = {}
+    for r in corpus.gold.where("sent_idx >= 8").orderBy("sent_idx", "id").collect():
+        gold.setdefault(r["sent_idx"], []).append(r)
+    kinds = {8: None, 9: "label", 10: "short", 11: "columns"}
+    said = spark.createDataFrame([(i, table_of(gold[i], kinds[i])) for i in gold], "sent_idx bigint, response string")
+    seen = []
+
+    def source(prompts, e):
+        seen.append(prompts.first()["prompt"])
+        return answers.replay(prompts, said, ["sent_idx"])
+
+    out = str(tmp_path / "o")
+    m = runner.run_tables(corpus, "test", source, out, shots=2, language="Wolof", keep_tokens=keep_tokens).first()
+    n = len(gold[8]) + len(gold[9])
+    assert (m["sentences_total"], m["sentences_evaluated"], m["tokens_considered"], m["uas_correct"], m["las_correct"]) == (4, 2, n, n, n - 1)
+    assert (m["invalid"], m["mismatch"], m["exception"]) == ((2, 0, 0) if keep_tokens else (1, 1, 0))
+    assert seen[0].startswith("### Examples\n# sent_id = s") and seen[0].count("# sent_id = ") == 3
+    assert spark.read.json(out + "/log").where("validation_msg is not null").count() == m["invalid"]
+    text = "\n".join(r[0] for r in spark.read.text(out + "/metrics/test/text").select("value").collect())
+    assert "Sentences evaluated: 2 / 4" in text
+    assert sum(r[0].startswith("# sent_id") for r in spark.read.text(out + "/corpus/test").collect()) == 4 - m["invalid"]
+
+
+def test_tables_that_say_nothing(spark, corpus, tmp_path):
+    m = runner.run_tables(corpus, "test", lambda p, e: p.withColumn("response", F.lit(None).cast("string")), str(tmp_path / "o")).first()
+    assert (m["sentences_total"], m["sentences_evaluated"], m["invalid"], m["tokens_considered"], m["uas"]) == (4, 0, 4, 0, 0.0)
+    assert runner.run_tables(corpus, "nosuch", runner.dry, str(tmp_path / "p")).count() == 0

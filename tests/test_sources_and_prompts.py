@@ -56,7 +56,9 @@ def test_files(spark, tmp_path, lines):
     both = conllu.load_splits(spark, {"dev": str(path), "train": str(tmp_path / "none")})
     assert {(r["split"], r["n"]) for r in both.groupBy("split").agg(F.count("*").alias("n")).collect()} == {("dev", 4)}
     assert conllu.load_splits(spark, {"train": str(tmp_path / "none")}).count() == 0
-    assert conllu.tokens(conllu.sample_lines(spark), "C").count() == 9
+    assert conllu.tokens(conllu.sample_lines(spark), "C").count() == 26
+    tokens = conllu.tokens(conllu.sample_lines(spark), "C").selectExpr("cast(block as bigint) sent_idx", "id", "line_no row_id", "form", "'_' lemma", "upos", "'_' feats", "head", "deprel", "'_' misc")
+    assert frames.arcs(tokens).count() == 23  # of 24 heads one is no token
     pos = conllu.read_pos_list(conllu.string_lines(spark, "a NOUN\nb VERB\n\nc X\n"))
     assert [(r["form"], r["upos"]) for r in pos.orderBy("line_no").collect()] == [("a", "NOUN"), ("b", "VERB"), ("c", "X")]
     assert pos.select("block").distinct().count() == 2
