@@ -361,6 +361,39 @@ def _template_sql(name: str) -> str:
 _DIGEST = "SELECT sent_idx, md5(prompt) AS digest, length(prompt) AS length FROM p"
 _GUIDE = "".join(f"- {r}: {d}\n" for r, d in T.RELATIONS.items())
 _ARROW_BASIC = _NEST + f", p AS (SELECT sent_idx, {_q(T.C_BASIC_HEAD.replace('{language}', 'Wolof') + _GUIDE + chr(10) + 'Examples:' + chr(10) + chr(10))} || deps_x || {_q('Now predict for:' + chr(10) + 'Sentence: ' + chr(34))} || target_text || {_q(chr(34) + chr(10) + 'Translation: ' + chr(34))} || target_text_en || {_q(chr(34) + T.C_BASIC_TAIL)} AS prompt FROM tg)\n"
+_QUOTED = lambda title="Sentence": f"'{title}: \"' || target_text || '\"' || chr(10) || 'Translation: \"' || target_text_en || '\"' || chr(10)"
+_ARC = "head > 0 AND hf IS NOT NULL"
+_WHY = "VALUES " + ", ".join(f"({_q(a)}, {_q(b)}, {_q(r)}, {_q(d)})" for (a, b, r), d in T.PATTERNS.items())
+_STEPS = "[" + ", ".join(map(_q, T.STEPS)) + "]"
+#: The worked parts of the examples, each from the tokens in order.
+_WORKED = (
+    _NEST
+    + f""", rt AS (SELECT sent_idx, arg_min(form, id) AS form, min(id) AS id FROM h WHERE head = 0 OR deprel = 'root' GROUP BY 1),
+sl AS (SELECT sent_idx, 0 AS o, id, 'Main verb (root) = "' || form || '" (position ' || id || ')' AS line FROM rt
+  UNION ALL SELECT sent_idx, list_position({_STEPS}, deprel), id, '"' || form || '" → "' || hf || '" (' || deprel || ')' FROM h WHERE {_ARC} AND list_contains({_STEPS}, deprel)),
+sn AS (SELECT sent_idx, row_number() OVER (PARTITION BY sent_idx ORDER BY o, id) AS k, line FROM sl),
+steps AS (SELECT sent_idx, string_agg('Step ' || k || ': ' || line || chr(10), '' ORDER BY k) AS steps FROM sn GROUP BY 1),
+why AS (SELECT * FROM ({_WHY}) w(upos, hu, deprel, why)),
+rs AS (SELECT sent_idx, string_agg(CASE WHEN {_ARC} THEN '- "' || form || '" (' || h.upos || ')' || CASE WHEN gloss <> '' THEN ' (gloss: ''' || gloss || ''')' ELSE '' END || ' → "' || hf || '" (' || h.hu || '): ' || coalesce(why, h.deprel || ' relationship based on context') || chr(10)
+    WHEN head <= 0 AND h.deprel = 'root' THEN '- "' || form || '" (' || h.upos || '): main predicate of sentence' || chr(10) ELSE '' END, '' ORDER BY id) AS reasons,
+  string_agg(CASE WHEN {_ARC} THEN form || '→' || hf || '(' || h.deprel || ')' WHEN head <= 0 AND h.deprel = 'root' THEN form || '(root)' END, ', ' ORDER BY id) AS brief
+  FROM h LEFT JOIN why ON why.upos = h.upos AND why.hu = h.hu AND why.deprel = h.deprel GROUP BY 1),
+ask AS (SELECT h.sent_idx, coalesce(any_value('Question 1: What is the main verb?' || chr(10) || 'Answer: "' || rt.form || '" at position ' || rt.id || chr(10) || chr(10)), '')
+  || coalesce('Question 2: What are the subjects?' || chr(10) || 'Answer: ' || string_agg('"' || h.form || '"', ', ' ORDER BY h.id) FILTER (deprel = 'subj') || chr(10) || chr(10), '')
+  || coalesce('Question 3: What are the objects?' || chr(10) || 'Answer: ' || string_agg('"' || h.form || '"', ', ' ORDER BY h.id) FILTER (contains(deprel, 'comp:obj')) || chr(10) || chr(10), '') AS questions
+  FROM h LEFT JOIN rt ON rt.sent_idx = h.sent_idx GROUP BY 1),
+xn AS (SELECT ex.*, coalesce(steps, '') AS steps, reasons, coalesce(brief, '') AS brief, questions, row_number() OVER (ORDER BY ex.sent_idx) AS rk FROM ex LEFT JOIN steps USING (sent_idx) LEFT JOIN rs USING (sent_idx) LEFT JOIN ask USING (sent_idx)),
+xw AS (SELECT max({_QUOTED()} || 'Tokens: ' || with_ids || chr(10) || chr(10) || steps || chr(10)) FILTER (rk = 1) AS steps_x,
+  max({_QUOTED()} || chr(10) || 'Linguistic Analysis:' || chr(10) || reasons || chr(10)) FILTER (rk = 1) AS long_x,
+  coalesce(string_agg('Brief example: "' || target_text || '"' || chr(10) || 'Dependencies: ' || brief || chr(10) || chr(10), '' ORDER BY rk) FILTER (rk > 1), '') AS brief_x,
+  max({_QUOTED("Example Sentence")} || chr(10) || questions || 'Final Dependencies:' || chr(10) || deps || chr(10)) FILTER (rk = 1) AS asked_x FROM xn)
+"""
+)
+_SAY = lambda t: _q(t.replace("{language}", "Wolof"))
+_KNOWN = "".join(f"- {a} + {b} → {r}: {d}\n" for (a, b, r), d in T.PATTERNS.items())
+_ARROW_STEPS = _WORKED + f", p AS (SELECT sent_idx, {_SAY(T.C_STEPS_HEAD)} || steps_x || 'Now analyze step by step:' || chr(10) || {_QUOTED()} || 'Tokens: ' || with_ids || chr(10) || chr(10) || 'Your step-by-step analysis:' AS prompt FROM tg, xw)\n"
+_ARROW_CONTEXT = _WORKED + f", p AS (SELECT sent_idx, {_SAY(T.C_CONTEXT_HEAD + _KNOWN)} || chr(10) || 'Example with Detailed Analysis:' || chr(10) || chr(10) || long_x || brief_x || 'Now analyze with detailed reasoning:' || chr(10) || {_QUOTED()} || chr(10) || 'Provide linguistic analysis and dependencies:' AS prompt FROM tg, xw)\n"
+_ARROW_ASKED = _WORKED + f", p AS (SELECT sent_idx, {_SAY(T.C_INTERACTIVE_HEAD)} || asked_x || 'Now let''s analyze this sentence together:' || chr(10) || 'Sentence: \"' || target_text || '\"' || chr(10) || 'Translation: \"' || target_text_en || {_q(chr(34) + T.C_INTERACTIVE_TAIL)} AS prompt FROM tg, xw)\n"
 _RULES = "\n".join(["", "", "Instructions:", "- Language: Wolof", "- Tokenize reasonably for the language.", "- Ensure exactly 10 TAB-separated columns per token row.", "- Use 0 ONLY as HEAD for the single root token.", "- Keep punctuation tokens.", "- KEEP THE EXACT TOKENIZATION below (same number/order of tokens and surface forms).", "Tokens:", ""])
 _TABLE = _NEST + f", p AS (SELECT sent_idx, trim('# sent_id = ' || coalesce(sent_id, 'N/A') || chr(10) || '# text = ' || target_text || chr(10) || '# text_en = ' || target_text_en || {_q(_RULES)} || listed || {_q(chr(10) + '- Output only the final formatted block (no commentary).')}) AS prompt FROM tg)\n"
 
@@ -387,6 +420,9 @@ SQL = {
     "arrow_parse": _ARROW,
     **{f"prompt_{n}": _template_sql(n) + _DIGEST for n in TEMPLATES},
     "prompt_arrow_basic": _ARROW_BASIC + _DIGEST,
+    "prompt_arrow_step_by_step": _ARROW_STEPS + _DIGEST,
+    "prompt_arrow_context_rich": _ARROW_CONTEXT + _DIGEST,
+    "prompt_arrow_interactive": _ARROW_ASKED + _DIGEST,
     "prompt_table": _TABLE + _DIGEST,
     "prompt_lengths": _template_sql("basic") + "SELECT 'basic' AS template, round(avg(length(prompt)), 9) AS mean_length, count(*) AS n_prompts FROM p UNION ALL SELECT * FROM (" + _template_sql("gloss_focused") + "SELECT 'gloss_focused', round(avg(length(prompt)), 9), count(*) FROM p)",
     "prompt_summary": _template_sql("basic") + "SELECT sent_idx, length(prompt) AS prompt_length, target_text AS text, target_text_en AS translation, n_tokens AS num_tokens FROM p",
@@ -402,4 +438,4 @@ SELECT sent_idx, CASE WHEN bad IS NOT NULL THEN 'ID/HEAD not int in row: `' || b
     "batch_cost": "SELECT replace(replace(model, '-', '_'), '.', '_') || '_' || template || '_' || strategy || '_' || shots || 'shot' AS name, round((shots * 200 + 300) * 15 * c / 1000, 9) AS dollars FROM (VALUES ('gpt-4o-mini', 0.00015::DOUBLE), ('gpt-4o', 0.005)) m(model, c) CROSS JOIN (SELECT unnest(['basic', 'detailed', 'gloss_focused']) AS template) CROSS JOIN (SELECT unnest(['random', 'diversity', 'coverage']) AS strategy) CROSS JOIN (SELECT unnest([2, 3, 5]) AS shots)",
 }
 _MADE = {q.__name__: q for q in (*map(_template_query, TEMPLATES), *map(_arrow_query, FAMILY))}
-QUERIES = {k: _MADE.get(k) or globals()[k] for k in (*SQL, "prompt_arrow_step_by_step", "prompt_arrow_context_rich", "prompt_arrow_interactive")}
+QUERIES = {k: _MADE.get(k) or globals()[k] for k in SQL}
