@@ -55,7 +55,7 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{_shared(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     sc = spark.sparkContext
     if not hasattr(sc, "_arbora_stored"):
         sc._arbora_stored = []
