@@ -2,7 +2,7 @@
 
 Texts are compared by look and case, without punctuation and accents. Texts equal in that form,
 spaces aside, are one class, and only classes are searched, so copies cost nothing. Over the
-class texts a partitioned suffix array is laid: the suffixes at all words, sorted globally by
+class texts a partitioned suffix array is laid: the suffixes at all words, a word being a number by its hash, sorted globally by
 range. The common prefixes of neighbours, counted in words, give its intervals: all suffixes
 that begin with the same words, from two words on. An interval with both sides names the places
 at which classes share a span; spans of a pair at places too far apart for its few changes
@@ -26,7 +26,6 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,8 +36,8 @@ from arbora.session import stored
 
 #: Words that a shared span has at least.
 SPAN = 2
-#: Words by which suffixes are sorted. Only intervals above ``HOT`` are read deeper than ``SPAN``.
-DEPTH = 5
+#: Words by which suffixes are sorted, as numbers. Only intervals above ``HOT`` are read deeper than ``SPAN``.
+DEPTH = 4
 #: Suffixes of the largest interval that is paired. It chooses between two ways that both lose nothing.
 HOT = 500
 #: Of classes under hot intervals, texts of at most so many words are paired by two rare words, others by one.
@@ -74,8 +73,17 @@ def folded(df: DataFrame, record: str, text: str, keep: list[str]) -> DataFrame:
 # ------------------------------------------------------------------------------ rows to be paired
 
 #: What a row tells of its class, by which most pairs that are too different are seen without their texts.
-_ABOUT = ("class", "n", "sig", "train", "other")
-_ABOUT_KIND = "class bigint, n int, sig bigint, train boolean, other boolean"
+_ABOUT = ("class", "meta", "sig")
+_ABOUT_KIND = "class bigint, meta bigint, sig bigint"
+
+
+def _meta(at: Column) -> Column:
+    """A place, the number of words (28 bits each) and the sides of a class in one number, as fewer columns cost less to move."""
+    side = F.col("train").cast("bigint") * 2 + F.col("other").cast("bigint")
+    return F.shiftleft(at.cast("bigint"), 30).bitwiseOR(F.shiftleft(F.col("n").cast("bigint"), 2)).bitwiseOR(side)
+
+
+_AT, _N, _TRAIN, _OTHER = "shiftright(meta, 30)", "(shiftright(meta, 2) & 268435455)", "(meta & 2) > 0", "(meta & 1) > 0"
 
 
 def signature(ws: list[str], known: dict[str, int]) -> int:
@@ -92,26 +100,27 @@ def signature(ws: list[str], known: dict[str, int]) -> int:
 
 
 def suffixes(classes: DataFrame) -> DataFrame:
-    """(suffix, at, class, n, sig, train, other): the suffix at every word that has ``SPAN`` words, as far as it is sorted by."""
-    at = F.sequence(F.lit(0), F.col("n") - SPAN)
-    cut = F.transform(at, lambda i: F.array_join(F.slice("_w", i + 1, F.lit(DEPTH)), " "))
-    rows = classes.where(F.col("n") >= SPAN).withColumn("_w", F.split("words", " "))
-    return rows.select(F.posexplode(cut).alias("at", "suffix"), *_ABOUT).select("suffix", "at", *_ABOUT)
+    """(k1, k2, class, meta, sig): the suffix at every word that has ``SPAN`` words, as far as it is sorted by.
+
+    ``k1`` holds the numbers of its first two words, ``k2`` those of the next two, 0 behind the end. Different words of one
+    number, if there are any, only make more rows to be looked at.
+    """
+    word = lambda i: F.get("_h", i)
+    some = lambda i: F.coalesce(word(i).bitwiseAND((1 << 24) - 1).bitwiseOR(1), F.lit(0)).cast("bigint")
+    k1 = lambda i: F.shiftleft(word(i).cast("bigint"), 32).bitwiseOR(word(i + 1).cast("bigint").bitwiseAND((1 << 32) - 1))
+    k2 = lambda i: F.shiftleft(some(i + 2), 24).bitwiseOR(some(i + 3))
+    cut = F.transform(F.sequence(F.lit(0), F.col("n") - SPAN), lambda i: F.struct(k1(i).alias("k1"), k2(i).alias("k2")))
+    rows = classes.where(F.col("n") >= SPAN).withColumn("_h", F.transform(F.split("words", " "), lambda w: F.hash(w)))
+    return rows.select(F.posexplode(cut).alias("at", "s"), "class", "n", "train", "other", "sig").select("s.k1", "s.k2", "class", _meta(F.col("at")).alias("meta"), "sig")
 
 
 # ------------------------------------------------------------------------------ the array's intervals
 
 
-def _prefixes(suffix: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the words of each suffix, -1 behind its last, and their count."""
-    split = pc.split_pattern(suffix, " ")
-    size = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat = split.flatten().dictionary_encode().indices.to_numpy()
-    m = np.full((len(size), DEPTH), -1, np.int64)
-    first = np.cumsum(size) - size
-    row = np.repeat(np.arange(len(size)), size)
-    m[row, np.arange(len(flat)) - first[row]] = flat
-    return m, size
+def _words_of(t: pa.Table) -> np.ndarray:
+    """Numbers of the words of each suffix, 0 behind its end."""
+    k1, k2 = (t.column(c).to_numpy().view(np.uint64) for c in ("k1", "k2"))
+    return np.stack([k1 >> np.uint64(32), k1 & np.uint64((1 << 32) - 1), k2 >> np.uint64(24), k2 & np.uint64((1 << 24) - 1)], 1)
 
 
 def _common(m: np.ndarray) -> np.ndarray:
@@ -119,24 +128,38 @@ def _common(m: np.ndarray) -> np.ndarray:
     out = np.zeros(len(m), np.int64)
     same = np.ones(max(0, len(m) - 1), bool)
     for d in range(m.shape[1]):
-        same = same & (m[1:, d] == m[:-1, d]) & (m[1:, d] >= 0)
+        same = same & (m[1:, d] == m[:-1, d])
+        if d >= SPAN:
+            same &= m[1:, d] > 0
         out[1:] += same
     return out
 
 
-def _intervals(t: pa.Table, hot: int, left: bool, right: bool) -> pa.RecordBatch:
-    """The rows (node, depth, open, hot, at, class, ...) that a stretch of the array gives.
+def _node(m: np.ndarray, depth: np.ndarray) -> np.ndarray:
+    """A number for the first words of each suffix, as many as its depth says."""
+    h = depth.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for d in range(m.shape[1]):
+            h = (h ^ np.where(d < depth, m[:, d], np.uint64(0))) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+    return h.view(np.int64)
+
+
+def _intervals(t: pa.Table, hot: int, left: bool, right: bool, loose: bool = False) -> pa.RecordBatch:
+    """The rows (node, depth, open, hot, class, meta, sig) that a stretch of the array gives, which is sorted by ``k1``.
 
     A suffix stands for the widest of its intervals with at most ``hot`` suffixes and, as a ``hot`` row, for the narrowest one above that.
     ``left`` and ``right`` tell that the stretch may go on there; of intervals at such an end the
-    true size is not known, so all of them that are small here are given, as ``open``.
+    true size is not known, so all of them that are small here are given, as ``open``. ``loose`` tells that of any interval.
     """
     t = t.combine_chunks()
-    suffix = t.column("suffix").combine_chunks()
-    m, size = _prefixes(suffix)
+    order = np.lexsort((t.column("k2").to_numpy(), t.column("k1").to_numpy()))
+    m = _words_of(t)[order]
+    size = SPAN + (m[:, SPAN:] > 0).sum(1)
     common = _common(m)
     n = len(common)
-    train, other = (t.column(c).to_numpy() for c in ("train", "other"))
+    meta = t.column("meta").to_numpy()[order]
+    train, other = meta & 2 > 0, meta & 1 > 0
     alive = np.ones(n, bool)
     heat = np.zeros(n, np.int64)
     got: list[tuple[np.ndarray, int, bool]] = []
@@ -147,7 +170,7 @@ def _intervals(t: pa.Table, hot: int, left: bool, right: bool) -> pa.RecordBatch
         starts = np.flatnonzero(common < d)
         members = np.diff(np.append(starts, n))
         both = np.logical_or.reduceat(train, starts) & np.logical_or.reduceat(other, starts)
-        end = np.zeros(len(starts), bool)
+        end = np.full(len(starts), loose)
         end[0] |= left
         end[-1] |= right
         big = members > hot
@@ -161,40 +184,41 @@ def _intervals(t: pa.Table, hot: int, left: bool, right: bool) -> pa.RecordBatch
     depth = np.concatenate([*(np.full(len(g[0]), g[1]) for g in got), heat[hotrows]]).astype(np.int32)
     open_ = np.concatenate([*(np.full(len(g[0]), g[2]) for g in got), np.zeros(len(hotrows), bool)])
     is_hot = np.arange(len(row)) >= len(row) - len(hotrows)
-    take = pa.array(row)
-    name = [xxhash.xxh64_intdigest(" ".join(s.split(" ", d)[:d]), d) - (1 << 63) for s, d in zip(suffix.take(take).to_pylist(), depth.tolist())]
-    own = [t.column(c).combine_chunks().take(take) for c in ("at", *_ABOUT)]
-    return pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(depth), pa.array(open_), pa.array(is_hot), *own], ["node", "depth", "open", "hot", "at", *_ABOUT])
+    own = [t.column(c).combine_chunks().take(pa.array(order[row])) for c in _ABOUT]
+    return pa.RecordBatch.from_arrays([pa.array(_node(m[row], depth)), pa.array(depth), pa.array(open_), pa.array(is_hot), *own], ["node", "depth", "open", "hot", *_ABOUT])
 
 
 def intervals(rows: DataFrame, hot: int) -> DataFrame:
-    """(node, depth, open, hot, at, class, ...) of all suffixes in intervals with both sides; see ``_intervals``.
+    """(node, depth, open, hot, class, meta, sig) of all suffixes in intervals with both sides; see ``_intervals``.
 
-    The array is sorted by range over (suffix, class), so no interval has to fit one task.
+    The array is ranged over (suffix, class), so no interval has to fit one task. Within a range Spark sorts by the first
+    two words, whose numbers fit its radix sort, and each stretch by all.
     """
-    array = rows.repartitionByRange("suffix", "class").sortWithinPartitions("suffix", "class")
+    array = rows.repartitionByRange("k1", "k2", "class").sortWithinPartitions("k1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the last interval waits for the next batch, but for a long one, which is above ``hot`` anyway
         held: pa.Table | None = None
-        left = True
+        left = loose = False
+        first = True
         for b in batches:
             if not b.num_rows:
                 continue
             t = pa.Table.from_batches([b])
             t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
-            last = int(np.flatnonzero(_common(_prefixes(t.column("suffix").combine_chunks())[0]) < SPAN)[-1])
+            k1 = t.column("k1").to_numpy()
+            last = int(np.flatnonzero(np.concatenate([[True], k1[1:] != k1[:-1]]))[-1])
             if last:
-                yield _intervals(t.slice(0, last), hot, left, False)
-                left = False
+                yield _intervals(t.slice(0, last), hot, left or first, False, loose)
+                left = loose = first = False
             held = t.slice(last)
             if held.num_rows > max(HELD, hot):
-                yield _intervals(held, hot, left, True)
-                held, left = None, True
+                yield _intervals(held, hot, True, True, True)
+                held, left, loose = None, True, True
         if held is not None and held.num_rows:
-            yield _intervals(held, hot, left, True)
+            yield _intervals(held, hot, left or first, True, loose)
 
-    return array.mapInArrow(run, f"node bigint, depth int, open boolean, hot boolean, at int, {_ABOUT_KIND}")
+    return array.mapInArrow(run, f"node bigint, depth int, open boolean, hot boolean, {_ABOUT_KIND}")
 
 
 # ------------------------------------------------------------------------------ texts under hot intervals
@@ -231,7 +255,7 @@ def rare_keys(ws: list[str], rank: dict[str, int], differ: float) -> Iterator[st
 
 
 def rare_rows(classes: DataFrame, differ: float) -> DataFrame:
-    """(node, at, class, ...): the keys by rare words of all class texts."""
+    """(node, class, meta, sig): the keys by rare words of all class texts."""
     count = classes.select(F.explode(F.split("words", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     rank = {r["w"]: i for i, r in enumerate(count.orderBy(F.desc("n"), "w").limit(FREQUENT).collect())}
 
@@ -240,9 +264,9 @@ def rare_rows(classes: DataFrame, differ: float) -> DataFrame:
             keys = [list(rare_keys(text.split(" "), rank, differ)) for text in b.column("words").to_pylist()]
             take = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
             node = [xxhash.xxh64_intdigest(k) - (1 << 63) for own in keys for k in own]
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(np.zeros(len(node), np.int32)), *(b.column(c).take(take) for c in _ABOUT)], ["node", "at", *_ABOUT])
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), *(b.column(c).take(take) for c in _ABOUT)], ["node", *_ABOUT])
 
-    return classes.select("words", *_ABOUT).mapInArrow(run, f"node bigint, at int, {_ABOUT_KIND}")
+    return classes.select("words", "class", _meta(F.lit(0)).alias("meta"), "sig").mapInArrow(run, f"node bigint, {_ABOUT_KIND}")
 
 
 @lru_cache(10_000)
@@ -257,7 +281,7 @@ def least_covered(n: int, differ: float) -> int:
 
 def under_hot(spans: DataFrame, differ: float) -> DataFrame:
     """The classes that hot intervals (at, depth) cover so far that they must be paired by rare words."""
-    own = spans.groupBy("class").agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("at", "depth"))).alias("s"))
+    own = spans.groupBy("class").agg(F.first(F.expr(_N)).alias("n"), F.array_sort(F.collect_list(F.struct(F.expr(_AT).alias("at"), "depth"))).alias("s"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -300,8 +324,9 @@ def _candidates(differ: float) -> Column:
 
 def _met(rows: DataFrame, differ: float, split: bool = False) -> DataFrame:
     """(a, b): classes that meet in a node, the training side first. ``split`` is for nodes of any size."""
-    left = rows.where("train").select("node", "at", "class", "n", "sig")
-    right = rows.where("other").select("node", *(F.col(c).alias(c + "_b") for c in ("at", "class", "n", "sig")))
+    read = {"at": F.expr(_AT), "n": F.expr(_N), "class": F.col("class"), "sig": F.col("sig")}
+    left = rows.where(_TRAIN).select("node", *(v.alias(k) for k, v in read.items()))
+    right = rows.where(_OTHER).select("node", *(v.alias(k + "_b") for k, v in read.items()))
     met = split_join(left, right, "node", "class") if split else left.join(right, "node")
     return met.where(_candidates(differ)).select(F.col("class").alias("a"), F.col("class_b").alias("b"))
 
@@ -309,9 +334,9 @@ def _met(rows: DataFrame, differ: float, split: bool = False) -> DataFrame:
 def near_classes(classes: DataFrame, *, differ: float = DIFFER, hot: int = HOT) -> DataFrame:
     """(train_class, other_class, n_train, n_other): different classes whose texts differ in less than ``differ`` of their words."""
     nodes = stored(intervals(suffixes(classes), hot))
-    cols = ["node", "depth", "at", *_ABOUT]
+    cols = ["node", "depth", *_ABOUT]
     open_ = nodes.where("open")
-    size = open_.groupBy("node").agg(F.count("*").alias("_n"), F.bool_or("train").alias("_t"), F.bool_or("other").alias("_o")).where("_t and _o")
+    size = open_.groupBy("node").agg(F.count("*").alias("_n"), F.bool_or(F.expr(_TRAIN)).alias("_t"), F.bool_or(F.expr(_OTHER)).alias("_o")).where("_t and _o")
     small = open_.join(size.where(F.col("_n") <= hot), "node").select(*cols)
     large = open_.join(size.where(F.col("_n") > hot), "node").select(*cols)
     pairs = _met(nodes.where("not open and not hot").select(*cols).unionByName(small), differ)
