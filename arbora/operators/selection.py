@@ -24,6 +24,8 @@ from arbora.session import cut
 USUAL = 3
 PRIORITY = ["subj", "comp:obj", "comp:obl", "mod", "det", "conj", "flat"]
 STRATEGIES = ("random", "diversity", "coverage", "stratified", "complexity")
+#: A bound for the turns of the greedy strategies, each of which is a job.
+MOST_TURNS = 10_000
 #: A bound for the labels of a corpus, which the greedy strategies keep on the driver.
 MOST_LABELS = 100_000
 
@@ -100,6 +102,8 @@ def coverage_selection(features: DataFrame, gold: DataFrame, k: int) -> DataFram
     Each turn is one aggregate over the features with what is covered so far as literals. Only the winner
     of a turn comes to the driver.
     """
+    if k > MOST_TURNS:
+        raise ValueError(f"more than {MOST_TURNS} turns")
     features = cut(features)
     if k >= features.count():
         return features.select("sent_idx", F.lit(None).cast("int").alias("turn"))
@@ -134,6 +138,8 @@ def diversity_selection(features: DataFrame, gold: DataFrame, k: int) -> DataFra
     In the first phase, too, each turn finds the next sentence by an aggregate: the first one behind the last chosen that has a rare
     relation and adds a relation or a tag.
     """
+    if k > MOST_TURNS:
+        raise ValueError(f"more than {MOST_TURNS} turns")
     features = cut(features)
     if k >= features.count():
         return features.select("sent_idx", F.lit(None).cast("int").alias("turn"))

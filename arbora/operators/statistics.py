@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbora.operators.frames import gloss
+from arbora.operators.ordered import ranked
 
 
 def document_frequency(gold: DataFrame, column: str) -> DataFrame:
@@ -71,6 +72,19 @@ def length_bucket(n: Column) -> Column:
     return F.when(n <= 5, "short").when(n <= 15, "medium").when(n <= 25, "long").otherwise("very_long")
 
 
+def bucket_medians(features: DataFrame) -> DataFrame:
+    """(bucket, n, median_complexity): the middle, or the mean of the two middle ones, of each length bucket.
+
+    Found by global ranks, so no bucket has to keep its values in one task; there are four buckets.
+    """
+    f = features.select(length_bucket(F.col("n_tokens")).alias("bucket"), "complexity", "sent_idx")
+    r, _ = ranked(f, ["bucket", "complexity", "sent_idx"])
+    of = r.groupBy("bucket").agg(F.min("rank").alias("first"), F.count("*").alias("n"))
+    at = F.col("rank") - F.col("first")
+    middle = r.join(F.broadcast(of), "bucket").where((at == F.floor((F.col("n") - 1) / 2)) | (at == F.floor(F.col("n") / 2)))
+    return middle.groupBy("bucket").agg(F.first("n").alias("n"), F.round(F.avg("complexity"), 9).alias("median_complexity"))
+
+
 def selection_quality(chosen: DataFrame, test: DataFrame) -> DataFrame:
     """One row on how chosen sentences serve test ones, both as features; no row if either is empty.
 

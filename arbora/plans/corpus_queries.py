@@ -84,8 +84,7 @@ def corpus_validation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def length_buckets(spark: SparkSession, d: str) -> DataFrame:
-    f = frames.sentence_features(_gold(spark, d))
-    return f.groupBy(statistics.length_bucket(F.col("n_tokens")).alias("bucket")).agg(F.count("*").alias("n"), F.round(F.median("complexity"), 9).alias("median_complexity"))
+    return statistics.bucket_medians(frames.sentence_features(_gold(spark, d)))
 
 
 def complexity_ranks(spark: SparkSession, d: str) -> DataFrame:
