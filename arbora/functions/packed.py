@@ -16,7 +16,9 @@ _D = re.escape(DELIMITERS) + r"\s"
 _KEY = re.compile(r"[^\W\d_]+(?:\[[^\[\]\"=]*\])?\s*=")
 #: A quoted stretch (doubled quotes inside), a run of delimiters, other text, or a quote that never ends.
 _TOKEN = re.compile(rf'"(?:[^"]|"")*+"|[{_D}]++|[^"{_D}]++|"')
-_ESCAPED = re.compile(r"\\(.)", re.DOTALL)
+_ESCAPED = re.compile(r"\\.", re.DOTALL)
+#: A backslash, or a bracket that is not just a key's layer.
+_RARE = re.compile(r"[\\({]|\[(?![^\[\](){}\"|;,/¦｜=\s]*\])")
 #: What a backslash takes its meaning from; before anything else it is a letter.
 _SPECIAL = re.compile(rf'\\([\\"=()\[\]{{}}{re.escape(DELIMITERS)}])')
 _OPEN, _CLOSE = "([{", ")]}"
@@ -30,10 +32,9 @@ def masked(s: str) -> str:
 
     Brackets within quotes and brackets without a partner are letters themselves.
     """
-    if "\\" in s:
-        s = _ESCAPED.sub(lambda m: _X * 2, s)
-    if not any(c in s for c in _OPEN):
+    if not _RARE.search(s):
         return s
+    s = _ESCAPED.sub(_X * 2, s)
     open_: list[tuple[str, int]] = []
     within = [0] * (len(s) + 1)  # brackets that open less those that close, at each place
     for m in _TOKEN.finditer(s):
