@@ -302,7 +302,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", tex
     met = split_join(hit.select("uid", "reading", F.inline("prints")), prints, "h", "uid")
     pairs = met.groupBy("uid", "reading", "item").agg(F.collect_list(F.struct("at", "of")).alias("met"), F.sum(F.size("of")).alias("n"), F.first("n_letters").alias("n_letters"))
     pairs = pairs.where(F.col("n") * (k + window) >= 0.5 * least * F.col("n_letters")).select("uid", "reading", "item", "met")
-    both = pairs.join(hit.select("uid", "reading", "id", "letters"), ["uid", "reading"]).join(asked, "item").select("uid", "id", "item_id", "letters", "text", "met")
+    # the letters come last, so that those of a document with many items are moved once
+    both = pairs.join(asked, "item").join(hit.select("uid", "reading", "id", "letters"), ["uid", "reading"]).select("uid", "id", "item_id", "letters", "text", "met")
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
