@@ -96,14 +96,15 @@ def twins() -> dict[str, str]:
 def plain_pattern() -> str:
     """What Spark itself can see to be consistent: letters, digits and signs below U+2000 that are no source, no mark and of no other script."""
     fits = regex.compile(r"[\p{Latin}\p{Common}]")
-    good = [cp for cp in range(0x20, 0x2000) if fits.match(c := chr(cp)) and c not in mapping() and c not in twins() and not unicodedata.category(c).startswith(("M", "C")) and unicodedata.normalize("NFC", c) == c]
+    # plain ASCII is one range of its own, which is asked first: of many ranges in one class each letter would go through all
+    good = [cp for cp in range(0x7F, 0x2000) if fits.match(c := chr(cp)) and c not in mapping() and c not in twins() and not unicodedata.category(c).startswith(("M", "C")) and unicodedata.normalize("NFC", c) == c]
     ranges: list[list[int]] = []
     for cp in good:
         if ranges and ranges[-1][1] == cp - 1:
             ranges[-1][1] = cp
         else:
             ranges.append([cp, cp])
-    return "^[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "]*$"
+    return "^(?:[ -~]++|[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in ranges) + "])*+$"
 
 
 @lru_cache(1)
