@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import io
 import os
 import tempfile
@@ -59,7 +60,7 @@ def stored(df: DataFrame) -> DataFrame:
     sc = spark.sparkContext
     if not hasattr(sc, "_arbora_stored"):
         sc._arbora_stored = []
-        atexit.register(release, spark)
+        atexit.register(_release_at_exit, spark)
     sc._arbora_stored.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -74,6 +75,11 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _release_at_exit(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the session may be gone in any way by then
+        release(spark)
+
+
 def _shared(spark: SparkSession) -> str:
     """The checkpoint folder of the context, which is set if it is not."""
     sc = spark.sparkContext
