@@ -33,6 +33,11 @@ MOST_LABELS = 100_000
 # ------------------------------------------------------------------------------ seeded draws
 
 
+def _mixed(seed: int, *keys: str) -> Column:
+    """A digest of the seed and the keys, by which rows come in an order of their own; any engine can make it."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(k).cast("string") for k in keys)))
+
+
 def drawn(n: int, k: int, seed: int) -> list[int]:
     """The positions that CPython's generator draws from n, in the order drawn."""
     return random.Random(seed).sample(range(n), min(k, n))
@@ -64,7 +69,7 @@ def train_test_split(df: DataFrame, share: float = 0.2, seed: int = 42, order: s
         random.Random(seed).shuffle(at)
         train = df.sparkSession.createDataFrame([(i, "train") for i in at[: int(n * (1 - share))]], "rank bigint, part string")
         return r.join(train, "rank", "left").withColumn("part", F.coalesce("part", F.lit("test"))).drop("rank")
-    mixed = df.withColumn("_h", F.xxhash64(F.lit(seed), F.col(order)))
+    mixed = df.withColumn("_h", _mixed(seed, order))
     r, n = ranked(mixed, ["_h", order])
     return r.withColumn("part", F.when(F.col("rank") < int(n * (1 - share)), "train").otherwise("test")).drop("rank", "_h")
 
@@ -327,7 +332,7 @@ def _relative(own: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 def random_arcs(arcs: DataFrame, k: int, seed: int = 42) -> DataFrame:
     """k arcs by a seeded hash."""
-    return arcs.select(*_ARC).orderBy(F.xxhash64(F.lit(seed), "sent_idx", "id"), "sent_idx", "id").limit(k)
+    return arcs.select(*_ARC).orderBy(_mixed(seed, "sent_idx", "id"), "sent_idx", "id").limit(k)
 
 
 # ------------------------------------------------------------------------------ dispatch

@@ -259,6 +259,8 @@ tr AS (SELECT f.* FROM f JOIN sentences s USING (sent_idx) WHERE split = 'train'
 sc AS (SELECT a.sent_idx AS target, b.sent_idx, round(0.4::DOUBLE * (1 - abs(b.n - a.n)::DOUBLE / greatest(a.n, 10)) + 0.6::DOUBLE * len(list_intersect(a.tags, b.tags)) / len(a.tags), 9) AS score FROM tg a JOIN tr b ON a.sent_idx <> b.sent_idx)
 SELECT target, deprel, sent_idx, id, form, head, head_form, score FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY score DESC, sent_idx, id) AS rn FROM sc JOIN arcs USING (sent_idx)) WHERE rn <= 10"""
 SQL = {
+    "random_arcs": f"{_TA} SELECT deprel, sent_idx, id, form, head, head_form FROM arcs ORDER BY md5('42|' || sent_idx || '|' || id), sent_idx, id LIMIT 10",
+    "split_by_seed": "SELECT sent_idx, CASE WHEN row_number() OVER (ORDER BY md5('42|' || sent_idx), sent_idx) <= floor(count(*) OVER () * 0.8::DOUBLE) THEN 'train' ELSE 'test' END AS part FROM sentences",
     "similarity_search": _SIMILAR,
     "similar_arcs_search": _SIMILAR_ARCS,
     "sentence_features": f"{_G}, {S.FEATURES} SELECT sent_idx, array_to_string(relations, ' ') AS relations, array_to_string(tags, ' ') AS tags, n_tokens, round(gloss_coverage, 9) AS gloss_coverage, complexity FROM features",
@@ -300,4 +302,4 @@ SELECT deprel, sent_idx, id, form, head, head_form, score FROM arcs JOIN s USING
 SELECT round((SELECT count(*) FROM ch JOIN te USING (r))::DOUBLE / (SELECT count(*) FROM te), 9) AS relation_coverage, (SELECT count(*) FROM ch) AS relation_diversity, round(avg(n_tokens), 9) AS avg_sentence_length,
        round(avg(gloss_coverage), 9) AS avg_gloss_coverage, round(coalesce(stddev_pop(complexity), 0), 9) AS complexity_std, count(*) AS num_examples FROM stc""",
 }
-QUERIES = {k: globals()[k] for k in (*SQL, "random_pick", "split_by_seed", "random_arcs")}
+QUERIES = {k: globals()[k] for k in (*SQL, "random_pick")}

@@ -253,4 +253,13 @@ SQL |= {
     "relation_report": f"SELECT model_name, prompt_template, row_number() OVER (PARTITION BY model_name, prompt_template ORDER BY f1 DESC, relation) AS place, {_LINE} AS line FROM ({SQL['per_relation_prf']})",
     "relation_report_by_name": f"SELECT model_name, prompt_template, row_number() OVER (PARTITION BY model_name, prompt_template ORDER BY relation) AS place, {_LINE} AS line FROM ({SQL['libc_relations']})",
 }
-QUERIES = {k: globals()[k] for k in (*SQL, "summary_report")}
+_TITLE = "WOLOF DEPENDENCY PARSING EVALUATION REPORT"
+_TOP = [f"'{x}'" for x in ("", _TITLE, "=" * len(_TITLE), "")] + ["'Model Name: ' || model_name", "'Prompt Template: ' || prompt_template"] + [f"'{x}'" for x in ("", "OVERALL PERFORMANCE", "-" * 19)]
+_TOP += [f"printf('{f}', {c})" for f, c in reports.OVERALL] + [f"'{x}'" for x in ("", "PER-RELATION PERFORMANCE", "-" * 24, reports.TABLE, reports.RULE)]
+SQL["summary_report"] = f"""WITH m AS ({SQL['macro_scores']}), ln AS ({SQL['relation_report']}), hs AS ({SQL['error_histogram']}),
+rw AS (SELECT model_name, prompt_template, string_agg(line, chr(10) ORDER BY place) AS rows FROM ln GROUP BY 1, 2),
+kd AS (SELECT model_name, prompt_template, string_agg(error_type || ': ' || n, chr(10) ORDER BY error_type || ': ' || n) AS kinds FROM hs GROUP BY 1, 2)
+SELECT model_name, prompt_template, {" || chr(10) || ".join(_TOP)} || chr(10) || coalesce(rows, '') || chr(10)
+  || coalesce(chr(10) || 'ERROR ANALYSIS' || chr(10) || '{"-" * 14}' || chr(10) || kinds || chr(10), '') AS report
+FROM m LEFT JOIN rw USING (model_name, prompt_template) LEFT JOIN kd USING (model_name, prompt_template)"""
+QUERIES = {k: globals()[k] for k in SQL}
