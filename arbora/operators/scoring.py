@@ -138,7 +138,9 @@ def micro_counts(a: DataFrame, *, ignore_punct: bool = True, by: list[str] | Non
     by = EXPERIMENT if by is None else by
     if ignore_punct:
         a = a.where("upos <> 'PUNCT'")
-    g, p = feats_pairs(F.col("feats")), feats_pairs(F.col("pred_feats"))
+    # each side's pairs are made once; as a column of its own they are not made again for each count
+    a = a.withColumns({"_gold_feats": F.array_distinct(feats_pairs(F.col("feats"))), "_pred_feats": F.array_distinct(feats_pairs(F.col("pred_feats")))})
+    a = a.withColumn("_both", F.size(F.array_intersect("_gold_feats", "_pred_feats")))
     lemma = lambda c: F.lower(F.when(F.coalesce(F.col(c), F.lit("")) == "", "_").otherwise(F.col(c)))
     c = a.groupBy(*by).agg(
         F.count("*").alias("tokens_considered"),
@@ -146,9 +148,9 @@ def micro_counts(a: DataFrame, *, ignore_punct: bool = True, by: list[str] | Non
         F.count_if(lemma("lemma") == lemma("pred_lemma")).alias("lemma_correct"),
         F.count_if(_head()).alias("uas_correct"),
         F.count_if(_head() & _label()).alias("las_correct"),
-        F.sum(F.size(F.array_intersect(g, p))).alias("feats_tp"),
-        F.sum(F.size(F.array_except(p, g))).alias("feats_fp"),
-        F.sum(F.size(F.array_except(g, p))).alias("feats_fn"),
+        F.sum("_both").alias("feats_tp"),
+        F.sum(F.size("_pred_feats") - F.col("_both")).alias("feats_fp"),
+        F.sum(F.size("_gold_feats") - F.col("_both")).alias("feats_fn"),
     )
     n = F.greatest(F.col("tokens_considered"), F.lit(1))
     prec = F.col("feats_tp") / F.greatest(F.col("feats_tp") + F.col("feats_fp"), F.lit(1))
